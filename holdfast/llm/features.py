@@ -22,13 +22,13 @@ _KIND[127:] = 1
 _KIND[48:58] = _KIND[97:123] = 1
 
 
-def counts(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, orders: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of each row of a chunk: n + 1 offsets, feature numbers (ascending in a row) and how often.
+def hashed(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, orders: int = 2, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and feature number of each n-gram of a chunk, and the number of words of each row.
 
     Words are runs of letters and digits, or of one sign, A-Z lower-cased. ``orders`` 2 adds pairs of
-    neighbours, and one feature of its own for a word next to its like.
+    neighbours, and one feature of its own for a word next to its like; ``prefixes`` the first so many bytes
+    of longer words, which inflected forms share.
     """
-    n = len(offsets) - 1
     data = LOWER[data]
     kind = _KIND[data]
     edge = np.ones(len(data), bool)
@@ -39,7 +39,8 @@ def counts(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, orders: int
     word = kind[starts] > 0
     starts, ends = starts[word], ends[word]
     row = np.searchsorted(offsets, starts, "right") - 1
-    h = range_hash(prefix_hash(data), starts, ends)
+    sums = prefix_hash(data)
+    h = range_hash(sums, starts, ends)
     found, rows = [h], [row]
     if orders > 1 and len(h) > 1:
         same = row[1:] == row[:-1]
@@ -47,37 +48,60 @@ def counts(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, orders: int
         pair[h[1:] == h[:-1]] = U64(0x2545F4914F6CDD1D)
         found.append(pair[same])
         rows.append(row[1:][same])
-    key = (np.concatenate(rows).astype(U64) << U64(bits)) | (np.concatenate(found) >> U64(64 - bits))
-    key, many = np.unique(key, return_counts=True)
-    at = np.searchsorted(key, np.arange(n + 1, dtype=U64) << U64(bits))
-    return at, (key & U64((1 << bits) - 1)).astype(np.int64), many
+    for k in prefixes:
+        long = np.flatnonzero(ends - starts > k)
+        found.append(mix(range_hash(sums, starts[long], starts[long] + k) ^ U64(0xD1B54A32D192ED03)))
+        rows.append(row[long])
+    words = np.bincount(row, minlength=len(offsets) - 1)
+    return np.concatenate(rows), (np.concatenate(found) >> U64(64 - bits)).astype(np.int64), words
 
 
-def value(many: np.ndarray) -> np.ndarray:
+def counts(rows: np.ndarray, features: np.ndarray, n: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n + 1 offsets of the rows, their features in ascending order, and how often each occurs."""
+    key, many = np.unique((rows.astype(np.int64) << bits) | features, return_counts=True)
+    return np.searchsorted(key, np.arange(n + 1) << bits), key & ((1 << bits) - 1), many
+
+
+def by_count(many: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Value of a feature: grows with the logarithm of its count."""
     return 1.0 + np.log(many)
 
 
-def sparse(docs: DataFrame, text: str, bits: int, orders: int) -> DataFrame:
-    """``docs`` with arrays ``feature`` and ``many`` instead of ``text``."""
+def by_share(many: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Value of a feature: grows with its share of the text's words, so that one chance word in a long text
+    counts for little."""
+    return np.log1p(200.0 * many / words)
+
+
+def valued(data, offsets, bits, orders, prefixes, weigh, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, features and values of the rows of a chunk; of the features for which ``only`` is not 0."""
+    rows, feature, words = hashed(data, offsets, bits, orders, prefixes)
+    if only is not None:
+        some = np.flatnonzero(only[feature])
+        rows, feature = rows[some], feature[some]
+    at, feature, many = counts(rows, feature, len(offsets) - 1, bits)
+    return at, feature, weigh(many, np.repeat(words, np.diff(at)))
+
+
+def sparse(docs: DataFrame, text: str, bits: int, orders: int, prefixes: tuple[int, ...] = (), weigh=by_count) -> DataFrame:
+    """``docs`` with arrays ``feature`` and ``value`` instead of ``text``."""
     k = docs.columns.index(text)
 
     def one(batch: pa.RecordBatch) -> list[pa.Array]:
-        at, feature, many, base = [np.zeros(1, np.int64)], [], [], 0
+        at, feature, value, base = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], 0
         for _, _, d, o in chunks(*column(batch.column(k))):
-            a, f, m = counts(d, o, bits, orders)
+            a, f, v = valued(d, o, bits, orders, prefixes, weigh)
             at.append(a[1:] + base)
             base += int(a[-1])
-            feature.append(f)
-            many.append(m)
+            feature.append(f.astype(np.int32))
+            value.append(v.astype(np.float32))
         off = pa.array(np.concatenate(at), pa.int32())
-        flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int32())
-        return [pa.ListArray.from_arrays(off, flat(feature)), pa.ListArray.from_arrays(off, flat(many))]
+        return [pa.ListArray.from_arrays(off, pa.array(np.concatenate(feature))), pa.ListArray.from_arrays(off, pa.array(np.concatenate(value)))]
 
-    kind = T.ArrayType(T.IntegerType())
-    return add_columns(docs, one, [T.StructField("feature", kind), T.StructField("many", kind)]).drop(text)
+    return add_columns(docs, one, [T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]).drop(text)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str, out: str, bits: int = BITS, orders: int = 2, presence: bool = False) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str, out: str, bits: int = BITS, orders: int = 2, prefixes: tuple[int, ...] = (), weigh=by_count) -> DataFrame:
     """``docs`` with the logistic score of each whole text: a sparse dot product with ``weights``, which are
     broadcast (2**bits numbers, whatever the corpus)."""
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
@@ -86,8 +110,8 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str, out: str
     def one(batch: pa.RecordBatch) -> list[pa.Array]:
         w, parts = held.value, [np.zeros(0)]
         for _, _, d, o in chunks(*column(batch.column(k))):
-            at, feature, many = counts(d, o, bits, orders)
-            sums = np.concatenate([[0.0], np.cumsum(w[feature] if presence else w[feature] * value(many))])
+            at, feature, value = valued(d, o, bits, orders, prefixes, weigh, only=w)
+            sums = np.concatenate([[0.0], np.cumsum(w[feature] * value)])
             parts.append(sums[at[1:]] - sums[at[:-1]])
         z = np.clip(np.concatenate(parts) + bias, -500, 500)
         return [pa.array(1 / (1 + np.exp(-z)))]
@@ -97,17 +121,17 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str, out: str
 
 def fit(sample: DataFrame, train: Callable[[list[np.ndarray], list[np.ndarray], np.ndarray], tuple[np.ndarray, float]], bits: int) -> tuple[np.ndarray, float]:
     """Weights and bias that ``train`` (features, values, labels of each row) makes of a sample in one task.
-    ``sample`` (columns label, feature, many, order) has a bounded number of rows; only weights other than
+    ``sample`` (columns label, feature, value, order) has a bounded number of rows; only weights other than
     zero, at most 2**bits, come to the driver."""
 
     def run(batches):
         features, values, labels, order = [], [], [], []
         for batch in batches:
-            f, m = batch.column(batch.schema.get_field_index("feature")), batch.column(batch.schema.get_field_index("many"))
+            f, m = batch.column(batch.schema.get_field_index("feature")), batch.column(batch.schema.get_field_index("value"))
             off = np.asarray(f.offsets) - f.offsets[0].as_py()
             fv, mv = np.asarray(f.flatten()), np.asarray(m.flatten())
             features += [fv[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-            values += [value(mv[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+            values += [mv[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
             labels.append(batch.column(batch.schema.get_field_index("label")).to_numpy())
             order.append(batch.column(batch.schema.get_field_index("order")).to_numpy())
         if not features:
@@ -117,7 +141,7 @@ def fit(sample: DataFrame, train: Callable[[list[np.ndarray], list[np.ndarray],
         some = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(w[some], bias))], ["at", "weight"])
 
-    rows = sample.select("label", "feature", "many", "order").repartition(1).mapInArrow(run, "at long, weight double").toPandas()
+    rows = sample.select("label", "feature", "value", "order").repartition(1).mapInArrow(run, "at long, weight double").toPandas()
     weights = np.zeros(1 << bits)
     real = rows["at"] >= 0
     weights[rows["at"][real].to_numpy()] = rows["weight"][real].to_numpy()

@@ -8,64 +8,74 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.features import BITS, fit, score, smallest_hashes, sparse
+from holdfast.llm.features import BITS, by_share, fit, score, smallest_hashes, sparse
 
 
 @dataclass(frozen=True)
 class NonNegative:
     """Parameters. ``positives`` and ``unlabelled``: rows to learn from, at most (those of the smallest
-    hashes). ``prior``: share of toxic texts among the unlabelled; None takes their share among labels."""
+    hashes). ``prior``: share of toxic texts among the unlabelled; None takes their share among labels.
+    ``features`` and ``screen``: see ``nnpu``. ``steps``, ``rate``: of Adam over all rows; ``l2``: shrinkage."""
 
     bits: int = BITS
-    orders: int = 1
+    prefixes: tuple[int, ...] = (4, 6)
     positives: int = 4096
     unlabelled: int = 12288
     prior: float | None = None
-    passes: int = 12
-    batch: int = 256
+    features: int = 512
+    screen: float = 4.0
+    steps: int = 300
     rate: float = 0.2
-    l1: float = 2e-4
+    l2: float = 3e-5
     seed: int = 7
 
 
 def nnpu(features: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, prior: float, p: NonNegative) -> tuple[np.ndarray, float]:
     """Linear classifier of least non-negative risk  prior * R+(positives) + max(0, R-(unlabelled) - prior *
-    R-(positives))  under logistic loss. Where the second part falls below zero, the step goes against it,
-    so that the classifier does not learn unlabelled rows by heart. Values are presence, not counts."""
-    size = (1 << p.bits) + 1
-    w, seen = np.zeros(size), np.full(size, 1e-8)
-    w[-1] = np.log(prior / (1 - prior))
-    rng = np.random.default_rng(p.seed)
-    pos, unl = np.flatnonzero(labels > 0), np.flatnonzero(labels <= 0)
-    if not len(pos) or not len(unl):
-        return w[:-1], float(w[-1])
+    R-(positives))  under logistic loss.
 
-    def grads(rows: np.ndarray):
-        ids = np.concatenate([np.append(features[i], size - 1) for i in rows])
-        of = np.repeat(np.arange(len(rows)), [len(features[i]) + 1 for i in rows])
-        z = np.bincount(of, w[ids], len(rows))
-        return ids, of, 1 / (1 + np.exp(-np.clip(z, -50, 50))), z
-
-    for _ in range(p.passes):
-        order = rng.permutation(unl)
-        for a in range(0, len(order), p.batch):
-            u, q = order[a : a + p.batch], rng.choice(pos, min(len(pos), p.batch // 2))
-            iu, ou, su, zu = grads(u)
-            iq, oq, sq, zq = grads(q)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zq).mean()
-            ids = np.concatenate([iu, iq])
-            if negative >= 0:
-                g = np.concatenate([(su / len(u))[ou], (prior * (sq - 1) / len(q) - prior * sq / len(q))[oq]])
-            else:
-                g = np.concatenate([-(su / len(u))[ou], (prior * sq / len(q))[oq]])
-            hit, back = np.unique(ids, return_inverse=True)
-            g = np.bincount(back, g)
-            seen[hit] += g * g
-            step = p.rate / np.sqrt(seen[hit])
-            new = w[hit] - step * g
-            shrink = np.where(hit == size - 1, 0, step * p.l1 * prior)
-            w[hit] = np.sign(new) * np.maximum(np.abs(new) - shrink, 0)
-    return w[:-1], float(w[-1])
+    Only features whose means among positives and unlabelled rows differ by ``screen`` standard errors take
+    part, the ``features`` clearest of them. Where the second part of the risk falls below zero, the step goes
+    against it, so that the classifier does not learn unlabelled rows by heart.
+    """
+    size, pos = 1 << p.bits, labels > 0
+    weights, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
+    n_pos, n_unl = int(pos.sum()), int((~pos).sum())
+    if not n_pos or not n_unl:
+        return weights, bias
+    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    ids, x = np.concatenate(features), np.concatenate(values).astype(np.float64)
+    mean, var = [], []
+    for which, n in ((pos[row], n_pos), (~pos[row], n_unl)):
+        mean.append(np.bincount(ids[which], x[which], size) / n)
+        var.append((np.bincount(ids[which], x[which] ** 2, size) / n - mean[-1] ** 2) / n)
+    clear = (mean[0] - mean[1]) / np.sqrt(var[0] + var[1] + 1 / n_pos**2)
+    used = np.argsort(-np.abs(clear), kind="stable")[: p.features]
+    used = used[np.abs(clear[used]) >= p.screen]
+    place = np.full(size, -1)
+    place[used] = np.arange(len(used))
+    some = np.flatnonzero(place[ids] >= 0)
+    dense = np.zeros((len(features), len(used) + 1), np.float32)
+    dense[:, -1] = 1
+    dense[row[some], place[ids[some]]] = x[some]
+    x = dense
+    xp, xu = x[pos], x[~pos]
+    w, first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    w[-1] = bias
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    for t in range(1, p.steps + 1):
+        zu, zp = xu @ w, xp @ w
+        toxic = xp.T @ sigmoid(zp) / n_pos
+        below = xu.T @ sigmoid(zu) / n_unl - prior * toxic
+        if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
+            g = below + prior * (toxic - xp.mean(0))
+        else:
+            g = -below
+        g[:-1] += p.l2 * w[:-1]
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w -= p.rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    weights[used] = w[:-1]
+    return weights, float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: str = "true", doc_id: str = "doc_id", text: str = "text", label: str = "toxic", params: NonNegative = NonNegative()) -> tuple[np.ndarray, float]:
@@ -84,10 +94,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: str = "true", doc_id: str =
     rest = smallest_hashes(texts.select("doc_id").where(learn), "doc_id", params.seed + 1, params.unlabelled).withColumn("label", F.lit(0.0))
     picked = F.broadcast(pos.union(rest))  # at most positives + unlabelled narrow rows
     rows = texts.join(picked, "doc_id").select("label", "order", "text")
-    return fit(sparse(rows, "text", params.bits, params.orders), lambda f, v, y: nnpu(f, v, y, prior, params), params.bits)
+    return fit(sparse(rows, "text", params.bits, 1, params.prefixes, by_share), lambda f, v, y: nnpu(f, v, y, prior, params), params.bits)
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "toxic_score", params: NonNegative = NonNegative()) -> DataFrame:
     """``docs`` with the score (0 to 1) of each whole text. Null and empty texts score by the bias alone;
     copies score alike; other columns pass unread."""
-    return score(docs, *model, text, out, params.bits, params.orders, presence=True)
+    return score(docs, *model, text, out, params.bits, 1, params.prefixes, by_share)
