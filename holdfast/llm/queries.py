@@ -49,6 +49,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start elsewhere too."""
+    from holdfast.llm import suffixes
+
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the smallest doc_id of its near-duplicates."""
     from holdfast.llm import simhash
@@ -65,7 +72,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_mixing, op5_toxicity, op7_simhash, op9_packing)}
+    return {f.__name__: f for f in (op2_quality, op3_mixing, op5_toxicity, op6_suffixes, op7_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
