@@ -22,6 +22,14 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors, by inner product, of every vector whose vec_id is divisible by 20."""
+    from holdfast.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learned from labels outside fold 2 of 4."""
     from holdfast.llm import quality
@@ -39,6 +47,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op4_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.98 within labels."""
+    from holdfast.llm import embdedup
+
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; learned from labels outside fold 1 of 3."""
     from holdfast.llm import toxicity
@@ -71,8 +86,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_mixing, op5_toxicity, op6_suffixes, op7_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_neighbours, op2_quality, op3_mixing, op4_vector_copies, op5_toxicity, op6_suffixes, op7_simhash, op9_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
