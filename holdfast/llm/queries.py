@@ -79,6 +79,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    from holdfast.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces in sequences of at most 2048 tokens."""
     from holdfast.llm import packing
@@ -86,6 +93,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of all conversations, linked, ordered, validated and serialised."""
+    from holdfast.llm import chat
+
+    return chat.link(*chat.calls_of_turns(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -94,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_neighbours, op2_quality, op3_mixing, op4_vector_copies, op5_toxicity, op6_suffixes, op7_simhash, op9_packing, pipeline)}
+    return {f.__name__: f for f in (op1_neighbours, op2_quality, op3_mixing, op4_vector_copies, op5_toxicity, op6_suffixes, op7_simhash, op8_licenses, op9_packing, op10_tool_calls, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
