@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from holdfast.plans import reads
+
+_PLANS = (reads,)
 FLAGSHIP = "replication_report"
 
 
 def queries() -> dict:
-    return {}
+    return {name: fn for plan in _PLANS for name, fn in plan.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for plan in _PLANS for name, text in plan.SQL.items()}
