@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from holdfast.plans import reads
+from holdfast.plans import reads, replication
 
-_PLANS = (reads,)
+_PLANS = (reads, replication)
 FLAGSHIP = "replication_report"
 
 
