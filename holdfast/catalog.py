@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from holdfast.plans import reads, replication
+from holdfast.plans import reads, regimes, replication
 
-_PLANS = (reads, replication)
+_PLANS = (reads, replication, regimes)
 FLAGSHIP = "replication_report"
 
 
