@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from holdfast.plans import cycles, feature_tables, reads, regimes, replication
+from holdfast.plans import cycles, feature_tables, files, reads, regimes, replication
 
-_PLANS = (cycles, feature_tables, reads, replication, regimes)
+_PLANS = (cycles, feature_tables, files, reads, replication, regimes)
 FLAGSHIP = "replication_report"
 
 
