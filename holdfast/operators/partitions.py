@@ -95,6 +95,22 @@ def assign(matrix: DataFrame, centers: list[tuple]) -> DataFrame:
     return matrix.withColumn("__d", d).withColumn("distance", F.array_min("__d")).withColumn("label", (F.array_position("__d", F.col("distance")) - 1).cast("int")).drop("__d")
 
 
+def repair_empty(labelled: DataFrame, k: int) -> dict:
+    """time -> label for empty clusters: each takes the farthest point (the first of several) of the largest
+    cluster (the lowest label of several) that has more than one. ``labelled``: t, label, distance."""
+    moved: dict = {}
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    for empty in [i for i in range(k) if i not in sizes]:
+        largest = max(sizes, key=lambda i: (sizes[i], -i))
+        if sizes[largest] < 2:
+            break
+        far = labelled.where((F.col("label") == largest) & ~F.col("t").isin(list(moved))).orderBy(F.desc("distance"), "t").first()
+        moved[far["t"]] = empty
+        sizes[largest] -= 1
+        sizes[empty] = 1
+    return moved
+
+
 def cluster(matrix: DataFrame, k: int, iterations: int = 100, tolerance: float = 1e-12) -> tuple[DataFrame, list[tuple]]:
     """(t, label) and the final centres in lexicographic order, which number the labels.
 
@@ -110,16 +126,7 @@ def cluster(matrix: DataFrame, k: int, iterations: int = 100, tolerance: float =
     moved: dict = {}
     for _ in range(iterations):
         labelled = assign(held, centers)
-        moved = {}
-        sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-        for empty in [i for i in range(k) if i not in sizes]:
-            largest = max(sizes, key=lambda i: (sizes[i], -i))
-            if sizes[largest] < 2:
-                break
-            far = labelled.where((F.col("label") == largest) & ~F.col("t").isin(list(moved))).orderBy(F.desc("distance"), "t").first()
-            moved[far["t"]] = empty
-            sizes[largest] -= 1
-            sizes[empty] = 1
+        moved = repair_empty(labelled, k)
         labelled = override(labelled, moved)
         means = {r["label"]: tuple(r[x] for x in xs) for r in labelled.groupBy("label").agg(*[F.avg(x).alias(x) for x in xs]).collect()}
         new = [means.get(i, centers[i]) for i in range(k)]

@@ -23,7 +23,10 @@ def query(name: str, oracle_text: str | None = None):
 
 # originality
 
-_FIELDS = {"assertion.kind": F.col("kind"), "spec_ref": F.col("spec_ref"), "scope.kind": F.lit("all")}
+def _fields():
+    return {"assertion.kind": F.col("kind"), "spec_ref": F.col("spec_ref"), "scope.kind": F.lit("all")}
+
+
 _HASH = {
     "kind": "SHA('assertion.kind=' || kind)",
     "both": "SHA('assertion.kind=' || kind || '|spec_ref=' || spec_ref)",
@@ -54,18 +57,18 @@ def _(spark, d):
 
 @query("project_paths", f"select pattern_id, {_HASH['both']} as projection_hash from {_ONE}")
 def _(spark, d):
-    return _many(spark, d).select("pattern_id", originality.projection(["spec_ref", "assertion.kind"], _FIELDS).alias("projection_hash"))
+    return _many(spark, d).select("pattern_id", originality.projection(["spec_ref", "assertion.kind"], _fields()).alias("projection_hash"))
 
 
 @query("reduction_match", f"select * from {_FOUND}")
 def _(spark, d):
-    return originality.matches(_many(spark, d), _entries(spark, d), _FIELDS)
+    return originality.matches(_many(spark, d), _entries(spark, d), _fields())
 
 
 @query("originality_decision", f"select p.pattern_id, case when f.pattern_id is null then 'pass' else 'reject' end as decision, f.anti_pattern_id from {_ONE} p left join (select pattern_id, min_by(anti_pattern_id, position) as anti_pattern_id from {_FOUND} group by 1) f on f.pattern_id = p.pattern_id")
 def _(spark, d):
     p = _many(spark, d)
-    return originality.decisions(p, originality.matches(p, _entries(spark, d), _FIELDS))
+    return originality.decisions(p, originality.matches(p, _entries(spark, d), _fields()))
 
 
 _NEW = "(select cast(c_custkey as int) as position, 'ap' || cast(c_custkey % 60 as string) as anti_pattern_id from {customer} where c_custkey <= 70)"

@@ -132,6 +132,15 @@ def _(spark, d):
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+_FAR = "(select t, case when d0 <= d1 then 0 else 1 end as label, least(d0, d1) as distance from (select t, x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3 as d0, (x0 - 1) * (x0 - 1) + (x1 - 1) * (x1 - 1) + (x2 - 1) * (x2 - 1) + (x3 - 1) * (x3 - 1) as d1 from __STD__))".replace("__STD__", _STD)
+
+
+@query("repair_empty", f"""select t, cast(case when label = (select label from {_FAR} group by 1 order by count(*) desc, label limit 1) and row_number() over (partition by label order by distance desc, t) = 1 then 2 else label end as int) as label from {_FAR}""")
+def _(spark, d):
+    labelled = prt.assign(prt.standardize(_matrix(spark, d)), [(0.0,) * 4, (1.0,) * 4, (1e6,) * 4])
+    return prt.override(labelled, prt.repair_empty(labelled, 3)).select("t", "label")
+
+
 @query("partition_assignment")
 def _(spark, d):
     return prt.partition_assignment(prt.cluster(prt.standardize(_matrix(spark, d)), 3)[0])
