@@ -111,5 +111,22 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_neighbours, op2_quality, op3_mixing, op4_vector_copies, op5_toxicity, op6_suffixes, op7_simhash, op8_licenses, op9_packing, op10_tool_calls, pipeline)}
 
 
+_PAIRS = """pairs as materialized (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id
+    where list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) >= 0.98)"""
+
+#: Equivalent SQL where there is some; the others hash, learn or tokenise, and tests hold them against brute force.
+_SQL = {
+    "op4_vector_copies": f"""with recursive {_PAIRS}, reach as (select vec_id, vec_id as other from embeddings union select r.vec_id, p.b from reach r join pairs p on p.a = r.other)
+        select e.vec_id, (select count(*) from pairs p where p.a = e.vec_id) as n_links, min(r.other) as component_id, e.vec_id = min(r.other) as kept from embeddings e join reach r on r.vec_id = e.vec_id group by e.vec_id""",
+    "op10_tool_calls": """with calls as (select conv_id, turn, text, 'call-' || turn as call_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words from conversations where role = 'user'),
+        results as (select conv_id, turn, text, 'call-' || (turn - 1) as call_id from conversations where role = 'assistant')
+        select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as position, c.turn as level,
+        case when c.turn is null then 'no call' when r.turn is null then 'no result' else 'linked' end as status, c.turn is not null as valid, case when c.turn is not null then '' end as problems,
+        '{"arguments":' || coalesce('{"text":' || to_json(c.text) || ',"words":' || c.words || '}', 'null') || ',"call_id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"content":' || coalesce(to_json(r.text), 'null')
+        || ',"level":' || coalesce(c.turn::varchar, 'null') || ',"tool":' || case when c.turn is null then 'null' else '"answer"' end || '}' as message
+        from calls c full join results r on r.conv_id = c.conv_id and r.call_id = c.call_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
