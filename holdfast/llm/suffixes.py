@@ -27,7 +27,7 @@ GRAM = 64
 PART = 1 << 20
 _POSITION = 21
 #: Different segments of one gram that one shard takes, and bytes that one suffix array covers.
-SHARD_SEGMENTS, SHARD_BYTES = 8192, 3 << 20
+SHARD_SEGMENTS, SHARD_BYTES = 4096, 1 << 20
 
 
 def _window_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -97,41 +97,39 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     Larsson-Sadakane: suffixes sorted by ``h`` bytes are sorted by 2 h with the ranks ``h`` further on as
     second keys; only groups not yet told apart are sorted again.
     """
-    n = len(data)
-    seg = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
-    left = ends[seg] - np.arange(n)
-    padded = np.append(data, np.zeros(8, np.uint8)).astype(U64)
+    n, segments = len(data), len(ends)
+    seg = np.repeat(np.arange(segments, dtype=np.int32), np.diff(np.append(0, ends)))
+    left = (ends[seg] - np.arange(n)).astype(np.int32)
+    padded = np.append(data, np.zeros(8, np.uint8))
     key = np.zeros(n, U64)
     for b in range(7):
-        key = (key << U64(8)) | np.where(b < left, padded[b : b + n], 0)
+        key = (key << U64(8)) | np.where(b < left, padded[b : b + n], 0).astype(U64)
     key = (key << U64(8)) | np.minimum(left, 7).astype(U64)
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)
     new = np.ones(n, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     del key, padded
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     starts = np.flatnonzero(new)
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))  # a group's rank: its first place
-    h, segments = 7, len(ends)
+    rank[order] = np.repeat(starts.astype(np.int32), np.diff(np.append(starts, n)))  # a group's rank: its first place
+    h = 7
     while True:
         size = np.diff(np.append(starts, n))
-        open_ = np.repeat(size > 1, size)
-        places = np.flatnonzero(open_)
+        places = np.flatnonzero(np.repeat(size > 1, size))
         if not len(places):
             return order, rank
         at = order[places]
-        further = np.minimum(at + h, n - 1)
-        second = np.where(left[at] > h, rank[further] + segments, seg[at])
-        first = rank[at]
-        turn = np.lexsort((second, first))
-        at, first, second = at[turn], first[turn], second[turn]
+        second = np.where(left[at] > h, rank[np.minimum(at + h, n - 1)] + segments, seg[at])
+        both = rank[at].astype(np.int64) * (n + segments) + second
+        turn = np.argsort(both)
+        at, both = at[turn], both[turn]
         order[places] = at
         cut = np.ones(len(at), bool)
-        cut[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        cut[1:] = both[1:] != both[:-1]
         new[places] = cut
         starts = np.flatnonzero(new)
-        group = np.repeat(np.flatnonzero(cut), np.diff(np.append(np.flatnonzero(cut), len(at))))
-        rank[at] = places[group]
+        cut = np.flatnonzero(cut)
+        rank[at] = np.repeat(places[cut].astype(np.int32), np.diff(np.append(cut, len(at))))
         h *= 2
 
 
