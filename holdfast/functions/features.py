@@ -68,11 +68,15 @@ def along(x: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(x, fn)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of ``value``, which is evaluated once and not again inside the lambdas of ``fn``."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def z_score(x: Column, epsilon: float = 1e-12) -> Column:
     """Distance from the mean in population deviations of at least ``epsilon``."""
-    m = mean(x)
-    var = F.aggregate(F.transform(x, lambda v: (v - m) * (v - m)), F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    return F.transform(x, lambda v: (v - m) / F.greatest(F.sqrt(var), F.lit(epsilon)))
+    spread = lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x))
+    return let(mean(x), lambda m: let(F.greatest(spread(m), F.lit(epsilon)), lambda s: F.transform(x, lambda v: (v - m) / s)))
 
 
 def placeholders(template: str) -> list[str]:

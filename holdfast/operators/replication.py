@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.tables import broadcast_if_small
+from holdfast.functions.tables import broadcast_if_small, written
 from holdfast.operators import pit
 from holdfast.operators.patterns import ARGS, distinct_p, finite, verdict
 
@@ -64,10 +64,12 @@ def window_values(series: DataFrame, windows: DataFrame, patterns: DataFrame, bu
     return both.drop("bucket", "t0", "t1")
 
 
-def window_verdicts(values: DataFrame, windows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern_id, window_id, n, passed) of every window; one without values does not pass."""
+def window_verdicts(values: DataFrame, windows: DataFrame, patterns: DataFrame, ps: list[float] | None = None) -> DataFrame:
+    """(pattern_id, window_id, n, passed) of every window; one without values does not pass. ``ps``: the distinct
+    quantile positions of ``patterns``, if known."""
+    ps = distinct_p(patterns) if ps is None else ps
     args = broadcast_if_small(patterns.select("pattern_id", *ARGS))
-    found = values.select("pattern_id", "window_id", "value").join(args, "pattern_id").groupBy("pattern_id", "window_id").agg(F.count("*").alias("n"), verdict(F.col("value"), distinct_p(patterns)).alias("passed"))
+    found = values.select("pattern_id", "window_id", "value").join(args, "pattern_id").groupBy("pattern_id", "window_id").agg(F.count("*").alias("n"), verdict(F.col("value"), ps).alias("passed"))
     both = windows.select("pattern_id", "window_id").join(found, ["pattern_id", "window_id"], "left")
     return both.select("pattern_id", "window_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("passed", F.lit(False)).alias("passed"))
 
@@ -172,16 +174,17 @@ def control_results(values: DataFrame, windows: DataFrame, patterns: DataFrame,
     or on those that ``control_values`` (pattern_id, window_id, control, value) supplies; threshold_perturbed if
     the tightened assertion gives the same verdict.
     """
-    base = window_verdicts(values, windows, patterns)
+    ps = distinct_p(patterns)
+    base = window_verdicts(values, windows, patterns, ps)
     out = None
     for name, made in (("time_shuffled", time_shuffled(values)), ("scope_randomized", scope_resampled(values))):
         used = made
         if control_values is not None:
             own = control_values.where(F.col("control") == name).select("pattern_id", "window_id", F.lit(0).cast("long").alias("t"), "value")
             used = made.join(own.select("pattern_id", "window_id").distinct(), ["pattern_id", "window_id"], "left_anti").unionByName(own)
-        one = window_verdicts(used, windows, patterns).select("pattern_id", "window_id", F.lit(name).alias("control"), (~F.col("passed")).alias("passed"))
+        one = window_verdicts(used, windows, patterns, ps).select("pattern_id", "window_id", F.lit(name).alias("control"), (~F.col("passed")).alias("passed"))
         out = one if out is None else out.union(one)
-    tight = window_verdicts(values, windows, tightened(patterns)).select("pattern_id", "window_id", F.col("passed").alias("tight"))
+    tight = window_verdicts(values, windows, tightened(patterns), ps).select("pattern_id", "window_id", F.col("passed").alias("tight"))
     same = base.join(tight, ["pattern_id", "window_id"]).select("pattern_id", "window_id", F.lit("threshold_perturbed").alias("control"), (F.col("passed") == F.col("tight")).alias("passed"))
     return out.union(same)
 
@@ -205,11 +208,15 @@ def control_seed(pattern_id: Column, control: str, window_id: Column) -> Column:
 
 
 def replication_report(patterns: DataFrame, series: DataFrame, reservations: DataFrame, tags: DataFrame | None = None, control_values: DataFrame | None = None) -> DataFrame:
-    """One row per pattern with the results of all gates and the verdict over them."""
-    heldout = select_heldout(grid_windows(patterns), patterns)
+    """One row per pattern with the results of all gates and the verdict over them.
+
+    Windows, their values and the verdicts are written once: six gates read them, and the range join of the
+    series runs a single time.
+    """
+    heldout = written(select_heldout(grid_windows(patterns), patterns))
     windows = heldout.unionByName(observation_windows(patterns))
-    values = window_values(series, windows, patterns)
-    verdicts = window_verdicts(values, windows, patterns)
+    values = written(window_values(series, windows, patterns).select("pattern_id", "window_id", "t", "value", "source_hash"))
+    verdicts = written(window_verdicts(values, windows, patterns))
     held_values = values.where(F.col("window_id") != OBSERVATION)
     tags = heldout.select("pattern_id", "window_id", F.lit("partition_0").alias("partition_id")) if tags is None else tags
     refused = heldout_reservations(heldout, reservations, "test").where("outcome = 'refused'")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from holdfast.functions.tables import written
 from holdfast.operators import patterns as pat
 from holdfast.operators import replication as rep
 from holdfast.plans.fixtures import DAY, START, oracle, sql, view
@@ -160,8 +162,7 @@ _RESERVED = f"select pattern_id, 'Discover' as stage, cast({START + 10 * DAY} as
 _REFUSED = f"(select pattern_id, window_id from ({_HELD}) h where exists (select 1 from ({_RESERVED}) r where r.stage = 'Discover' and r.pattern_id = h.pattern_id and r.t0 <= h.t1 and r.t1 >= h.t0))"
 
 
-def _reservations(spark, d):
-    p, held, _, _ = _tables(spark, d)
+def _reservations(p, held):
     first = p.where("kind = 'sign'").select("pattern_id", F.lit("Discover").alias("stage"), F.lit(START + 10 * DAY).cast("long").alias("t0"), F.lit(START + 11 * DAY).cast("long").alias("t1"), F.lit("c1").alias("cycle_id"))
     return first.unionByName(held.where("window_id = 'heldout_2'").select("pattern_id", F.lit("EmpiricalTest").alias("stage"), "t0", "t1", F.lit("c2").alias("cycle_id")))
 
@@ -173,7 +174,7 @@ _CLEAN = f"""(select p.pattern_id, coalesce(shared, 0) as shared, cast(0 as bigi
 @query("disjointness", f"select * from {_CLEAN}")
 def _(spark, d):
     p, held, _, values = _tables(spark, d)
-    refused = rep.heldout_reservations(held, _reservations(spark, d), "test").where("outcome = 'refused'")
+    refused = rep.heldout_reservations(held, _reservations(p, held), "test").where("outcome = 'refused'")
     return rep.disjointness(p, rep.window_lineage(values), rep.gap_failures(held, p), refused)
 
 
@@ -201,17 +202,15 @@ _PARTS = f"""(select pattern_id, partition_id, windows, cast(passes as bigint) a
     {_NEED.replace("{n}", "count(*)").replace("{t}", "any_value(partition_pass_threshold)")} as required from {_verdicts(_VALUES)} v join {_TAG} t on t.pattern_id = v.pattern_id and t.window_id = v.window_id join {{patterns}} p on p.pattern_id = v.pattern_id group by 1, 2))"""
 
 
-def _tags(spark, d):
-    from pyspark.sql import Window
-
+def _tags(held):
     turn = F.row_number().over(Window.partitionBy("pattern_id").orderBy("t0")) % 3
-    return _heldout(spark, d).select("pattern_id", "window_id", F.concat(F.lit("partition_"), turn.cast("string")).alias("partition_id"))
+    return held.select("pattern_id", "window_id", F.concat(F.lit("partition_"), turn.cast("string")).alias("partition_id"))
 
 
 @query("partition_results", f"select * from {_PARTS}")
 def _(spark, d):
-    p, _, windows, values = _tables(spark, d)
-    return rep.partition_results(rep.window_verdicts(values, windows, p), _tags(spark, d), p)
+    p, held, windows, values = _tables(spark, d)
+    return rep.partition_results(rep.window_verdicts(values, windows, p), _tags(held), p)
 
 
 _NUMBERED = f"(select *, row_number() over (partition by pattern_id, window_id order by t, value) - 1 as i, count(*) over (partition by pattern_id, window_id) as n from {_VALUES} where window_id <> 'observation')"
@@ -266,7 +265,9 @@ def _(spark, d):
 @query("heldout_reservations", f"""select h.pattern_id, h.window_id, h.t0, h.t1, case when f.window_id is null then 'available' else 'refused' end as outcome, f.window_id is null and h.window_id <> 'heldout_2' as created_now
     from ({_HELD}) h left join {_REFUSED} f on f.pattern_id = h.pattern_id and f.window_id = h.window_id""")
 def _(spark, d):
-    return rep.heldout_reservations(_heldout(spark, d), _reservations(spark, d), "test")
+    p = view(spark, d, "patterns")
+    held = rep.select_heldout(rep.grid_windows(p), p)
+    return rep.heldout_reservations(held, _reservations(p, held), "test")
 
 
 @query("window_fingerprint", f"select pattern_id, window_id, cast(cast('0x' || substr(sha256(pattern_id || ':time_shuffled:' || window_id), 1, 16) as ubigint) as string) as seed from ({_HELD})")
@@ -282,4 +283,6 @@ def _(spark, d):
     join (select pattern_id, count(*) as partitions, count_if(passed) as partition_passes, count_if(passed) * 2 > count(*) as partitions_hold from {_PARTS} group by 1) g on g.pattern_id = r.pattern_id
     join {_PERTURBED} c on c.pattern_id = r.pattern_id join {_CLEAN} k on k.pattern_id = r.pattern_id""")
 def _(spark, d):
-    return rep.replication_report(view(spark, d, "patterns"), view(spark, d, "series"), _reservations(spark, d), _tags(spark, d))
+    p = written(view(spark, d, "patterns"))  # derived from all events; a few rows
+    held = written(rep.select_heldout(rep.grid_windows(p), p))
+    return rep.replication_report(p, view(spark, d, "series"), _reservations(p, held), _tags(held))
