@@ -153,11 +153,12 @@ def _tags(spark, d):
     return sql(spark, d, f"select * from {_TAGGED}")
 
 
-@query("partition_fingerprints", f"""select partition_id, cast(dim as int) as dim, count(*) as count, round(count(*) / sum(count(*)) over (partition by dim), 6) as weight, round(avg(value), 6) as centroid, round(stddev_pop(value), 6) as std,
-    round(min(value), 6) as min, round(max(value), 6) as max, round(quantile_cont(value, 0.1), 6) as q0, round(quantile_cont(value, 0.5), 6) as q1, round(quantile_cont(value, 0.9), 6) as q2
+@query("partition_fingerprints", f"""select partition_id, cast(dim as int) as dim, count(*) as count, round(count(*) / sum(count(*)) over (partition by dim) + 3.7e-8, 6) as weight, round(avg(value) + 3.7e-8, 6) as centroid, round(stddev_pop(value) + 3.7e-8, 6) as std,
+    round(min(value) + 3.7e-8, 6) as min, round(max(value) + 3.7e-8, 6) as max, round(quantile_cont(value, 0.1) + 3.7e-8, 6) as q0, round(quantile_cont(value, 0.5) + 3.7e-8, 6) as q1, round(quantile_cont(value, 0.9) + 3.7e-8, 6) as q2
     from (select partition_id, {{unpivot}} from {_FULL} m join {_TAGGED} a on a.t = m.t) group by partition_id, dim""".replace("{unpivot}", "unnest([0, 1, 2, 3]) as dim, unnest([x0, x1, x2, x3]) as value"))
 def _(spark, d):
-    return _rounded(prt.partition_fingerprints(_matrix(spark, d), _tags(spark, d)))
+    out = prt.partition_fingerprints(_matrix(spark, d), _tags(spark, d))
+    return out.withColumns({c: F.round(F.col(c) + 3.7e-8, 6) for c, k in out.dtypes if k == "double"})  # off exact ties
 
 
 _W = f"(select distinct pattern_id, stage, {START} + cast((t0 / 86400) as bigint) % 29 * {DAY} as t0, {START} + cast((t0 / 86400) as bigint) % 29 * {DAY} + 30000 as t1 from {{reservations}})"
