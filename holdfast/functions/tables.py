@@ -5,22 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 
 
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="holdfast-"))
+        found = _own[0]
+    return found
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder of spark.checkpoint.dir (our own where unset)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="holdfast-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/tables/{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from holdfast.functions.tables import written
+from holdfast.functions.tables import shared_dir, written
 from holdfast.plans.fixtures import DAY, oracle, sql, view
 from holdfast.plans.reads import _raw_fetches
 from holdfast.sources import tables
@@ -27,8 +27,7 @@ def query(name: str, oracle_text: str | None = None):
 
 
 def _place(spark) -> str:
-    written(spark.range(1))  # settles the shared folder
-    return f"{spark.conf.get('spark.checkpoint.dir')}/files/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
 
 
 @query("read_raw_fetches", "select cast(doc_id as string) as entity_id, cast(1 as int) as n_headers, fetch_time from {fetched}")
