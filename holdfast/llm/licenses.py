@@ -30,6 +30,11 @@ TEMPLATES = {
     "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial license",
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike license",
 }
+#: Wordings that set a label's template apart from others that share nearly all of its words.
+TELLING = {
+    "cc-by-nc": ("noncommercial", "non commercial"),
+    "cc-by-sa": ("sharealike", "share alike"),
+}
 
 _WORD = np.ones(256, bool)
 _WORD[:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
@@ -48,8 +53,8 @@ class Scan:
 class _Vocabulary:
     """Words of phrases and templates, known by their hashes; all others are word -1."""
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
-        self.words = sorted({w for x in (*phrases, *templates.values()) for w in x.split()})
+    def __init__(self, texts: list[str]):
+        self.words = sorted({w for x in texts for w in x.split()})
         text = " ".join(self.words).encode()
         ends = np.cumsum([len(w.encode()) + 1 for w in self.words]) - 1
         starts = np.append(0, ends[:-1] + 1)
@@ -131,7 +136,58 @@ def matches(ids: np.ndarray, at: np.ndarray, templates: list[np.ndarray], rank:
     return np.concatenate(row), np.concatenate(kinds), np.concatenate(shares)
 
 
-def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, params: Scan = Scan()) -> DataFrame:
+def places(ids: np.ndarray, at: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``phrase`` stand consecutively in one row, and those rows."""
+    hit = np.arange(max(0, len(ids) - len(phrase) + 1))
+    for step, w in enumerate(phrase):
+        hit = hit[ids[hit + step] == w]
+    of = np.searchsorted(at, hit, "right") - 1
+    same = hit + len(phrase) <= at[of + 1]
+    return hit[same], of[same]
+
+
+def everywhere(ids: np.ndarray, at: np.ndarray, templates: list[np.ndarray], telling: list[list[np.ndarray]], size: int, p: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, template and largest containment where a block that starts at any word qualifies: it holds
+    ``containment`` of the template's words and, where the template has telling wordings, one of these.
+
+    Only rows that hold enough of a template's words at all are looked at (length filter). There each place of a
+    word counts for the starts from which it is the word's first place in the block, so sums give all blocks.
+    """
+    n = len(ids)
+    sums = lambda low, last: np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))[:n]
+    row, kinds, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k, (template, tells) in enumerate(zip(templates, telling, strict=True)):
+        need = int(np.ceil(p.containment * len(template) - 1e-9))
+        mine = np.zeros(size + 1, bool)  # the last is word -1
+        mine[template] = True
+        pos = np.flatnonzero(mine[ids])
+        of = np.searchsorted(at, pos, "right") - 1
+        many = np.bincount(np.unique(of * size + ids[pos]) // size, minlength=len(at) - 1)
+        pos, of = pos[many[of] >= need], of[many[of] >= need]
+        if not len(pos):
+            continue
+        order = np.lexsort((pos, ids[pos]))
+        pos, of, word = pos[order], of[order], ids[pos[order]]
+        again = np.append(False, (word[1:] == word[:-1]) & (of[1:] == of[:-1]))
+        after = np.where(again, np.append(0, pos[:-1]) + 1, 0)
+        held = sums(np.maximum(np.maximum(after, pos - p.block + 1), at[of]), pos)
+        ok = held >= need
+        if tells:
+            told = np.zeros(n, bool)
+            for phrase in tells:
+                hit, r = places(ids, at, phrase)
+                told |= sums(np.maximum(hit + len(phrase) - p.block, at[r]), hit) > 0
+            ok &= told
+        start = np.flatnonzero(ok)
+        if len(start):
+            rows, first = np.unique(np.searchsorted(at, start, "right") - 1, return_index=True)
+            row.append(rows)
+            kinds.append(np.full(len(rows), k))
+            shares.append(np.maximum.reduceat(held[start], first) / len(template))
+    return np.concatenate(row), np.concatenate(kinds), np.concatenate(shares)
+
+
+def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, params: Scan = Scan(), telling: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score of each whole text
     instead of ``text``.
 
@@ -139,14 +195,20 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     a phrase's words stand consecutively; labels adds those of templates of which a block of words holds
     ``containment``. score is the largest share of a template in a block that qualifies, 1 where a phrase
     stands, else 0. Null and empty texts have no words and no labels; copies give like rows.
+
+    With ``telling`` (wordings by label, perhaps none) blocks start at every word, and a block gives one of these
+    labels only if it holds one of its wordings too. Without it blocks start every ``step`` words, and templates
+    that share most words give each other's labels.
     """
-    words = _Vocabulary(phrases, templates)
+    tells = [x for found in (telling or {}).values() for x in found]
+    words = _Vocabulary([*phrases, *templates.values(), *tells])
     spelled = [(words.ids(x), label) for x, label in phrases.items()]
     sets = [np.unique(words.ids(x)) for x in templates.values()]
     names = list(templates)
     times = frequencies(docs, text, words)
     rank = np.empty(len(times), np.int64)
     rank[np.lexsort((np.arange(len(times)), times))] = np.arange(len(times))
+    told = [[words.ids(x) for x in (telling or {}).get(label, ())] for label in names]
     k = docs.columns.index(text)
 
     def one(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -159,12 +221,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
             extra: dict[int, set] = {}
             score = np.zeros(n)
             for phrase, label in spelled:
-                hit = np.arange(max(0, len(ids) - len(phrase) + 1))
-                for step, w in enumerate(phrase):
-                    hit = hit[ids[hit + step] == w]
-                of = np.searchsorted(at, hit, "right") - 1
-                same = hit + len(phrase) <= at[of + 1]
-                hit, of = hit[same], of[same]
+                hit, of = places(ids, at, phrase)
                 base += np.bincount(of, minlength=n)
                 place = hit - at[of]
                 for r, x in zip(of.tolist(), place.tolist(), strict=True):
@@ -172,7 +229,8 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
                     first[r] = x if first[r] < 0 else min(first[r], x)
                     last[r] = max(last[r], x)
             score[list(labels)] = 1.0
-            for r, kind, share in zip(*(x.tolist() for x in matches(ids, at, sets, rank, params)), strict=True):
+            found = matches(ids, at, sets, rank, params) if telling is None else everywhere(ids, at, sets, told, len(rank), params)
+            for r, kind, share in zip(*(x.tolist() for x in found), strict=True):
                 extra.setdefault(r, set()).add(names[kind])
                 score[r] = max(score[r], share)
             join = lambda found: ",".join(sorted(found))
