@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
+#: Bytes of a written table that may be broadcast, as Parquet; a larger one is joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a folder of this machine
+    serves a session that runs on it alone; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="holdfast-"))
         found = _own[0]
@@ -31,8 +35,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is small in bytes. A table that is read as it was written (columns of it,
+    perhaps) is measured by its files, without a job; any other is written first."""
+    measured = df if _scanned(df) else written(df)
+    return F.broadcast(measured) if _bytes(measured) <= most else measured
+
+
+def _scanned(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return plan.children().isEmpty() and plan.nodeName() in ("LogicalRelation", "DataSourceV2ScanRelation")
+
+
+def _bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads."""
+    spark = df.sparkSession
+    configuration = spark._jsparkSession.sessionState().newHadoopConf()
+    total = 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(configuration).getFileStatus(path).getLen()
+    return total
 
 
 def with_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
