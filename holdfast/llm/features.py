@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.llm.arrow import add_columns
+from holdfast.llm.arrow import add_columns, bounded_batches, mapped, release
+from holdfast.llm.store import materialize
 from holdfast.llm.textscan import LOWER, U64, chunks, column, mix, prefix_hash, range_hash
 
 BITS = 18
@@ -84,7 +86,7 @@ def valued(data, offsets, bits, orders, prefixes, weigh, only: np.ndarray | None
 
 
 def sparse(docs: DataFrame, text: str, bits: int, orders: int, prefixes: tuple[int, ...] = (), weigh=by_count) -> DataFrame:
-    """``docs`` with arrays ``feature`` and ``value`` instead of ``text``."""
+    """``docs`` with arrays ``feature`` and ``value`` instead of ``text`` (and of columns of these names)."""
     k = docs.columns.index(text)
 
     def one(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -98,50 +100,60 @@ def sparse(docs: DataFrame, text: str, bits: int, orders: int, prefixes: tuple[i
         off = pa.array(np.concatenate(at), pa.int32())
         return [pa.ListArray.from_arrays(off, pa.array(np.concatenate(feature))), pa.ListArray.from_arrays(off, pa.array(np.concatenate(value)))]
 
-    return add_columns(docs, one, [T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]).drop(text)
+    return add_columns(docs, one, [T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))], drop=(text,))
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str, out: str, bits: int = BITS, orders: int = 2, prefixes: tuple[int, ...] = (), weigh=by_count) -> DataFrame:
     """``docs`` with the logistic score of each whole text: a sparse dot product with ``weights``, which are
-    broadcast (2**bits numbers, whatever the corpus)."""
+    broadcast (2**bits numbers, whatever the corpus). Each text is summed by itself in the order of its features,
+    so equal texts score alike wherever they stand. Only texts go to Python; ``out`` replaces a column of its name."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
-    k = docs.columns.index(text)
 
-    def one(batch: pa.RecordBatch) -> list[pa.Array]:
-        w, parts = held.value, [np.zeros(0)]
-        for _, _, d, o in chunks(*column(batch.column(k))):
-            at, feature, value = valued(d, o, bits, orders, prefixes, weigh, only=w)
-            sums = np.concatenate([[0.0], np.cumsum(w[feature] * value)])
-            parts.append(sums[at[1:]] - sums[at[:-1]])
-        z = np.clip(np.concatenate(parts) + bias, -500, 500)
-        return [pa.array(1 / (1 + np.exp(-z)))]
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        w = held.value
+        try:
+            for col in texts:
+                parts = [np.zeros(0)]
+                for i, j, d, o in chunks(*column(col)):
+                    at, feature, value = valued(d, o, bits, orders, prefixes, weigh, only=w)
+                    parts.append(np.bincount(np.repeat(np.arange(j - i), np.diff(at)), w[feature] * value, j - i))
+                yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(parts) + bias, -500, 500))))
+        finally:
+            release()
+
+    return docs.withColumn(out, scored(F.col(text)))
+
+
+@dataclass
+class Sample:
+    """Rows to learn from: those of row i have the features and values at[i] to at[i + 1]."""
 
-    return add_columns(docs, one, [T.StructField(out, T.DoubleType())])
+    at: np.ndarray
+    features: np.ndarray
+    values: np.ndarray
+    labels: np.ndarray
 
 
-def fit(sample: DataFrame, train: Callable[[list[np.ndarray], list[np.ndarray], np.ndarray], tuple[np.ndarray, float]], bits: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that ``train`` (features, values, labels of each row) makes of a sample in one task.
-    ``sample`` (columns label, feature, value, order) has a bounded number of rows; only weights other than
-    zero, at most 2**bits, come to the driver."""
+def fit(sample: DataFrame, train: Callable[[Sample], tuple[np.ndarray, float]], bits: int) -> tuple[np.ndarray, float]:
+    """Weights and bias that ``train`` makes of a sample in one task. ``sample`` (columns label, feature, value,
+    order) is bounded in rows and bytes (``bounded_sample``); only weights other than zero, at most 2**bits, come to
+    the driver."""
 
     def run(batches):
-        features, values, labels, order = [], [], [], []
-        for batch in batches:
-            f, m = batch.column(batch.schema.get_field_index("feature")), batch.column(batch.schema.get_field_index("value"))
-            off = np.asarray(f.offsets) - f.offsets[0].as_py()
-            fv, mv = np.asarray(f.flatten()), np.asarray(m.flatten())
-            features += [fv[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-            values += [mv[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-            labels.append(batch.column(batch.schema.get_field_index("label")).to_numpy())
-            order.append(batch.column(batch.schema.get_field_index("order")).to_numpy())
-        if not features:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        turn = np.argsort(np.concatenate(order), kind="stable")
-        w, bias = train([features[i] for i in turn], [values[i] for i in turn], np.concatenate(labels)[turn])
+        table = pa.Table.from_batches(held).sort_by([("order", "ascending"), ("label", "ascending")]).combine_chunks()
+        del held
+        f = table.column("feature").combine_chunks()
+        at = np.asarray(f.offsets).astype(np.int64)
+        w, bias = train(Sample(at - at[0], np.asarray(f.flatten()), np.asarray(table.column("value").combine_chunks().flatten()), table.column("label").to_numpy()))
         some = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(w[some], bias))], ["at", "weight"])
 
-    rows = sample.select("label", "feature", "value", "order").repartition(1).mapInArrow(run, "at long, weight double").toPandas()
+    rows = mapped(sample.select("label", "feature", "value", "order").repartition(1), run, "at long, weight double").toPandas()
     weights = np.zeros(1 << bits)
     real = rows["at"] >= 0
     weights[rows["at"][real].to_numpy()] = rows["weight"][real].to_numpy()
@@ -149,5 +161,19 @@ def fit(sample: DataFrame, train: Callable[[list[np.ndarray], list[np.ndarray],
 
 
 def smallest_hashes(ids: DataFrame, doc_id: str, seed: int, most: int) -> DataFrame:
-    """At most ``most`` rows of ``ids``, those with the smallest hashes, with these as ``order``."""
-    return ids.withColumn("order", F.xxhash64(doc_id, F.lit(seed))).orderBy("order", doc_id).limit(most)
+    """At most ``most`` of the distinct ``ids``, those with the smallest hashes, with these as ``order``. Every task
+    keeps that many at most before the shuffle."""
+    return ids.select(doc_id).distinct().withColumn("order", F.xxhash64(doc_id, F.lit(seed))).orderBy("order", doc_id).limit(most)
+
+
+def bounded_sample(texts: DataFrame, picked: DataFrame, most_bytes: int) -> DataFrame:
+    """(label, order, text): one text for each row of ``picked`` (doc_id, label, order; a bounded number of rows,
+    broadcast) of ``texts`` (doc_id, text), the one of the smallest hash where an id has several; in their order, as
+    many whole texts as ``most_bytes`` hold together."""
+    own = F.struct(F.xxhash64("text").alias("hash"), "text")
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "order").agg(F.min(own).alias("own"))
+    rows = materialize(rows.select("doc_id", "label", "order", F.col("own.text").alias("text")))
+    upto = Window.orderBy("order", "label", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", "label", "order", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))  # as many as picked
+    few = sizes.withColumn("together", F.sum("size").over(upto)).where(F.col("together") <= most_bytes).select("doc_id", "label")
+    return rows.join(F.broadcast(few), ["doc_id", "label"]).select("label", "order", "text")

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm.arrow import mapped
 from holdfast.llm.store import materialize
-from holdfast.llm.textscan import chunks, column, mix
+from holdfast.llm.textscan import chunks, column
 
 #: Documents that one task packs together.
 GROUP_ROWS = 50_000
@@ -33,7 +34,8 @@ def _encoder(path: str):
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = 2048, end: int = 0) -> DataFrame:
     """Token pieces of each whole text: its ids and then ``end``, cut only if longer than ``length``; the
-    first piece is then the short one. Null texts are empty, so each row gives one piece at least."""
+    first piece is then the short one. Null texts are empty, so each row gives one piece at least. ``salt`` is a
+    number of the piece's own, from 0: its task and its place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -54,11 +56,11 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 closed[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(at))] = ids
                 raw, base = closed.tobytes(), (at[:-1] + np.arange(j - i))[row] + start
                 crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(base.tolist(), size.tolist(), strict=True)), np.int64, len(row))
-                salt = mix(((task << 40) + done + np.arange(len(row))).astype(np.uint64)).view(np.int64)
+                salt = (task << 40) + done + np.arange(len(row))
                 done += len(row)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc), pa.array(salt)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, PIECES)
 
 
 def best_fit_decreasing(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +103,9 @@ def lower_bound(size: np.ndarray, length: int) -> int:
     return best
 
 
+_PACKED = ("sequence_id", "offset", "group_sequences", "group_bound")
+
+
 def _packer(names: list[str], length: int, turn: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("salt", kind="stable")
@@ -108,24 +113,26 @@ def _packer(names: list[str], length: int, turn: int):
         where, offset = best_fit_decreasing(size, length)
         filled = np.bincount(where, size).astype(np.int64)
         base = ((turn << 20) + int(pdf["group"].iloc[0])) << 32
-        return pdf[names].assign(sequence_id=base + where, offset=offset, filled=filled[where], met=len(filled) == lower_bound(size, length))
+        return pdf[names].assign(sequence_id=base + where, offset=offset, group_sequences=len(filled), group_bound=lower_bound(size, length), filled=filled[where])
 
     return run
 
 
 def pack(items: DataFrame, length: int = 2048, group_rows: int = GROUP_ROWS, rounds: int = 3, full: float = FULL) -> DataFrame:
-    """``items`` (a table read again alike, with columns length and salt) with sequence_id and offset.
+    """``items`` (a table read again alike, with columns length, and salt: numbers from 0, each different) with
+    sequence_id, offset, and the number of sequences of the group it was packed in beside its lower bound.
 
     Items of the full length take a sequence each. The others are dealt at random to groups of about
-    ``group_rows``, each packed best-fit decreasing and held against its own lower bound. Sequences with
-    gaps, from groups that miss their bound or end in a part-filled sequence, give back their documents;
-    these are dealt anew and packed again, for ``rounds`` rounds or until one group's count meets its bound.
-    Items must have 1 to ``length`` tokens.
+    ``group_rows``, each packed best-fit decreasing and held against its own lower bound. A group that meets the
+    bound is certified: no packing of it is better, and it stays as it is. Groups above theirs keep the sequences
+    filled to ``full``; documents of their sequences with gaps are dealt anew among each other and packed again, for
+    ``rounds`` rounds or until every group is certified or one group is left. Items must have 1 to ``length`` tokens.
     """
-    spark = items.sparkSession
-    names = items.columns
-    schema = items.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "filled": F.lit(0).cast("long"), "met": F.lit(False)}).schema
-    whole = items.where(F.col("length") == length).select(*names, F.bitwise_not(F.shiftrightunsigned("salt", 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    names = [c for c in items.columns if c not in (*_PACKED, "group", "filled")]
+    items = items.select(*names)
+    long = lambda n: F.lit(n).cast("long")
+    schema = items.withColumns({c: long(0) for c in (*_PACKED, "filled")}).schema
+    whole = items.where(F.col("length") == length).select(*names, F.bitwise_not("salt").alias("sequence_id"), long(0).alias("offset"), long(1).alias("group_sequences"), long(1).alias("group_bound"))
     done, left = [whole], items.where(F.col("length") < length)
     for turn in range(rounds + 1):
         count = left.count()
@@ -135,12 +142,12 @@ def pack(items: DataFrame, length: int = 2048, group_rows: int = GROUP_ROWS, rou
 
         dealt = left.withColumn("group", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)))
         packed = materialize(dealt.groupBy("group").applyInPandas(_packer(names, length, turn), schema))
-        enough = F.col("filled") >= int(full * length)
-        last = turn == rounds or (groups == 1 and packed.where("met").limit(1).count() == 1)
-        done.append(packed.where(F.lit(last) | enough).select(*names, "sequence_id", "offset"))
+        stays = (F.col("group_sequences") == F.col("group_bound")) | (F.col("filled") >= int(full * length))
+        last = turn == rounds or (turn and groups == 1)
+        done.append(packed.where(F.lit(bool(last)) | stays).select(*names, *_PACKED))
         if last:
             break
-        left = packed.where(~enough).select(*names)
+        left = packed.where(~stays).select(*names)
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -148,7 +155,7 @@ def pack(items: DataFrame, length: int = 2048, group_rows: int = GROUP_ROWS, rou
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = 2048, end: int = 0, **how) -> DataFrame:
-    """One row per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    Repeated rows are packed each; an empty table gives no rows; other columns are unread."""
+    """One row per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and
+    group_sequences and group_bound, the certificate of the group that the piece was packed in. Repeated rows are packed each; an empty table gives no rows; other columns are unread."""
     made = materialize(pieces(docs, tokenizer, doc_id, text, length, end))
     return pack(made, length, **how).drop("salt")

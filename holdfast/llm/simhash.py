@@ -7,11 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.llm.arrow import add_columns, sorted_groups
+from holdfast.llm import nearcopies
+from holdfast.llm.arrow import add_columns, mapped, sorted_groups
 from holdfast.llm.graph import components, forest
 from holdfast.llm.store import materialize
 from holdfast.llm.textscan import LOWER, NOT_SPACE, chunks, column, spans
@@ -70,20 +71,6 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
     return add_columns(docs, one, [T.StructField(out, T.LongType())])
 
 
-def _chain(x: np.ndarray, most: int) -> np.ndarray:
-    """Pigeonring: of SEGMENTS segments in a ring, some start has every run of l segments within
-    l * most / SEGMENTS differing bits. Necessary for ``most`` differing bits in all."""
-    seg = np.stack([np.bitwise_count((x >> np.uint64(WIDTH * s)) & np.uint64(0xFFFF)) for s in range(SEGMENTS)]).astype(np.int64)
-    found = np.zeros(len(x), bool)
-    for start in range(SEGMENTS):
-        ok, run = np.ones(len(x), bool), np.zeros(len(x), np.int64)
-        for length in range(1, SEGMENTS):
-            run = run + seg[(start + length - 1) % SEGMENTS]
-            ok &= run * SEGMENTS <= length * most
-        found |= ok
-    return found
-
-
 def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Links of sorted groups: a spanning forest of each, never all pairs."""
     for table, starts in sorted_groups(batches, 3):
@@ -98,7 +85,7 @@ def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             if not len(at):
                 break
             x = fp[at] ^ fp[at + step]
-            near = at[_chain(x, most)]
+            near = at[nearcopies.chain(x, most, SEGMENTS)]
             near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= most]
             a.append(near)
             b.append(near + step)
@@ -126,7 +113,9 @@ def links(distinct: DataFrame, most: int = MAX_DISTANCE, largest: int = LARGEST_
     seg = lambda s, width=WIDTH: F.shiftrightunsigned("fp", width * s).bitwiseAND(F.lit((1 << width) - 1))
     keys = [F.struct(F.lit(i).alias("kind"), (F.shiftleft(seg(x), WIDTH) + seg(y)).alias("key"), F.lit(0).cast("long").alias("more")) for i, (x, y) in enumerate(PAIRS)]
     rows = lambda df, made: df.select("node", "fp", F.explode(F.array(*made)).alias("k")).select("k.kind", "k.key", "k.more", "node", "fp")
-    counted = lambda df: df.withColumn("n", F.count("*").over(Window.partitionBy("kind", "key", "more"))).where("n > 1")
+    group = ["kind", "key", "more"]
+    # counts are combined before the shuffle, so that no task sees a common key whole before it is split
+    counted = lambda df: df.join(df.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1"), group)
     first = counted(rows(distinct, keys))
 
     longer = []
@@ -141,7 +130,7 @@ def links(distinct: DataFrame, most: int = MAX_DISTANCE, largest: int = LARGEST_
     def run(batches):
         return _links(batches, most)
 
-    ordered = lambda df: df.select("kind", "key", "more", "node", "fp").sortWithinPartitions("kind", "key", "more").mapInArrow(run, "a long, b long")
+    ordered = lambda df: mapped(df.select(*group, "node", "fp").repartition(*group).sortWithinPartitions(*group), run, "a long, b long")
     return ordered(first.where(F.col("n") <= largest)).union(ordered(second))
 
 
@@ -160,14 +149,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: that of the smallest doc_id. Rows that repeat
-    a doc_id are one document; one of them stays, the first by text. Rows without doc_id stay as they are."""
-    found = near_duplicates(docs, doc_id, text, **how)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    kept = docs.join(gone, doc_id, "left_anti")
-    turn = "__turn"
-    while turn in docs.columns:
-        turn += "_"
-    return kept.withColumn(turn, F.row_number().over(order)).where(F.col(doc_id).isNull() | (F.col(turn) == 1)).select(*docs.columns)
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = nearcopies.WORDS) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near copies: texts whose ``words``-word shingles have a
+    Jaccard similarity of 0.8 or more, found at a wide Hamming distance and then compared whole (see
+    ``nearcopies``). Groups are of rows, not of doc_ids: a repeated or null doc_id loses and joins nothing."""
+    return nearcopies.deduplicate(docs, doc_id, text, words)

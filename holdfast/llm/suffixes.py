@@ -5,6 +5,8 @@ Only text that can repeat is sorted. Every string of ``length`` bytes is filed u
 starts that share this gram form a segment. Segments whose gram occurs once in the corpus cannot hold a
 repeat. The others are dealt by gram to shards; each shard has a suffix array, and a gram with very many
 different segments is spread over several shards whose sorted strings are merged by binary search.
+
+Texts and segments are told apart by 128 bits of hashes each; strings inside shards and across them are compared.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.llm.arrow import add_columns, sorted_groups
-from holdfast.llm.store import materialize
+from holdfast.llm.arrow import add_columns, free_name, mapped, sorted_groups
+from holdfast.llm.store import broadcast_if_small, join_hot, materialize
 from holdfast.llm.textscan import U64, chunks, column, powers, prefix_hash, range_hash
 
 GRAM = 64
@@ -27,7 +29,10 @@ GRAM = 64
 PART = 1 << 20
 _POSITION = 21
 #: Different segments of one gram that one shard takes, and bytes that one suffix array covers.
-SHARD_SEGMENTS, SHARD_BYTES = 4096, 1 << 20
+SHARD_SEGMENTS, SHARD_BYTES = 512, 1 << 20
+#: Rows of one gram, one segment or one text that a join may send to one task.
+HOT_ROWS = 1 << 15
+_SEGMENT = ["gram", "content", "more"]
 
 
 def _window_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -40,8 +45,8 @@ def _window_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, start in its text, number of starts, gram and content hash of the segments of a chunk."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
+    """Row, start in its text, number of starts, gram and two content hashes of the segments of a chunk."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, U64))
     if len(data) < length:
         return none
     sums = prefix_hash(data)
@@ -57,7 +62,8 @@ def _segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     first = np.flatnonzero(new & valid)  # within a row valid starts come first, so runs stay whole
     edge = np.flatnonzero(new | ~valid)
     after = np.append(edge, len(at))[np.searchsorted(edge, first, "right")]
-    return row[first], first - offsets[row[first]], after - first, h[at[first]], range_hash(sums, first, after + length - 1)
+    ends = after + length - 1
+    return row[first], first - offsets[row[first]], after - first, h[at[first]], range_hash(sums, first, ends), range_hash(prefix_hash(data, 1), first, ends)
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -77,17 +83,17 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column(batch.column(1))
-            doc = batch.column(0).to_numpy()
-            same, first, many = np.unique(doc, return_index=True, return_counts=True)
+            data, offsets = column(batch.column(2))
+            doc, doc2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            _, first, many = np.unique(np.rec.fromarrays([doc, doc2]), return_index=True, return_counts=True)
             weight = np.zeros(len(doc), np.int64)
             weight[first] = many
-            for row, start, n, gram, content in _parts(data, offsets, length):
+            for row, start, n, gram, content, more in _parts(data, offsets, length):
                 keep = weight[row] > 0
                 row = row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[keep].view(np.int64), content[keep].view(np.int64), doc[row], start[keep], n[keep].astype(np.int32), weight[row])], ["gram", "content", "doc", "start", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[keep].view(np.int64), content[keep].view(np.int64), more[keep].view(np.int64), doc[row], doc2[row], start[keep], n[keep].astype(np.int32), weight[row])], [*_SEGMENT, "doc", "doc2", "start", "n", "w"])
 
-    return docs.mapInArrow(run, "gram long, content long, doc long, start long, n int, w long")
+    return mapped(docs, run, "gram long, content long, more long, doc long, doc2 long, start long, n int, w long")
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +195,8 @@ def _ranges(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_MARKS = "gram long, content long, a int, b int, string binary, hash long, place int, shard int"
+_MARKS = "gram long, content long, more long, a int, b int, string binary, hash long, place int, shard int"
+_MARK_NAMES = _MARKS.replace(",", "").split()[::2]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +204,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     one row for each start, with its hash, and with the string itself where it is the shard's first."""
     for table, starts in sorted_groups(batches, 2):
         data, offsets = column(table.column("bytes"))
-        gram, content, spread = (table.column(c).to_numpy() for c in ("gram", "content", "shards"))
+        gram, content, more, spread = (table.column(c).to_numpy() for c in (*_SEGMENT, "shards"))
         shard = table.column("shard").to_numpy()
         bounds, a = np.append(starts, table.num_rows), 0
         while a < len(starts):
@@ -213,7 +220,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             base = offsets[seg] - offsets[lo]
             nothing = pa.nulls(len(x), pa.binary())
             empty = pa.nulls(len(x), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(gram[seg]), pa.array(content[seg]), pa.array((x - base).astype(np.int32)), pa.array((y - base).astype(np.int32)), nothing, empty, pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32())], _MARKS.replace(",", "").split()[::2])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[seg]), pa.array(content[seg]), pa.array(more[seg]), pa.array((x - base).astype(np.int32)), pa.array((y - base).astype(np.int32)), nothing, empty, pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32())], _MARK_NAMES)
             at = np.flatnonzero(number >= 0)
             seg = np.searchsorted(ends, at, "right") + lo
             at, seg = at[spread[seg] > 1], seg[spread[seg] > 1]
@@ -224,7 +231,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 leads = np.isin(np.arange(k, k + len(p)), lead)
                 strings = pa.array([text[q : q + length].tobytes() if f else None for q, f in zip(p.tolist(), leads.tolist(), strict=True)], pa.binary())
                 whole = pa.nulls(len(p), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(content[s]), whole, whole, strings, pa.array(range_hash(sums, p, p + length).view(np.int64)), pa.array((p - (offsets[s] - offsets[lo])).astype(np.int32)), pa.array(shard[s].astype(np.int32))], _MARKS.replace(",", "").split()[::2])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(content[s]), pa.array(more[s]), whole, whole, strings, pa.array(range_hash(sums, p, p + length).view(np.int64)), pa.array((p - (offsets[s] - offsets[lo])).astype(np.int32)), pa.array(shard[s].astype(np.int32))], _MARK_NAMES)
 
 
 def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -251,20 +258,22 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("gram").to_numpy()[:1], len(hit))), pa.array(hit)], ["gram", "hash"])
 
 
-def repeats(docs: DataFrame, length: int = 200, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """(doc, spans) of the texts of ``docs`` (long doc, alike for copies; text) that have bytes to remove:
-    spans is an array of (a, b) ranges of starts, so that bytes a to b + length - 1 go."""
-    found = materialize(_scan(docs, length))
-    twice = found.groupBy("gram").agg(F.sum("w").alias("times")).where("times > 1").select("gram")
-    live = materialize(found.join(twice, "gram").groupBy("gram", "content", "doc", "start", "n").agg(F.sum("w").alias("w")))
-    one = live.groupBy("gram", "content").agg(F.sum("w").alias("w"), F.min(F.struct("doc", "start", "n")).alias("of"))
-    one = materialize(one.withColumn("shards", F.ceil(F.count("*").over(Window.partitionBy("gram")) / shard_segments).cast("int")).withColumn("different", F.count("*").over(Window.partitionBy("gram"))))
-    copies = one.where("w > 1").select("gram", "content", F.lit(0).alias("a"), F.col("of.n").alias("b"))
-
-    wanted = one.where("different > 1").select("gram", F.pmod(F.col("content"), F.col("shards")).cast("int").alias("shard"), "shards", "content", F.col("of.doc").alias("doc"), F.col("of.start").alias("start"), F.col("of.n").alias("n"))
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "shard", "shards", "content", "start", "n")).alias("cuts"))
-    texts = docs.dropDuplicates(["doc"]).join(wanted, "doc").select(F.encode("text", "UTF-8").alias("raw"), F.explode("cuts").alias("c"))
-    cut = texts.select("c.gram", "c.shard", "c.shards", "c.content", F.expr(f"substring(raw, cast(c.start as int) + 1, c.n + {length - 1})").alias("bytes"))
+def repeats(docs: DataFrame, length: int = 200, shard_segments: int = SHARD_SEGMENTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc, doc2, spans) of the texts of ``docs`` (longs doc and doc2, alike for copies; text) that have bytes to
+    remove: spans is an array of (a, b) ranges of starts, so that bytes a to b + length - 1 go."""
+    text_id = ["doc", "doc2"]
+    found = materialize(_scan(docs.select(*text_id, "text"), length))
+    grams = materialize(found.groupBy("gram").agg(F.sum("w").alias("times"), F.count("*").alias("n")).where("times > 1").drop("times"))
+    live = materialize(join_hot(found.select(*_SEGMENT, *text_id, "start", F.col("n").alias("starts"), "w"), grams, ["gram"], hot_rows).groupBy(*_SEGMENT, *text_id, "start", "starts").agg(F.sum("w").alias("w")))
+    one = materialize(live.groupBy(*_SEGMENT).agg(F.sum("w").alias("w"), F.count("*").alias("rows"), F.min(F.struct(*text_id, "start", "starts")).alias("of")))
+    different = one.groupBy("gram").agg(F.count("*").alias("n"))
+    copies = one.where("w > 1").select(*_SEGMENT, F.lit(0).alias("a"), F.col("of.starts").alias("b"))
+
+    several = materialize(different.where("n > 1").select("gram", "n", F.ceil(F.col("n") / shard_segments).cast("int").alias("shards")))
+    wanted = join_hot(one, several, ["gram"], hot_rows).select("gram", F.pmod("content", "shards").cast("int").alias("shard"), "shards", "content", "more", *(F.col(f"of.{c}").alias(c) for c in (*text_id, "start", "starts")))
+    wanted = wanted.groupBy(*text_id).agg(F.collect_list(F.struct("gram", "shard", "shards", "content", "more", "start", "starts")).alias("cuts"))
+    texts = docs.select(*text_id, "text").dropDuplicates(text_id).join(wanted, text_id).select(F.encode("text", "UTF-8").alias("raw"), F.explode("cuts").alias("c"))
+    cut = texts.select("c.gram", "c.shard", "c.shards", "c.content", "c.more", F.expr(f"substring(raw, cast(c.start as int) + 1, c.starts + {length - 1})").alias("bytes"))
     dealt = cut.repartition("gram", "shard").sortWithinPartitions("gram", "shard")
 
     def shards(batches):
@@ -273,13 +282,15 @@ def repeats(docs: DataFrame, length: int = 200, shard_segments: int = SHARD_SEGM
     def merge(batches):
         return _merge(batches, length)
 
-    sorted_ = materialize(dealt.mapInArrow(shards, _MARKS))
+    sorted_ = materialize(mapped(dealt, shards, _MARKS))
     runs = sorted_.where("string is not null").select("gram", F.pmod("hash", F.lit(4096)).cast("int").alias("bucket"), "hash", "string", "shard")
-    across = runs.repartition("gram", "bucket").sortWithinPartitions("gram", "bucket").mapInArrow(merge, "gram long, hash long")
-    merged = sorted_.where("place is not null").join(across, ["gram", "hash"]).select("gram", "content", F.col("place").alias("a"), (F.col("place") + 1).alias("b"))
-    marks = copies.union(sorted_.where("a is not null").select("gram", "content", "a", "b")).union(merged)
-    spans = live.join(marks, ["gram", "content"]).select("doc", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    across = mapped(runs.repartition("gram", "bucket").sortWithinPartitions("gram", "bucket"), merge, "gram long, hash long")
+    merged = sorted_.where("place is not null").join(across, ["gram", "hash"]).select(*_SEGMENT, F.col("place").alias("a"), (F.col("place") + 1).alias("b"))
+    marks = copies.union(sorted_.where("a is not null").select(*_SEGMENT, "a", "b")).union(merged)
+    ranges = marks.groupBy(*_SEGMENT).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # as many as a segment has starts, at most
+    ranges = materialize(ranges.join(one.select(*_SEGMENT, F.col("rows").alias("n")), _SEGMENT))
+    spans = join_hot(live, ranges, _SEGMENT, hot_rows).select(*text_id, "start", F.explode("ranges").alias("r"))
+    return spans.groupBy(*text_id).agg(F.collect_list(F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"))).alias("spans"))
 
 
 def _keep(data: np.ndarray, offsets: np.ndarray, spans: pa.ListArray, length: int, text: bool) -> tuple[list, list, list]:
@@ -313,17 +324,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, diges
 
     Strings are judged on the input and never cross rows; rows with equal texts repeat each other. Null texts
     are empty and shorter ones lose nothing; a cut inside a character takes the whole character from a text,
-    while digests are those of the exact bytes. Other columns pass unread.
+    while digests are those of the exact bytes. Other columns pass unread; the new ones replace those of their names.
     """
-    doc = "__doc"
-    while doc in docs.columns:
-        doc += "_"
+    doc, doc2, spans = (free_name(c, docs.columns) for c in ("__doc", "__doc2", "__spans"))
     content = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn(doc, F.xxhash64(content, F.length(content)))
+    named = lambda a, b: [F.xxhash64(content, F.length(content)).alias(a), F.xxhash64(F.lit(1), content).alias(b)]
     long_enough = F.octet_length(content) >= length
-    found = repeats(docs.where(long_enough).select(F.xxhash64(content, F.length(content)).alias("doc"), content.alias("text")), length, **how)
-    spans = "__spans"
-    both = keyed.join(found.select(F.col("doc").alias(doc), F.col("spans").alias(spans)), doc, "left")
+    some = docs.where(long_enough)
+    found = materialize(repeats(some.select(*named("doc", "doc2"), content.alias("text")), length, **how)).select(F.col("doc").alias(doc), F.col("doc2").alias(doc2), F.col("spans").alias(spans))
+    # texts with very many copies, and those too short to lose anything, stay where they lie
+    many = some.select(*named(doc, doc2)).groupBy(doc, doc2).count().where(F.col("count") > how.get("hot_rows", HOT_ROWS))
+    hot = broadcast_if_small(materialize(many.select(doc, doc2).join(found, [doc, doc2])))
+    keyed = some.select("*", *named(doc, doc2))
+    cold = keyed.join(hot.select(doc, doc2), [doc, doc2], "left_anti").join(found, [doc, doc2], "left")
+    short = docs.where(~long_enough).withColumn(spans, F.lit(None).cast(found.schema[spans].dataType))
+    both = keyed.join(hot, [doc, doc2]).select(*docs.columns, spans).union(cold.select(*docs.columns, spans)).union(short)
     k, m = both.columns.index(text), both.columns.index(spans)
 
     def one(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -331,10 +346,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, diges
         removed, runs, out = _keep(data, offsets, batch.column(m), length, not digest)
         return [pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(out, pa.string())]
 
-    result = "kept_sha256" if digest else "__kept"
-    made = add_columns(both, one, [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(result, T.StringType())])
-    others = [c for c in docs.columns if c != text]
+    counts = ["n_bytes", "n_removed", "n_spans"]
     if digest:
-        return made.select(*others, "n_bytes", "n_removed", "n_spans", result)
-    changed = F.when(F.col("n_removed") > 0, F.col(result)).otherwise(F.col(text)).alias(text)
-    return made.select(*(changed if c == text else c for c in docs.columns), "n_bytes", "n_removed", "n_spans")
+        fields = [T.StructField(c, T.LongType()) for c in counts] + [T.StructField("kept_sha256", T.StringType())]
+        return add_columns(both, one, fields, drop=(text, spans))
+    # the text's own name carries the rest of it; an untouched null stays null
+    rest, null = free_name("__kept", both.columns), free_name("__null", both.columns)
+    fields = [T.StructField(c, T.LongType()) for c in counts] + [T.StructField(rest, T.StringType())]
+    made = add_columns(both.withColumn(null, F.col(text).isNull()), one, fields, drop=(text, spans))
+    new = F.when(~F.col(null), F.col(rest)).alias(text)
+    return made.select(*(new if c == text else c for c in docs.columns if c.lower() not in counts), *counts)

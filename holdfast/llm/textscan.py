@@ -20,7 +20,8 @@ CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+#: Values of the bytes, in two tables for two independent hashes.
+_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | U64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: A-Z to a-z, every other byte to itself.
@@ -84,10 +85,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n + 1 prefix sums from which ``range_hash`` gets the hash of any byte range."""
+def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """n + 1 prefix sums from which ``range_hash`` gets the hash of any byte range, the first or the second."""
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_TABLE[data] * powers(len(data))[0][: len(data)], out=out[1:])
+    np.cumsum(_TABLE[which][data] * powers(len(data))[0][: len(data)], out=out[1:])
     return out
 
 

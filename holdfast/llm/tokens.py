@@ -42,7 +42,7 @@ def load(path: str):
 class Encoder:
     """Ids of chunks of texts. Words met are remembered, at most ``remember`` of them."""
 
-    def __init__(self, path: str, remember: int = 1_500_000, split: bool = True):
+    def __init__(self, path: str, remember: int = 400_000, split: bool = True):
         self.tok, self.remember, self.split = load(path), remember, split
         self.model = self.tok.model
         self.forget()
