@@ -195,13 +195,23 @@ def _ranges(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_MARKS = "gram long, content long, more long, a int, b int, string binary, hash long, place int, shard int"
-_MARK_NAMES = _MARKS.replace(",", "").split()[::2]
+_MARKS = "gram long, content long, more long, a int, b int"
+#: What a shard of a gram that has several gives besides: its different strings by bucket (hashes, and the strings end
+#: to end), and one row with all its starts (bucket null; segment, place and hash of each).
+_RUNS = _MARKS + ", shard int, bucket int, hashes array<long>, strings binary, contents array<long>, mores array<long>, places array<int>"
+_NAMES = _RUNS.replace(",", "").split()[::2]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+_TYPES = [_KINDS[k] for k in _RUNS.replace(",", "").split()[1::2]]
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """``n`` rows of _RUNS with the given columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Marks [a, b) of repeated starts of segments sorted by (gram, shard); for grams in several shards also
-    one row for each start, with its hash, and with the string itself where it is the shard's first."""
+    """Marks [a, b) of repeated starts of segments sorted by (gram, shard), and the runs of shards of which their
+    gram has several."""
     for table, starts in sorted_groups(batches, 2):
         data, offsets = column(table.column("bytes"))
         gram, content, more, spread = (table.column(c).to_numpy() for c in (*_SEGMENT, "shards"))
@@ -210,7 +220,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         while a < len(starts):
             b = max(a + 1, int(np.searchsorted(offsets[bounds], offsets[bounds[a]] + SHARD_BYTES, "right")) - 1)
             b = min(b, len(starts))
-            lo, hi = bounds[a], bounds[b]
+            groups, lo, hi = range(a, b), bounds[a], bounds[b]
             a = b
             text, ends = data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo]
             hit, number = repeated_starts(text, ends, length)
@@ -218,44 +228,71 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             seg = np.searchsorted(ends, x, "right") + lo
             # a range of marks never crosses segments: the last length - 1 places of each are not starts
             base = offsets[seg] - offsets[lo]
-            nothing = pa.nulls(len(x), pa.binary())
-            empty = pa.nulls(len(x), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(gram[seg]), pa.array(content[seg]), pa.array(more[seg]), pa.array((x - base).astype(np.int32)), pa.array((y - base).astype(np.int32)), nothing, empty, pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32())], _MARK_NAMES)
-            at = np.flatnonzero(number >= 0)
-            seg = np.searchsorted(ends, at, "right") + lo
-            at, seg = at[spread[seg] > 1], seg[spread[seg] > 1]
-            for k in range(0, len(at), 20_000):
-                p, s = at[k : k + 20_000], seg[k : k + 20_000]
-                sums = prefix_hash(text) if k == 0 else sums  # noqa: F821
-                _, lead = np.unique(number[at], return_index=True) if k == 0 else (None, lead)  # noqa: F821
-                leads = np.isin(np.arange(k, k + len(p)), lead)
-                strings = pa.array([text[q : q + length].tobytes() if f else None for q, f in zip(p.tolist(), leads.tolist(), strict=True)], pa.binary())
-                whole = pa.nulls(len(p), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(content[s]), pa.array(more[s]), whole, whole, strings, pa.array(range_hash(sums, p, p + length).view(np.int64)), pa.array((p - (offsets[s] - offsets[lo])).astype(np.int32)), pa.array(shard[s].astype(np.int32))], _MARK_NAMES)
+            yield _rows(len(x), gram=gram[seg], content=content[seg], more=more[seg], a=(x - base).astype(np.int32), b=(y - base).astype(np.int32))
+            sums = None
+            for g in groups:
+                first, last = bounds[g], bounds[g + 1]
+                buckets = int(spread[first])
+                if buckets < 2:
+                    continue
+                sums = prefix_hash(text) if sums is None else sums
+                at = np.arange(offsets[first] - offsets[lo], offsets[last] - offsets[lo])
+                at = at[number[at] >= 0]
+                seg = np.searchsorted(ends, at, "right") + lo
+                h = range_hash(sums, at, at + length)
+                one = {"gram": gram[first : first + 1], "shard": shard[first : first + 1]}
+                place = (at - (offsets[seg] - offsets[lo])).astype(np.int32)
+                yield _rows(1, **one, hashes=[h.view(np.int64)], contents=[content[seg]], mores=[more[seg]], places=[place])
+                _, lead = np.unique(number[at], return_index=True)
+                bucket = (h[lead] % U64(buckets)).astype(np.int32)
+                for k in np.unique(bucket).tolist():
+                    mine = lead[bucket == k]
+                    strings = text[at[mine][:, None] + np.arange(length)].tobytes()
+                    yield _rows(1, **one, bucket=[k], hashes=[h[mine].view(np.int64)], strings=[strings])
 
 
 def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Of sorted runs of strings, one for each shard, those that two shards have: every run is looked up in
-    those before it by binary search. Rows come sorted by (gram, bucket)."""
+    """Of the runs of one gram and bucket, a row for each shard, the hashes of strings that other shards have too:
+    sorted strings of every run are looked up in those before it by binary search. Rows come sorted by (gram, bucket)."""
     for table, starts in sorted_groups(batches, 2):
         bounds = np.append(starts, table.num_rows)
+        gram, shard = table.column("gram").to_numpy(), table.column("shard").to_numpy()
+        lists = table.column("hashes").combine_chunks()
+        at, hashes = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)
+        data, _ = column(table.column("strings"))
+        strings = np.ascontiguousarray(data).view(f"S{length}")  # all of one length, so zeros at ends do not matter
+        base = at[0]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            part = table.slice(a, b - a)
-            data, _ = column(part.column("string"))
-            strings = np.ascontiguousarray(data).view(f"S{length}")  # all of one length, so zeros at ends do not matter
-            shard, hashes = part.column("shard").to_numpy(), part.column("hash").to_numpy()
-            seen, found = np.zeros(0, strings.dtype), []
-            for one in np.unique(shard):
-                mine = np.flatnonzero(shard == one)
-                run = mine[np.argsort(strings[mine], kind="stable")]
-                where = np.searchsorted(seen, strings[run])
+            seen, found = np.zeros(0, strings.dtype), [np.zeros(0, np.int64)]
+            for i in range(a, b):
+                mine, own = strings[at[i] - base : at[i + 1] - base], hashes[at[i] : at[i + 1]]
+                order = np.argsort(mine, kind="stable")
+                run = mine[order]
+                where = np.searchsorted(seen, run)
                 have = np.zeros(len(run), bool)
                 inside = where < len(seen)
-                have[inside] = seen[where[inside]] == strings[run[inside]]
-                found.append(hashes[run[have]])
-                seen = np.insert(seen, where[~have], strings[run[~have]])
+                have[inside] = seen[where[inside]] == run[inside]
+                found.append(own[order[have]])
+                seen = np.insert(seen, where[~have], run[~have])
             hit = np.unique(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("gram").to_numpy()[:1], len(hit))), pa.array(hit)], ["gram", "hash"])
+            if not len(hit):
+                continue
+            some = [hashes[at[i] : at[i + 1]][np.isin(hashes[at[i] : at[i + 1]], hit)] for i in range(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[a:b]), pa.array(shard[a:b]), pa.array(some, pa.list_(pa.int64()))], ["gram", "shard", "hits"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of the starts of shards whose strings other shards have too (``hits``)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            get = lambda c: np.asarray(batch.column(batch.schema.get_field_index(c))[i].values)  # noqa: E731, B023
+            some = np.isin(get("hashes"), get("hits"))
+            content, more, place = get("contents")[some], get("mores")[some], get("places")[some]
+            new = np.append(True, (content[1:] != content[:-1]) | (more[1:] != more[:-1]) | (place[1:] != place[:-1] + 1))[: len(place)]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(place))[: len(first)] - 1
+            gram = np.full(len(first), batch.column(batch.schema.get_field_index("gram"))[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, content[first], more[first], place[first].astype(np.int32), (place[last] + 1).astype(np.int32))], ["gram", "content", "more", "a", "b"])
 
 
 def repeats(docs: DataFrame, length: int = 200, shard_segments: int = SHARD_SEGMENTS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -282,10 +319,12 @@ def repeats(docs: DataFrame, length: int = 200, shard_segments: int = SHARD_SEGM
     def merge(batches):
         return _merge(batches, length)
 
-    sorted_ = materialize(mapped(dealt, shards, _MARKS))
-    runs = sorted_.where("string is not null").select("gram", F.pmod("hash", F.lit(4096)).cast("int").alias("bucket"), "hash", "string", "shard")
-    across = mapped(runs.repartition("gram", "bucket").sortWithinPartitions("gram", "bucket"), merge, "gram long, hash long")
-    merged = sorted_.where("place is not null").join(across, ["gram", "hash"]).select(*_SEGMENT, F.col("place").alias("a"), (F.col("place") + 1).alias("b"))
+    sorted_ = materialize(mapped(dealt, shards, _RUNS))
+    runs = sorted_.where("strings is not null").select("gram", "bucket", "shard", "hashes", "strings")
+    across = mapped(runs.repartition("gram", "bucket").sortWithinPartitions("gram", "bucket", "shard"), merge, "gram long, shard int, hits array<long>")
+    hits = across.groupBy("gram", "shard").agg(F.flatten(F.collect_list("hits")).alias("hits"))  # as many as a shard has strings, at most
+    starts = sorted_.where("places is not null").select("gram", "shard", "contents", "mores", "places", "hashes")
+    merged = mapped(starts.join(hits, ["gram", "shard"]), _placed, _MARKS)
     marks = copies.union(sorted_.where("a is not null").select(*_SEGMENT, "a", "b")).union(merged)
     ranges = marks.groupBy(*_SEGMENT).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # as many as a segment has starts, at most
     ranges = materialize(ranges.join(one.select(*_SEGMENT, F.col("rows").alias("n")), _SEGMENT))
