@@ -28,31 +28,43 @@ def ordered(calls: DataFrame) -> DataFrame:
     """``calls`` with ``level``: 0 without a known dependency, else one more than the latest of those; null in
     and behind circles.
 
-    A conversation whose dependencies all stand at earlier positions is in topological order as it is; its
-    level is its position. Others are peeled: each round takes the calls that wait for nothing, so rounds
-    follow the longest chain that is out of order.
+    A call with one dependency is as far behind the start of its chain (a call with none, or with several) as
+    pointers count that are doubled each round, so rounds grow with the logarithm of the longest chain. Calls with
+    several dependencies wait for the starts of these; each round settles those whose starts are settled.
     """
-    names = calls.columns
-    deps = calls.select("conv_id", F.col("call_id").alias("call"), "position", F.explode("after").alias("dep")).distinct()
-    at = calls.select("conv_id", F.col("call_id").alias("dep"), F.col("position").alias("dep_position"))
-    known = materialize(deps.join(at, ["conv_id", "dep"]))
-    late = known.where("dep_position >= position").select("conv_id").distinct()
-    plain = calls.join(late, "conv_id", "left_anti").withColumn("level", F.col("position").cast("int"))
-    waiting = materialize(calls.join(late, "conv_id", "left_semi").select("conv_id", "call_id"))
-    edges = materialize(known.join(late, "conv_id", "left_semi").select("conv_id", F.col("call").alias("call_id"), "dep"))
-    done, level = None, 0
+    keys = ["conv_id", "call_id"]
+    deps = calls.select(*keys, F.explode("after").alias("dep")).where("dep is not null").distinct()
+    edges = materialize(deps.join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
+    degree = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.min("dep").alias("dep"))
+    node = materialize(calls.select(*keys).join(degree, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    starts = node.where("n <> 1").select("conv_id", F.col("call_id").alias("start"), F.lit(True).alias("settled"))
+    most = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+
+    # (start, behind) of every call: itself, or where its chain of single dependencies begins
+    chain = node.where("n = 1").select(*keys, F.col("dep").alias("start"), F.lit(1).alias("behind"))
+    chain = materialize(chain.join(starts, ["conv_id", "start"], "left"))
+    for _ in range(int(most).bit_length() + 1):
+        if chain.where("settled is null").isEmpty():
+            break
+        further = chain.select("conv_id", F.col("call_id").alias("start"), F.col("start").alias("next"), F.col("behind").alias("more"), F.col("settled").alias("then"))
+        both = chain.where("settled is null").join(further, ["conv_id", "start"]).select(*keys, F.col("next").alias("start"), (F.col("behind") + F.col("more")).alias("behind"), F.col("then").alias("settled"))
+        chain = materialize(chain.where("settled").select(*both.columns).union(both))
+    begin = materialize(node.where("n <> 1").select(*keys, F.col("call_id").alias("start"), F.lit(0).alias("behind")).union(chain.where("settled").select(*keys, "start", "behind")))
+
+    # levels of the starts: of those without dependency at once, of the others when all that they wait for are known
+    known = node.where("n = 0").select("conv_id", F.col("call_id").alias("start"), F.lit(0).alias("level"))
+    several = edges.join(node.where("n > 1").select(*keys, "n"), keys)
+    waits = several.join(begin.select("conv_id", F.col("call_id").alias("dep"), "start", "behind"), ["conv_id", "dep"]).select(*keys, "n", "start", "behind")
+    known, waits = materialize(known), materialize(waits)
     while True:
-        free = materialize(waiting.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
+        ready = waits.join(known, ["conv_id", "start"]).groupBy(*keys).agg(F.count("*").alias("have"), F.first("n").alias("n"), (F.max(F.col("level") + F.col("behind")) + 1).alias("level")).where("have = n")
+        ready = materialize(ready.select("conv_id", F.col("call_id").alias("start"), "level"))
+        if ready.isEmpty():
             break
-        done = free if done is None else done.union(free)
-        gone = free.select("conv_id", F.col("call_id").alias("dep"))
-        edges = materialize(edges.join(gone, ["conv_id", "dep"], "left_anti"))
-        waiting = materialize(waiting.join(free.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
-        level += 1
-    odd = calls.join(late, "conv_id", "left_semi")
-    odd = odd.join(done, ["conv_id", "call_id"], "left") if done is not None else odd.withColumn("level", F.lit(None).cast("int"))
-    return plain.select(*names, "level").union(odd.select(*names, "level"))
+        known = known.union(ready)
+        waits = materialize(waits.join(ready.select("conv_id", F.col("start").alias("call_id")), keys, "left_anti"))
+    levels = begin.join(known, ["conv_id", "start"]).select(*keys, (F.col("level") + F.col("behind")).cast("int").alias("level"))
+    return calls.join(levels, keys, "left").select(*calls.columns, "level")
 
 
 def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -77,10 +89,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     row of each by position; status is linked, no result or no call. A null identifier links with nothing. The
     message is canonical JSON: keys sorted, no spaces, missing values null. Empty tables give no rows.
     """
-    first = lambda df, *more: df.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("position", *more))).where("turn = 1").drop("turn")
+    def first(df, *columns):  # combined before the shuffle, so that an identifier may be repeated without end
+        one = df.groupBy("conv_id", "call_id").agg(F.min(F.struct(*columns)).alias("first"))
+        return one.select("conv_id", "call_id", "first.*")
+
     named = calls.where("conv_id is not null and call_id is not null").select("conv_id", "call_id", F.col("position").cast("long").alias("position"), "tool", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    one = materialize(first(named, "tool", "arguments"))
-    answers = first(results.select("conv_id", "call_id", F.col("position").cast("long").alias("position"), "content").where("conv_id is not null and call_id is not null"), "content").select("conv_id", "call_id", F.col("position").alias("answered"), "content")
+    one = materialize(first(named, "position", "tool", "arguments", "after"))
+    answers = first(results.select("conv_id", "call_id", F.col("position").cast("long").alias("position"), "content").where("conv_id is not null and call_id is not null"), "position", "content").select("conv_id", "call_id", F.col("position").alias("answered"), "content")
     placed = ordered(one).join(problems(one, schemas), ["conv_id", "call_id"])
     both = placed.join(answers, ["conv_id", "call_id"], "full")
     status = F.when(F.col("tool").isNull() & F.col("position").isNull(), "no call").when(F.col("answered").isNull(), "no result").otherwise("linked")
@@ -89,18 +104,45 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     return both.select("conv_id", "call_id", F.coalesce("position", "answered").alias("position"), F.col("level").cast("long").alias("level"), status.alias("status"), (F.coalesce(F.size("problems"), F.lit(1)) == 0).alias("valid"), F.array_join("problems", "; ").alias("problems"), message.alias("message"))
 
 
+SCHEMAS = [
+    ("search", "query", "string", True), ("search", "limit", "integer", True),
+    ("count", "text", "string", True), ("count", "words", "integer", True),
+    ("rate", "text", "string", True), ("rate", "score", "number", True), ("rate", "strict", "boolean", False),
+]
+
+
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls, results and schemas that stand in plain conversations (conv_id, turn, role, text): every user
-    turn is a call of the tool ``answer`` with its text and number of words, waiting for the user turn before
-    it, and every assistant turn is the result of the user turn just before it. Identifiers are made of the
-    turn; repeated rows repeat them, and rows without conversation or turn take no part."""
+    """Calls, results and schemas that stand in plain conversations (conv_id, turn, role, text).
+
+    Every user turn is a call of a tool that its number of words chooses (one in 17 of a tool without schema), with
+    arguments made of the text; some lack a field or have one of another type. Of a conversation's calls, numbered
+    from 0, every fourth waits for the next one, the one after it for the second before, the others for the one
+    before and either the second before or the first. Every third call is repeated, a turn later and without
+    arguments. An assistant turn is the result of the user turn before it, every thirteenth turn of a call that
+    nobody made. Identifiers are made of turns; repeated rows count once, and rows without conversation or turn
+    take no part.
+    """
     rows = turns.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
     name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
-    arguments = canonical_json([("text", quoted(F.col("text"))), ("words", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("string"))])
-    user = rows.where("role = 'user'")
-    previous = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    calls = user.withColumn("previous", previous).select("conv_id", name(F.col("turn")).alias("call_id"), F.col("turn").alias("position"), F.lit("answer").alias("tool"), arguments.alias("arguments"), F.array_compact(F.array(F.when(F.col("previous") < F.col("turn"), name(F.col("previous"))))).alias("after"))
-    results = rows.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
-    spark = turns.sparkSession
-    schemas = spark.createDataFrame([("answer", "text", "string", True), ("answer", "words", "integer", True)], "tool string, field string, type string, required boolean")
-    return calls, results, schemas
+    order = Window.partitionBy("conv_id").orderBy("turn", "text")
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    user = rows.where("role = 'user'").withColumns({"i": F.row_number().over(order) - 1, "words": words, "size": F.coalesce(F.length("text"), F.lit(0))})
+    near = {k: F.lag("turn", k).over(order) for k in (1, 2)} | {-1: F.lead("turn").over(order), 0: F.first("turn").over(order)}
+    text, short = quoted(F.col("text")), F.col("size") % 5 == 0
+    search = canonical_json([("query", text), ("limit", F.when(short, F.lit('"many"')).otherwise(F.col("words").cast("string")))])
+    count = F.when(short, canonical_json([("text", text)])).otherwise(canonical_json([("text", text), ("words", F.col("words").cast("string"))]))
+    rate = canonical_json([("text", text), ("score", F.concat(F.col("size").cast("string"), F.lit(".5"))), ("strict", F.when(short, F.lit("true")).otherwise("false"))])
+    kind = F.col("words") % 3
+    tool = F.when(F.col("words") % 17 == 16, "browse").when(kind == 0, "search").when(kind == 1, "count").otherwise("rate")
+    arguments = F.when(kind == 0, search).when(kind == 1, count).otherwise(rate)
+    own = F.col("i") % 4
+    waits = F.when(own == 0, F.array(near[-1])).when(own == 1, F.array(near[2])).when(own == 2, F.array(near[1], near[2])).otherwise(F.array(near[1], near[0]))
+    after = F.transform(F.array_distinct(F.array_compact(waits)), name)
+    made = user.select("conv_id", "turn", "i", name(F.col("turn")).alias("call_id"), F.col("turn").alias("position"), tool.alias("tool"), arguments.alias("arguments"), after.alias("after"))
+    columns = ["conv_id", "call_id", "position", "tool", "arguments", "after"]
+    repeated = made.where("i % 3 = 2").select("conv_id", "call_id", (F.col("position") + 1).alias("position"), F.lit("search").alias("tool"), F.lit("{}").alias("arguments"), F.array().cast("array<string>").alias("after"))
+    latest = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    answered = F.when(F.col("turn") % 13 == 12, F.concat(F.lit("lost-"), F.col("turn").cast("string"))).otherwise(name(F.coalesce("latest", F.col("turn") - 1)))
+    results = rows.withColumn("latest", latest).where("role = 'assistant'").select("conv_id", answered.alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    schemas = turns.sparkSession.createDataFrame(SCHEMAS, "tool string, field string, type string, required boolean")
+    return made.select(*columns).union(repeated), results, schemas

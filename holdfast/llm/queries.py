@@ -118,12 +118,27 @@ _PAIRS = """pairs as materialized (select a.vec_id as a, b.vec_id as b from embe
 _SQL = {
     "op4_vector_copies": f"""with recursive {_PAIRS}, reach as (select vec_id, vec_id as other from embeddings union select r.vec_id, p.b from reach r join pairs p on p.a = r.other)
         select e.vec_id, (select count(*) from pairs p where p.a = e.vec_id) as n_links, min(r.other) as component_id, e.vec_id = min(r.other) as kept from embeddings e join reach r on r.vec_id = e.vec_id group by e.vec_id""",
-    "op10_tool_calls": """with calls as (select conv_id, turn, text, 'call-' || turn as call_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words from conversations where role = 'user'),
-        results as (select conv_id, turn, text, 'call-' || (turn - 1) as call_id from conversations where role = 'assistant')
-        select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as position, c.turn as level,
-        case when c.turn is null then 'no call' when r.turn is null then 'no result' else 'linked' end as status, c.turn is not null as valid, case when c.turn is not null then '' end as problems,
-        '{"arguments":' || coalesce('{"text":' || to_json(c.text) || ',"words":' || c.words || '}', 'null') || ',"call_id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"content":' || coalesce(to_json(r.text), 'null')
-        || ',"level":' || coalesce(c.turn::varchar, 'null') || ',"tool":' || case when c.turn is null then 'null' else '"answer"' end || '}' as message
+    "op10_tool_calls": r"""with recursive turns as (select distinct conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
+        numbered as (select *, row_number() over w - 1 as i, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words, length(text) % 5 = 0 as short, lag(turn) over w as t1, lag(turn, 2) over w as t2, lead(turn) over w as next, first_value(turn) over w as t0
+            from turns where role = 'user' window w as (partition by conv_id order by turn, text)),
+        made as (select conv_id, turn, i, case when words % 17 = 16 then 'browse' else ['search', 'count', 'rate'][words % 3 + 1] end as tool,
+            case when words % 17 = 16 then 'unknown tool' when short and words % 3 = 0 then 'type of limit' when short and words % 3 = 1 then 'missing words' else '' end as problems,
+            case words % 3 when 0 then '{"limit":' || case when short then '"many"' else words::varchar end || ',"query":' || to_json(text) || '}'
+                when 1 then '{"text":' || to_json(text) || case when short then '' else ',"words":' || words end || '}'
+                else '{"score":' || length(text) || '.5,"strict":' || case when short then 'true' else 'false' end || ',"text":' || to_json(text) || '}' end as arguments,
+            case i % 4 when 0 then [next] when 1 then [t2] when 2 then [t1, t2] else [t1, t0] end as waits from numbered),
+        edges as (select distinct conv_id, turn, unnest(waits) as dep from made),
+        links as (select * from edges where dep is not null),
+        reach as (select conv_id, turn, 0 as level from made where not exists (select 1 from links e where e.conv_id = made.conv_id and e.turn = made.turn)
+            union select e.conv_id, e.turn, r.level + 1 from reach r join links e on e.conv_id = r.conv_id and e.dep = r.turn),
+        levels as (select conv_id, turn, max(level) as level from reach group by 1, 2),
+        calls as (select m.*, l.level, 'call-' || m.turn as call_id from made m join levels l on l.conv_id = m.conv_id and l.turn = m.turn),
+        answered as (select a.conv_id, a.turn, a.text, case when a.turn % 13 = 12 then 'lost-' || a.turn else 'call-' || coalesce((select max(u.turn) from turns u where u.conv_id = a.conv_id and u.role = 'user' and u.turn < a.turn), a.turn - 1) end as call_id from turns a where a.role = 'assistant'),
+        results as (select conv_id, call_id, min(turn) as turn, min_by(text, (turn, text)) as text from answered group by 1, 2)
+        select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as position, c.level as level,
+        case when c.turn is null then 'no call' when r.turn is null then 'no result' else 'linked' end as status, coalesce(c.problems = '', false) as valid, c.problems as problems,
+        '{"arguments":' || coalesce(c.arguments, 'null') || ',"call_id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"content":' || coalesce(to_json(r.text), 'null')
+        || ',"level":' || coalesce(c.level::varchar, 'null') || ',"tool":' || coalesce(to_json(c.tool)::varchar, 'null') || '}' as message
         from calls c full join results r on r.conv_id = c.conv_id and r.call_id = c.call_id""",
 }
 

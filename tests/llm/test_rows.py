@@ -196,7 +196,7 @@ def test_calls_are_linked_ordered_and_validated(spark):
     schemas = spark.createDataFrame(SCHEMAS, "tool string, field string, type string, required boolean")
     got = {(r["conv_id"], r["call_id"]): r for r in chat.link(calls, results, schemas).collect()}
     level = {k: r["level"] for k, r in got.items()}
-    assert level == {(1, "z"): 0, (1, "x"): 1, (1, "y"): 2, (2, "p"): None, (2, "q"): None, (3, "a"): 5, (3, "b"): 6, (1, "lost"): None}
+    assert level == {(1, "z"): 0, (1, "x"): 1, (1, "y"): 2, (2, "p"): None, (2, "q"): None, (3, "a"): 0, (3, "b"): 1, (1, "lost"): None}
     assert {k: (r["status"], r["problems"]) for k, r in got.items()} == {
         (1, "x"): ("linked", ""), (1, "z"): ("no result", "type of a"), (1, "y"): ("no result", "unknown tool"), (2, "p"): ("no result", "arguments are no object"), (2, "q"): ("no result", "missing a"),
         (3, "a"): ("linked", ""), (3, "b"): ("no result", "arguments are no object"), (1, "lost"): ("no call", None),
