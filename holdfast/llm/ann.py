@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.store import materialize
@@ -29,12 +29,17 @@ class Windows:
     seed: int = 11
 
 
-def usable(vectors: DataFrame, vec_id: str, embedding: str, dim: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def takes_part(embedding: str) -> Column:
+    """Whether a vector (an array of doubles) is not null, not zero and of finite components only."""
+    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
+
+
+def usable(vectors: DataFrame, vec_id: str, embedding: str, dim: int | None = None) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that take part: not null, not zero, of finite components
     only, and of the given or the commonest length."""
-    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), *keep)
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
+    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    v = v.where(F.col("vec_id").isNotNull() & takes_part("embedding"))
     if dim is None:
         lengths = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
         dim = lengths[0] if lengths else 0
@@ -46,47 +51,57 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
 
     Largest inner product becomes smallest distance by one more component, which fills every vector up to the
     same norm and is 0 in queries. Each of the orthogonal projections of the block is a sorted array; a query's
-    window around its own projection is a run of ranks in it. Windows of the queries that have too few
-    candidates widen step by step (virtual rehashing). Vectors in enough windows are verified with their inner
-    product.
+    window around its own projection is a run of ranks in it. Where too few vectors collide in enough windows, the
+    windows widen step by step at both ends and only the new ends are counted (virtual rehashing). First windows are
+    as wide as nearly all queries before needed. Vectors in enough windows are verified with their inner product.
     """
     n, size = x.shape
     axes = np.linalg.qr(np.random.default_rng(p.seed).standard_normal((size + 1, size + 1)))[0][:, : p.projections]
     m = axes.shape[1]
     lifted = np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]) @ axes
-    order = np.argsort(lifted, axis=0, kind="stable")
-    sorted_ = [np.ascontiguousarray(np.take(lifted[:, j], order[:, j])) for j in range(m)]
+    order = np.ascontiguousarray(np.argsort(lifted, axis=0, kind="stable").T)
+    sorted_ = np.take_along_axis(lifted.T, order, 1)
     ranks = np.empty((m, n), np.uint16)
-    for j in range(m):
-        ranks[j, order[:, j]] = np.arange(n)
+    np.put_along_axis(ranks, order, np.arange(n, dtype=np.uint16)[None, :], 1)
     center, spread = q @ axes[:-1], lifted.std(0)
     least, enough = int(np.ceil(p.threshold * m)), min(n, max(15 * k, int(np.ceil(p.share * n))))
-    out = []
+    out, first = [], p.first
+    low, high = np.empty((32, m), np.int64), np.empty((32, m), np.int64)
+
+    def window(i: int, width: float) -> tuple[np.ndarray, np.ndarray]:
+        a, b = center[i] - width * spread, center[i] + width * spread
+        return np.array([np.searchsorted(sorted_[j], a[j], "left") for j in range(m)]), np.array([np.searchsorted(sorted_[j], b[j], "right") for j in range(m)])
+
     for a in range(0, len(q), 32):
-        todo, width = np.arange(a, min(a + 32, len(q))), p.first
-        while len(todo):
-            hits = np.zeros((len(todo), n), np.uint8)
-            for j in range(m):
-                low = np.searchsorted(sorted_[j], center[todo, j] - width * spread[j], "left")
-                high = np.searchsorted(sorted_[j], center[todo, j] + width * spread[j], "right")
-                hits += (ranks[j] - low.astype(np.uint16)[:, None]) < (high - low).astype(np.uint16)[:, None]
-            found = hits >= least
-            done = (np.count_nonzero(found, axis=1) >= enough) | (width > 20)
-            if width > 20:
-                found[:] = True
-            for row, i in zip(np.flatnonzero(done).tolist(), todo[done].tolist(), strict=True):
-                at = np.flatnonzero(found[row])
-                at = at[ids[at] != q_ids[i]]
-                score = x[at] @ q[i]
-                if len(at) > k:
-                    keep = score >= np.partition(score, len(at) - k)[len(at) - k]
-                    at, score = at[keep], score[keep]
-                best = np.lexsort((ids[at], -score))[:k]
-                out.append((np.full(len(best), q_ids[i]), ids[at[best]], score[best]))
-            todo, width = todo[~done], width * p.growth
+        block = range(a, min(a + 32, len(q)))
+        hits, widths = np.zeros((len(block), n), np.uint8), []
+        for j in range(m):
+            low[: len(block), j] = np.searchsorted(sorted_[j], center[a : a + 32, j] - first * spread[j], "left")
+            high[: len(block), j] = np.searchsorted(sorted_[j], center[a : a + 32, j] + first * spread[j], "right")
+            lo, wide = low[: len(block), j].astype(np.uint16), (high - low)[: len(block), j]
+            hits += (ranks[j] - lo[:, None]) < np.minimum(wide, 65535).astype(np.uint16)[:, None]
+        for row, i in enumerate(block):
+            width, lo, hi = first, low[row], high[row]
+            while np.count_nonzero(hits[row] >= least) < enough and width <= 20:
+                width *= p.growth
+                new_lo, new_hi = window(i, width)
+                ends = [order[j, s:e] for j in range(m) for s, e in ((new_lo[j], lo[j]), (hi[j], new_hi[j])) if s < e]
+                if ends:
+                    hits[row] += np.bincount(np.concatenate(ends), minlength=n).astype(np.uint8)
+                lo, hi = new_lo, new_hi
+            widths.append(width)
+            at = np.flatnonzero(hits[row] >= least) if width <= 20 else np.arange(n)
+            at = at[(ids[at] != q_ids[i]) | (x[at] != q[i]).any(1)]  # all but the query's own row
+            score = x[at] @ q[i]
+            if len(at) > k:
+                keep = score >= np.partition(score, len(at) - k)[len(at) - k]
+                at, score = at[keep], score[keep]
+            best = np.lexsort((ids[at], -score))[:k]
+            out.append((np.full(len(best), i), ids[at[best]], score[best]))
+        first = max(p.first, float(np.quantile(widths, 0.2)) / p.growth) if max(widths) <= 20 else p.first
     parts = list(zip(*out, strict=True)) or [(), (), ()]
     cat = lambda part, kind: np.concatenate([np.zeros(0, kind), *part])
-    return pd.DataFrame({"query_id": cat(parts[0], np.int64), "vec_id": cat(parts[1], np.int64), "score": cat(parts[2], np.float64)})
+    return pd.DataFrame({"query": cat(parts[0], np.int64), "vec_id": cat(parts[1], np.int64), "score": cat(parts[2], np.float64)})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", params: Windows = Windows()) -> DataFrame:
@@ -95,25 +110,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
 
     Vectors are dealt by hash into blocks of about ``block_rows`` and queries into blocks of ``query_rows``;
     each pair of blocks is one task of bounded size. Recall is that of the window parameters; every vector is
-    indexed. Null, zero, non-finite and odd-length vectors take no part; repeated vec_ids count as one vector
-    (the first by components); queries without any candidate give no rows.
+    indexed. Null, zero, non-finite and odd-length vectors take no part; rows alike in id and vector count once, and
+    different vectors with one vec_id are candidates each, of each other's queries too; queries without any
+    candidate give no rows.
     """
-    base = materialize(usable(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    base = materialize(usable(vectors, vec_id, embedding).distinct())
     stats = base.agg(F.count("*"), F.max(F.size("embedding")), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()
-    asked = usable(queries, vec_id, embedding, stats[1] or 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
-    n_queries = queries.count()
-    blocks, q_blocks, top = -(-(stats[0] or 1) // params.block_rows), -(-max(n_queries, 1) // params.query_rows), float(stats[2] or 0)
+    asked = materialize(usable(queries, vec_id, embedding, stats[1] or 0).distinct().select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "embedding"))
+    blocks, q_blocks, top = -(-(stats[0] or 1) // params.block_rows), -(-max(asked.count(), 1) // params.query_rows), float(stats[2] or 0)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(q_blocks, "q_block"), "vec_id", "embedding")
-    right = asked.select(every(blocks, "block"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("q_block"), "query_id", "embedding")
+    left = base.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), every(q_blocks, "q_block"), "vec_id", "embedding")
+    right = asked.select(every(blocks, "block"), F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int").alias("q_block"), "query", "query_id", "embedding")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        a, b = a.sort_values("vec_id"), b.sort_values("query_id")
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        a, b = a.sort_values("vec_id", kind="stable"), b.sort_values("query")
         x, q = np.stack(a["embedding"].to_list()), np.stack(b["embedding"].to_list())
-        return search_block(x, a["vec_id"].to_numpy(), q, b["query_id"].to_numpy(), top, k, params)
+        found = search_block(x, a["vec_id"].to_numpy(), q, b["query_id"].to_numpy(), top, k, params)
+        place = found["query"].to_numpy()
+        return found.assign(query=b["query"].to_numpy()[place], query_id=b["query_id"].to_numpy()[place])[["query", "query_id", "vec_id", "score"]]
 
-    found = left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInPandas(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInPandas(run, "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,11 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from holdfast.llm.ann import usable
+from holdfast.llm.ann import takes_part
 from holdfast.llm.graph import components, forest
-from holdfast.llm.store import broadcast_if_small, materialize
+from holdfast.llm.store import broadcast_if_small, join_hot, materialize
 
 
 @dataclass(frozen=True)
@@ -61,12 +60,14 @@ def links(distinct: DataFrame, params: Cells = Cells()) -> DataFrame:
     it; (id, root) pairs join all that are linked.
 
     Every vector is compared, in its own cell, with all vectors of its label that stand in the cell or come
-    close enough to its border, so no link is lost.
+    close enough to its border, so no link is lost. Cells are those of the commonest length of vectors; vectors of
+    another length are compared with all of their length and label. Labels are told apart as text.
     """
     spark = distinct.sparkSession
-    n = distinct.count()
+    lengths = distinct.groupBy(F.size("unit").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    size, n = (lengths[0], lengths[1]) if lengths else (0, 0)
     k = min(max(1, n // params.cell_rows), params.most_cells)
-    sample = distinct.select("unit", F.xxhash64("id", F.lit(params.seed)).alias("h")).orderBy("h").limit(params.sample).toPandas()["unit"].to_list()
+    sample = distinct.where(F.size("unit") == size).select("unit", F.xxhash64("id", F.lit(params.seed)).alias("h")).orderBy("h").limit(params.sample).toPandas()["unit"].to_list()
     schema = "id long, label string, w long, unit array<double>, cell int, own boolean"
     if not sample:
         return spark.createDataFrame([], "id long, links long, root long")
@@ -75,11 +76,18 @@ def links(distinct: DataFrame, params: Cells = Cells()) -> DataFrame:
 
     def place(parts):
         for pdf in parts:
-            if len(pdf):
-                row, cell, own = _cells(np.stack(pdf["unit"].to_list()), centres.value, reach)
-                yield pdf.iloc[row].assign(cell=cell.astype(np.int32), own=own)
-
-    placed = distinct.select("id", F.col("label").cast("string").alias("label"), "w", "unit").mapInPandas(place, schema)
+            usual = pdf["unit"].map(len).to_numpy() == size
+            if not usual.all():
+                yield pdf[~usual].assign(cell=np.int32(-1), own=True)
+            if usual.any():
+                pdf = pdf[usual]
+                for a in range(0, len(pdf), 1024):
+                    part = pdf.iloc[a : a + 1024]
+                    row, cell, own = _cells(np.stack(part["unit"].to_list()), centres.value, reach)
+                    yield part.iloc[row].assign(cell=cell.astype(np.int32), own=own)
+
+    label = F.concat(F.size("unit").cast("string"), F.lit(":"), F.col("label").cast("string"))
+    placed = distinct.select("id", label.alias("label"), "w", "unit").mapInPandas(place, schema)
     placed = materialize(placed)
     blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count_if("own") / params.block_rows).cast("int").alias("own_blocks"), F.ceil(F.count("*") / params.block_rows).cast("int").alias("blocks")).where("own_blocks > 0")
     dealt = placed.join(broadcast_if_small(blocks), ["label", "cell"])
@@ -111,22 +119,24 @@ def links(distinct: DataFrame, params: Cells = Cells()) -> DataFrame:
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", params: Cells = Cells()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
-    Vectors of one label, not null, link at ``least_cosine`` or more. component_id is the smallest vec_id
-    reachable, itself included; kept marks those. Copies of a vector are one node, counted but never compared
-    with each other. Null, zero, non-finite and odd-length vectors link with nothing, rows without label or
-    vec_id too. Repeated vec_ids count as vectors each.
+    Vectors of one label, not null, and one length link at ``least_cosine`` or more. component_id is the smallest
+    vec_id reachable, itself included; kept marks those. Copies of a vector are one node, counted but never compared
+    with each other. Null, zero and non-finite vectors link with nothing, rows without label or vec_id too. Every
+    row gives one row, whatever other rows share its vec_id; repeated vec_ids count as vectors each.
     """
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
-    good = usable(rows.where("label is not null").withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding", keep=("label",))
-    good = materialize(good)
-    groups = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")))
+    rows = materialize(vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).alias("label")))
+    links_at_all = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & takes_part("embedding")
+    good = rows.where(links_at_all)
+    groups = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id()))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     unit = groups.select("id", "label", "w", F.transform("embedding", lambda x: x / norm).alias("unit"))
-    found = materialize(links(unit.withColumn("unit", F.col("unit").cast(T.ArrayType(T.DoubleType()))), params))
+    found = materialize(links(unit, params))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = groups.join(counted, "id", "left").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    of = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    rest = rows.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return of.union(rest).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    known = materialize(known.select("label", "embedding", "lowest", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    least = known.groupBy("component").agg(F.min("lowest").alias("component_id"))
+    of = materialize(known.join(least, "component").select("label", "embedding", "n_links", "component_id", F.col("w").alias("n")))
+    linked = join_hot(good, of, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    rest = rows.where(~links_at_all).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(rest).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -83,7 +83,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     from holdfast.llm import licenses
 
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), telling=licenses.TELLING)
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), telling=licenses.TELLING, texts=licenses.TEXTS)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

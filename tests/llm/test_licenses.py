@@ -41,3 +41,23 @@ def test_query_gives_notices_only_their_own_labels(spark, tmp_path):
         assert got[i]["labels"] == want.get(text, got[i]["labels"]), text
         assert set(got[i]["labels"].split(",")) - {""} == labels | set(got[i]["base_labels"].split(",")) - {""}, text
         assert got[i]["base_labels"] or abs(got[i]["score"] - score) < 1e-12, text
+
+
+def test_whole_texts_are_found_despite_changes(spark):
+    words = {label: re.findall(r"[a-z0-9]+", t.lower()) for label, t in licenses.TEXTS.items()}
+    drop = lambda ws, n: " ".join(w for i, w in enumerate(ws) if i % n)
+    rows = [(label, " ".join(ws)) for label, ws in words.items()] + [(label, "filler " * 700 + drop(ws, 9).upper() + " filler" * 90) for label, ws in words.items()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(99, " ".join(words["zlib"][::2]))], "doc_id long, text string")
+    clash = docs.selectExpr("*", *(f"1 as {c}" for c in ("n_words", "N_BASE", "first_word", "last_word", "base_labels", "labels", "score")))
+    got = {r["doc_id"]: r for r in licenses.scan(clash, telling=licenses.TELLING, texts=licenses.TEXTS).collect()}
+    for i, (label, text) in enumerate(rows):
+        assert label in got[i]["labels"].split(",") and got[i]["n_words"] == len(text.split())
+    assert got[99]["labels"] == ""
+    # every block of twice a text's words, by brute force
+    size = {label: len(set(ws)) for label, ws in words.items()}
+    for i, (_, text) in enumerate(rows):
+        ws = text.lower().split()
+        for label, own in words.items():
+            best = max(len(set(own) & set(ws[a : a + 2 * len(own)])) for a in range(0, len(ws)))
+            if best >= np.ceil(0.8 * size[label] - 1e-9):
+                assert label in got[i]["labels"].split(",") and got[i]["score"] >= best / size[label] - 1e-12
