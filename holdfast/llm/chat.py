@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from holdfast.llm.arrow import mapped, sorted_groups
 from holdfast.llm.store import broadcast_if_small, materialize
 
 #: JSON types of schemas and the VARIANT types that satisfy them.
@@ -24,46 +30,68 @@ def quoted(text: Column) -> Column:
     return F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2)
 
 
-def ordered(calls: DataFrame) -> DataFrame:
-    """``calls`` with ``level``: 0 without a known dependency, else one more than the latest of those; null in
-    and behind circles.
-
-    A call with one dependency is as far behind the start of its chain (a call with none, or with several) as
-    pointers count that are doubled each round, so rounds grow with the logarithm of the longest chain. Calls with
-    several dependencies wait for the starts of these; each round settles those whose starts are settled.
-    """
+#: Calls of one conversation that one task orders; larger conversations are peeled by Spark, a round per level.
+LARGEST = 1 << 17
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """conv_id, call_id and level of whole conversations sorted by ``part``. Calls are taken in layers: those that wait
+    for nothing, then those that waited for these alone, and so on; all conversations of a table at once."""
+    for table, _ in sorted_groups(batches, 1):
+        n = table.num_rows
+        names, deps = table.column("name").combine_chunks(), table.column("deps").combine_chunks()
+        codes = pa.concat_arrays([names, deps.flatten()]).dictionary_encode().indices.to_numpy()
+        node = np.full(int(codes.max()) + 1, -1)
+        node[codes[:n]] = np.arange(n)
+        waits, dep = np.repeat(np.arange(n), np.diff(np.asarray(deps.offsets))), node[codes[n:]]
+        waits, dep = waits[dep >= 0], dep[dep >= 0]
+        order = np.argsort(dep, kind="stable")
+        waits, at = waits[order], np.searchsorted(dep[order], np.arange(n + 1))
+        open_, level = np.bincount(waits, minlength=n), np.full(n, -1)
+        free, turn = np.flatnonzero(open_ == 0), 0
+        while len(free):
+            level[free] = turn
+            many = at[free + 1] - at[free]
+            hit = waits[np.repeat(at[free] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            np.subtract.at(open_, hit, 1)
+            free, turn = np.unique(hit[open_[hit] == 0]), turn + 1
+        yield pa.RecordBatch.from_arrays([table.column("conv_id").combine_chunks(), table.column("call_id").combine_chunks(), pa.array(level.astype(np.int32), mask=level < 0)], ["conv_id", "call_id", "level"])
+
+
+def _peeled(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id and level, a round of joins for each level; written tables only, so any size of conversation."""
     keys = ["conv_id", "call_id"]
     deps = calls.select(*keys, F.explode("after").alias("dep")).where("dep is not null").distinct()
     edges = materialize(deps.join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
-    degree = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.min("dep").alias("dep"))
-    node = materialize(calls.select(*keys).join(degree, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))))
-    starts = node.where("n <> 1").select("conv_id", F.col("call_id").alias("start"), F.lit(True).alias("settled"))
-    most = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-
-    # (start, behind) of every call: itself, or where its chain of single dependencies begins
-    chain = node.where("n = 1").select(*keys, F.col("dep").alias("start"), F.lit(1).alias("behind"))
-    chain = materialize(chain.join(starts, ["conv_id", "start"], "left"))
-    for _ in range(int(most).bit_length() + 1):
-        if chain.where("settled is null").isEmpty():
-            break
-        further = chain.select("conv_id", F.col("call_id").alias("start"), F.col("start").alias("next"), F.col("behind").alias("more"), F.col("settled").alias("then"))
-        both = chain.where("settled is null").join(further, ["conv_id", "start"]).select(*keys, F.col("next").alias("start"), (F.col("behind") + F.col("more")).alias("behind"), F.col("then").alias("settled"))
-        chain = materialize(chain.where("settled").select(*both.columns).union(both))
-    begin = materialize(node.where("n <> 1").select(*keys, F.col("call_id").alias("start"), F.lit(0).alias("behind")).union(chain.where("settled").select(*keys, "start", "behind")))
-
-    # levels of the starts: of those without dependency at once, of the others when all that they wait for are known
-    known = node.where("n = 0").select("conv_id", F.col("call_id").alias("start"), F.lit(0).alias("level"))
-    several = edges.join(node.where("n > 1").select(*keys, "n"), keys)
-    waits = several.join(begin.select("conv_id", F.col("call_id").alias("dep"), "start", "behind"), ["conv_id", "dep"]).select(*keys, "n", "start", "behind")
-    known, waits = materialize(known), materialize(waits)
+    waiting, done, level = materialize(calls.select(*keys)), None, 0
     while True:
-        ready = waits.join(known, ["conv_id", "start"]).groupBy(*keys).agg(F.count("*").alias("have"), F.first("n").alias("n"), (F.max(F.col("level") + F.col("behind")) + 1).alias("level")).where("have = n")
-        ready = materialize(ready.select("conv_id", F.col("call_id").alias("start"), "level"))
-        if ready.isEmpty():
+        free = materialize(waiting.join(edges.select(*keys).distinct(), keys, "left_anti"))
+        if free.isEmpty():
             break
-        known = known.union(ready)
-        waits = materialize(waits.join(ready.select("conv_id", F.col("start").alias("call_id")), keys, "left_anti"))
-    levels = begin.join(known, ["conv_id", "start"]).select(*keys, (F.col("level") + F.col("behind")).cast("int").alias("level"))
+        now = free.withColumn("level", F.lit(level))
+        done = materialize(now if done is None else done.union(now))
+        edges = materialize(edges.join(free.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"))
+        waiting, level = materialize(waiting.join(free, keys, "left_anti")), level + 1
+    rest = waiting.withColumn("level", F.lit(None).cast("int"))
+    return rest if done is None else done.union(rest)
+
+
+def ordered(calls: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """``calls`` (a row per conv_id and call_id) with ``level``: 0 without a known dependency, else one more than the
+    latest of those; null in and behind circles. Conversations of up to ``largest`` calls are ordered whole in tasks
+    that take many each, larger ones in rounds of joins."""
+    keys = ["conv_id", "call_id"]
+    big = materialize(calls.groupBy("conv_id").count().where(F.col("count") > largest).select("conv_id"))
+    small, levels = calls, None
+    if not big.isEmpty():
+        levels = _peeled(materialize(calls.join(big, "conv_id", "left_semi").select(*keys, "after")))
+        small = calls.join(big, "conv_id", "left_anti")
+    name = lambda call: F.to_json(F.array(F.col("conv_id").cast("string"), call))
+    deps = F.transform(F.array_distinct(F.array_compact("after")), name)
+    rows = small.select(F.xxhash64("conv_id").alias("part"), *keys, name(F.col("call_id")).alias("name"), deps.alias("deps"))
+    schema = T.StructType([*small.select(*keys).schema.fields, T.StructField("level", T.IntegerType())])
+    found = mapped(rows.repartition("part").sortWithinPartitions("part"), _levels, schema)
+    levels = found if levels is None else found.union(levels)
     return calls.join(levels, keys, "left").select(*calls.columns, "level")
 
 
