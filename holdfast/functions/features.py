@@ -68,6 +68,31 @@ def along(x: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(x, fn)
 
 
+def transposed(x: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(x[0]) - 1), lambda i: F.transform(x, lambda row: F.get(row, i)))
+
+
+def _axis(dims: int, axis: int | None) -> int | None:
+    if dims not in (1, 2) or (axis is not None and not -dims <= axis < dims):
+        raise ValueError("axes are those of arrays of one or two dimensions")
+    return None if axis is None else axis % dims
+
+
+def reduced(x: Column, fn: Callable[[Column], Column], dims: int = 1, axis: int | None = None, keepdims: bool = False) -> Column:
+    """``fn`` of all values of an array of ``dims`` dimensions, or along one axis; with ``keepdims`` the reduced axes
+    stay with one value each."""
+    axis = _axis(dims, axis)
+    if dims == 1 or axis is None:
+        one = fn(x if dims == 1 else F.flatten(x))
+        for _ in range(dims if keepdims else 0):
+            one = F.array(one)
+        return one
+    out = along(x if axis == 1 else transposed(x), fn)
+    if not keepdims:
+        return out
+    return F.transform(out, lambda v: F.array(v)) if axis == 1 else F.array(out)
+
+
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     """``fn`` of ``value``, which is evaluated once and not again inside the lambdas of ``fn``."""
     return F.transform(F.array(value), fn)[0]
@@ -79,6 +104,18 @@ def z_score(x: Column, epsilon: float = 1e-12) -> Column:
     return let(mean(x), lambda m: let(F.greatest(spread(m), F.lit(epsilon)), lambda s: F.transform(x, lambda v: (v - m) / s)))
 
 
+def z_scores(x: Column, epsilon: float = 1e-12, dims: int = 1, axis: int | None = None) -> Column:
+    """z_score over all values of an array, or along one axis of a two-dimensional one; the shape stays."""
+    axis = _axis(dims, axis)
+    if dims == 1:
+        return z_score(x, epsilon)
+    if axis is not None:
+        rows = along(x if axis == 1 else transposed(x), lambda row: z_score(row, epsilon))
+        return rows if axis == 1 else transposed(rows)
+    width = F.size(x[0])
+    return let(z_score(F.flatten(x), epsilon), lambda flat: F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.slice(flat, i * width + 1, width)))
+
+
 def placeholders(template: str) -> list[str]:
     import re
 
@@ -113,9 +150,9 @@ OPS: dict[str, Op] = {
     "cast_float64": Op(lambda args, x: cast_float64(x, args.get("array", False)), 1, 1),
     "stack": Op(lambda args, *xs: F.array(*xs) if args.get("scalars") else stack(*xs, axis=args.get("axis", 0)), 1, None),
     "concatenate": Op(lambda args, *xs: concatenate(*xs, axis=args.get("axis", 0)), 1, None),
-    "mean": Op(lambda args, x: mean(x), 1, 1),
-    "sum": Op(lambda args, x: total(x), 1, 1),
-    "z_score": Op(lambda args, x: z_score(x, args.get("epsilon", 1e-12)), 1, 1),
+    "mean": Op(lambda args, x: reduced(x, mean, args.get("dims", 1), args.get("axis"), args.get("keepdims", False)), 1, 1),
+    "sum": Op(lambda args, x: reduced(x, total, args.get("dims", 1), args.get("axis"), args.get("keepdims", False)), 1, 1),
+    "z_score": Op(lambda args, x: z_scores(x, args.get("epsilon", 1e-12), args.get("dims", 1), args.get("axis")), 1, 1),
 }
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.canonical import canonical_digest
-from holdfast.functions.tables import broadcast_if_small
+from holdfast.functions.tables import broadcast_if_small, written
 from holdfast.operators.patterns import finite
 
+DAY = 86400
+
 # Words that decide how an operator's input is classified.
 TARGETING = ["what about", "have you checked", "look at", "focus on"]
 CONTENT_TERMS = "momentum reversion earnings revenue profit volatility sentiment macro inflation rates yield sector industry size value growth quality liquidity news filing".split()
@@ -54,6 +56,23 @@ def compute_summary(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.withColumn("turn", turn).groupBy(*keys).agg(F.count("*").alias("size"), F.count(v).alias("finite"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), head.alias("sample"), F.count_distinct("source_hash").alias("sources"))
 
 
+def test_assertions(drafts: DataFrame, series: DataFrame, bucket: int = DAY) -> DataFrame:
+    """(cycle_id, step, fingerprint, n) of the drafts whose assertion holds on the values of their window.
+
+    ``drafts``: cycle_id, step, spec_ref, the arguments of an assertion and its JSON (``assertion``), and the window t0
+    to t1, closed. Values come by a range join in buckets of time; a window without values does not pass. The
+    fingerprint is the digest of spec, assertion and window, which a submission must name again.
+    """
+    from holdfast.operators.replication import window_values, window_verdicts
+
+    key = F.concat(F.col("cycle_id").cast("string"), F.lit("/"), F.col("step").cast("string"))
+    named = written(drafts.withColumns({"pattern_id": key, "window_id": F.lit("draft")}))
+    windows = named.select("pattern_id", "window_id", "t0", "t1")
+    held = window_verdicts(window_values(series, windows, named, bucket), windows, named).where("passed")
+    body = F.concat(F.lit('{"assertion":'), "assertion", F.lit(',"spec_ref":"'), "spec_ref", F.lit('","window":{"t0":'), F.col("t0").cast("string"), F.lit(',"t1":'), F.col("t1").cast("string"), F.lit("}}"))
+    return named.select("pattern_id", "cycle_id", "step", F.sha2(body, 256).alias("fingerprint")).join(held.select("pattern_id", "n"), "pattern_id").drop("pattern_id")
+
+
 def submission_gate(submissions: DataFrame, tests: DataFrame) -> DataFrame:
     """Submissions with accepted, and the steps of the successful tests in the same cycle of the same
     fingerprint (spec, assertion and window)."""

@@ -40,11 +40,18 @@ def lineage(reads: DataFrame) -> DataFrame:
     return reads.groupBy("run_id").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
 
 
-def schema_errors(outputs: DataFrame, rows: int | None, columns: int | None) -> DataFrame:
-    """Outputs whose two-dimensional ``value`` breaks the declared shape; None is a free size, the same in all rows."""
+def schema_errors(outputs: DataFrame, rows: int | str | None, columns: int | str | None, dtype: str = "double") -> DataFrame:
+    """Outputs whose two-dimensional ``value`` breaks the declared type or shape. A size is a number, a name (sizes of
+    one name are equal) or None (free); a row's width is that of all rows."""
+    kind = outputs.schema["value"].dataType.simpleString()
+    wrong = F.lit("dtype") if kind != f"array<array<{dtype}>>" else F.lit(None).cast("string")
+    one = F.lit(None).cast("string")
+    if isinstance(rows, str) and rows == columns:
+        one = F.when(F.size("value") != F.array_max(F.transform("value", lambda r: F.size(r))), f"size {rows}")
+    rows, columns = (None if isinstance(x, str) else x for x in (rows, columns))
     n, widths = F.size("value"), F.transform("value", lambda r: F.size(r))
     ragged = F.array_max(widths) != F.array_min(widths)
-    bad = F.array_compact(F.array(F.when(ragged, "ragged"), F.when(n != rows, "rows") if rows is not None else F.lit(None), F.when(F.array_max(widths) != columns, "columns") if columns is not None else F.lit(None)))
+    bad = F.array_compact(F.array(wrong, one, F.when(ragged, "ragged"), F.when(n != rows, "rows") if rows is not None else F.lit(None), F.when(F.array_max(widths) != columns, "columns") if columns is not None else F.lit(None)))
     return outputs.withColumn("errors", bad).where(F.size("errors") > 0)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.functions.tables import broadcast_if_small
+
 KEY = ["stage_name", "stage_version", "inputs_hash"]
 
 
@@ -34,7 +36,7 @@ def cost_ceilings(charges: DataFrame, ceilings: DataFrame) -> DataFrame:
     and which; null where none does."""
     upto = Window.partitionBy("invocation_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     kinds = {"compute_usd": "max_compute_usd", "llm_usd": "max_llm_usd", "data_reads": "max_data_reads"}
-    run = charges.withColumns({c: F.sum(c).over(upto) for c in kinds}).join(F.broadcast(ceilings), "stage_name")  # a row per stage
+    run = charges.withColumns({c: F.sum(c).over(upto) for c in kinds}).join(broadcast_if_small(ceilings), "stage_name")  # a row per stage
     over = F.coalesce(*[F.when(F.col(c) > F.col(m), c) for c, m in kinds.items()])
     return run.withColumn("over", over).groupBy("invocation_id").agg(F.min(F.when(F.col("over").isNotNull(), F.struct("seq", "over"))).alias("b")).select("invocation_id", F.col("b.seq").alias("failed_at"), F.col("b.over").alias("ceiling"))
 

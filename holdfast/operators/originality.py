@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.canonical import canonical_digest
+from holdfast.functions.tables import broadcast_if_small, written
 
 MOST_ENTRIES = 32
 
@@ -35,12 +36,15 @@ def matches(patterns: DataFrame, entries: DataFrame, fields: dict[str, Column])
     """(pattern_id, position, anti_pattern_id) for every entry (position, anti_pattern_id, paths array,
     projection_hash) whose projection a pattern has. Entries are at most MOST_ENTRIES, so broadcast; those of
     one set of paths share a projection."""
+    entries = written(entries)
+    if entries.count() > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries")
     sets = [r[0] for r in entries.select(F.array_join(F.array_sort(F.array_distinct("paths")), ",").alias("s")).distinct().collect()]
     out = None
     for s in sets:
         digest = projection(s.split(","), fields)
         mine = entries.where(F.array_join(F.array_sort(F.array_distinct("paths")), ",") == s).select("position", "anti_pattern_id", "projection_hash")
-        one = patterns.select("pattern_id", digest.alias("projection_hash")).join(F.broadcast(mine), "projection_hash").select("pattern_id", "position", "anti_pattern_id")
+        one = patterns.select("pattern_id", digest.alias("projection_hash")).join(broadcast_if_small(mine), "projection_hash").select("pattern_id", "position", "anti_pattern_id")
         out = one if out is None else out.union(one)
     return patterns.sparkSession.createDataFrame([], "pattern_id string, position int, anti_pattern_id string") if out is None else out
 
@@ -53,17 +57,17 @@ def decisions(patterns: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def append_entries(entries: DataFrame, new: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
-    """``new`` entries in order with outcome: duplicate (an id that is there or came before), full, or added."""
-    from pyspark.sql import Window
-
+    """``new`` entries (positions differ) with outcome: duplicate (an id that is there or came before), full, or added.
+    The place from which the list is full is found by a limit, so no task orders all entries."""
     held = entries.select("anti_pattern_id").distinct().withColumn("there", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("anti_pattern_id").orderBy("position"))
-    both = new.withColumn("turn", first).join(F.broadcast(held), "anti_pattern_id", "left")
-    fresh = (F.col("there").isNull() & (F.col("turn") == 1)).cast("int")
-    count = entries.count()
-    upto = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # a list of a few rows
-    outcome = F.when(fresh == 0, "duplicate").when(F.sum(fresh).over(upto) + count > most, "full").otherwise("added")
-    return both.withColumn("outcome", outcome).drop("turn", "there")
+    firsts = new.groupBy("anti_pattern_id").agg(F.min("position").alias("first"))
+    fresh = written(firsts.join(held, "anti_pattern_id", "left").where("there is null").select("anti_pattern_id", F.col("first").alias("position"), F.lit(True).alias("fresh")))
+    room = max(0, most - entries.count())
+    last = fresh.orderBy("position").limit(room).agg(F.max("position")).first()[0] if room else None  # a few rows of each task
+    fits = F.col("position") <= last if last is not None else F.lit(False)
+    both = new.join(fresh, ["anti_pattern_id", "position"], "left")
+    outcome = F.when(F.col("fresh").isNull(), "duplicate").when(fits, "added").otherwise("full")
+    return both.select(*new.columns, outcome.alias("outcome"))
 
 
 def list_version(entries: DataFrame) -> DataFrame:

@@ -25,12 +25,20 @@ def series_on_grid(series: DataFrame, grid: DataFrame, step: int) -> DataFrame:
     return every.join(bars, ["spec_ref", "t"], "left").withColumn("value", F.when(finite(F.col("value")), F.col("value")))
 
 
-def latest_on_grid(series: DataFrame, grid: DataFrame) -> DataFrame:
-    """(spec_ref, t, value): the latest value of each spec at or before each bar (as-of)."""
+def latest_on_grid(series: DataFrame, grid: DataFrame, bucket: int = 86400) -> DataFrame:
+    """(spec_ref, t, value): the latest value of each spec at or before each bar (as-of).
+
+    Points and bars meet within buckets of time; what a bucket starts with is carried over from a row per spec and
+    bucket, so no task sees a whole series. Values that are null are passed over.
+    """
     every = series.select("spec_ref").distinct().join(broadcast_if_small(grid)).withColumns({"value": F.lit(None).cast("double"), "bar": F.lit(1)})
-    both = series.select("spec_ref", "t", "value").withColumn("bar", F.lit(0)).unionByName(every)
-    upto = Window.partitionBy("spec_ref").orderBy("t", "bar", "value").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("value", F.last("value", ignorenulls=True).over(upto)).where("bar = 1").drop("bar")
+    both = series.select("spec_ref", "t", "value").withColumn("bar", F.lit(0)).unionByName(every).withColumn("bucket", F.floor(F.col("t") / bucket))
+    ends = both.groupBy("spec_ref", "bucket").agg(F.max(F.when(F.col("value").isNotNull(), F.struct("t", "value")))["value"].alias("end"))
+    before = Window.partitionBy("spec_ref").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("spec_ref", "bucket", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    upto = Window.partitionBy("spec_ref", "bucket").orderBy("t", "bar", "value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("value", F.last("value", ignorenulls=True).over(upto)).where("bar = 1")
+    return inside.join(carried, ["spec_ref", "bucket"]).select("spec_ref", "t", F.coalesce("value", "carried").alias("value"))
 
 
 def grid_errors(bars: DataFrame) -> DataFrame:
@@ -71,21 +79,19 @@ def effective_k(matrix: DataFrame, k: int) -> DataFrame:
     return matrix.agg(F.count("*").alias("n"), F.count_distinct(F.struct(*xs)).alias("different")).withColumn("k", F.least(F.lit(k), "n", "different").cast("long"))
 
 
-def half_even(x: float) -> int:
-    return round(x)
-
-
 def initial_centers(matrix: DataFrame, k: int) -> DataFrame:
     """Rows of the ranks round(linspace(0, n - 1, k)) in lexicographic order, ties by time; ranked by range."""
     xs = dimensions(matrix)
     ranked = written(with_rank(matrix, *xs, "t"))
     n = ranked.count()
-    wanted = [half_even(i * (n - 1) / (k - 1)) if k > 1 else 0 for i in range(k)]
+    wanted = [round(i * (n - 1) / (k - 1)) if k > 1 else 0 for i in range(k)]
     picks = F.explode(F.array(*[F.struct(F.lit(i).alias("label"), F.lit(w).cast("long").alias("rank")) for i, w in enumerate(wanted)]))
     return ranked.join(F.broadcast(matrix.sparkSession.range(1).select(picks.alias("p")).select("p.label", "p.rank")), "rank").select("label", *xs)  # k rows
 
 
 def _distances(xs: list[str], centers: list[tuple]) -> Column:
+    if not centers:
+        return F.array().cast("array<double>")
     return F.array(*[sum(((F.col(x) - F.lit(float(c))) ** 2 for x, c in zip(xs, center, strict=True)), F.lit(0.0)) for center in centers])
 
 

@@ -77,6 +77,26 @@ def scope_partition(series: DataFrame, assignment: DataFrame, partition_id: str)
 SCOPES: dict[str, Callable[..., DataFrame]] = {"all": lambda series: series, "time_range": scope_time_range, "entity_set": scope_entity_set, "partition": scope_partition}
 
 
+SCOPE_COLUMNS = ("scope_kind", "scope_t0", "scope_t1", "scope_entities", "scope_partition")
+
+
+def in_scope(columns: list[str]) -> Column:
+    """Whether a point counts for a pattern, of the scope columns that a table has: scope_kind all (or null),
+    time_range (scope_t0 to scope_t1, null: no bound), entity_set (``entity`` in the array scope_entities) or partition
+    (``partition_id`` of the point's time is scope_partition). An unknown kind admits nothing."""
+    has, kind = set(columns), F.coalesce("scope_kind", F.lit("all")) if "scope_kind" in columns else F.lit("all")
+    no = F.lit(False)
+    from_, to = (F.coalesce(c, F.lit(True)) for c in (F.col("t") >= F.col("scope_t0"), F.col("t") <= F.col("scope_t1"))) if {"scope_t0", "scope_t1"} <= has else (no, no)
+    member = F.coalesce(F.array_contains("scope_entities", F.col("entity")), no) if {"scope_entities", "entity"} <= has else no
+    tagged = F.coalesce(F.col("partition_id") == F.col("scope_partition"), no) if {"scope_partition", "partition_id"} <= has else no
+    return F.when(kind == "all", True).when(kind == "time_range", from_ & to).when(kind == "entity_set", member).when(kind == "partition", tagged).otherwise(no)
+
+
+def tagged_points(points: DataFrame, assignment: DataFrame | None) -> DataFrame:
+    """``points`` with the partition_id of their times, if there is an assignment (a row per time)."""
+    return points if assignment is None else points.join(assignment.select("t", "partition_id"), "t", "left")
+
+
 def point_verdict(value: Column, patterns_value: Callable[[str], Column]) -> Column:
     """The assertion on one value."""
     at = patterns_value
@@ -84,11 +104,16 @@ def point_verdict(value: Column, patterns_value: Callable[[str], Column]) -> Col
     return finite(value) & F.coalesce(held, F.lit(False))
 
 
-def evaluate(patterns: DataFrame, series: DataFrame) -> DataFrame:
-    """(pattern_id, t, holds) for every pattern and point of its spec: false outside the pattern's time scope
-    (scope_t0, scope_t1, null: no bound), else the assertion on the value. Patterns are few and broadcast if so."""
+def evaluate(patterns: DataFrame, series: DataFrame, assignment: DataFrame | None = None) -> DataFrame:
+    """(pattern_id, t, holds) for every pattern and point of its spec: false outside the pattern's scope (``in_scope``;
+    without scope_kind, bounds are those of a time scope), else the assertion on the value. Patterns are broadcast if
+    they are small in bytes."""
     from holdfast.functions.tables import broadcast_if_small
 
-    both = series.join(broadcast_if_small(patterns.select("pattern_id", "spec_ref", *ARGS, "scope_t0", "scope_t1")), "spec_ref")
-    inside = F.coalesce(F.col("t") >= F.col("scope_t0"), F.lit(True)) & F.coalesce(F.col("t") <= F.col("scope_t1"), F.lit(True))
+    scope = [c for c in SCOPE_COLUMNS if c in patterns.columns]
+    narrow = patterns.select("pattern_id", "spec_ref", *ARGS, *scope)
+    if scope and "scope_kind" not in scope:
+        narrow = narrow.withColumn("scope_kind", F.lit("time_range"))
+    both = tagged_points(series, assignment).join(broadcast_if_small(narrow), "spec_ref")
+    inside = in_scope(both.columns)
     return both.select("pattern_id", "t", (inside & point_verdict(F.col("value"), F.col)).alias("holds"))

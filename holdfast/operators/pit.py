@@ -26,11 +26,25 @@ def admissible(requests: DataFrame, provenance: DataFrame) -> DataFrame:
     return requests.join(earliest_vendor_time(provenance), "hash", "left").withColumn("outcome", outcome).drop("earliest")
 
 
-def visible_provenance(requests: DataFrame, provenance: DataFrame, key: str = "seq") -> DataFrame:
-    """Per request, triples returned (vendor time not after the query) and suppressed."""
-    seen = F.col("vendor_timestamp") <= F.col("query_time")
-    both = requests.join(provenance, "hash", "left")
-    return both.groupBy(key).agg(F.count_if(seen).alias("returned"), F.count_if(~seen).alias("suppressed"))
+def visible_provenance(requests: DataFrame, provenance: DataFrame, key: str = "seq", bucket: int = 86400) -> DataFrame:
+    """Per request, triples returned (vendor time not after the query) and suppressed.
+
+    Triples are counted by hash and time; a request adds the counts of the buckets of time before its own, from a row
+    per hash and bucket, to those before it in its bucket. No request meets the triples of its hash one by one.
+    """
+    at = lambda c: F.floor(F.col(c) / bucket).alias("bucket")
+    dated = provenance.where("vendor_timestamp is not null").groupBy("hash", "vendor_timestamp").agg(F.count("*").alias("n"))
+    dated = dated.select("hash", at("vendor_timestamp"), F.col("vendor_timestamp").alias("t"), "n", F.lit(0).alias("asked"), F.lit(None).cast(requests.schema[key].dataType).alias(key))
+    asked = requests.select("hash", at("query_time"), F.col("query_time").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"), key)
+    both = dated.union(asked)
+    sums = both.groupBy("hash", "bucket").agg(F.sum("n").alias("n"))
+    by_hash = Window.partitionBy("hash")
+    before = F.coalesce(F.sum("n").over(by_hash.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("hash").alias("of"), F.col("bucket").alias("in"), before.alias("before"), F.sum("n").over(by_hash).alias("all"))
+    upto = Window.partitionBy("hash", "bucket").orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("inside", F.sum("n").over(upto)).where("asked = 1")
+    found = inside.join(sums, F.col("hash").eqNullSafe(F.col("of")) & F.col("bucket").eqNullSafe(F.col("in")))
+    return found.groupBy(key).agg(F.sum(F.col("before") + F.col("inside")).alias("returned"), F.sum(F.col("all") - F.col("before") - F.col("inside")).alias("suppressed"))
 
 
 def visible_corrections(requests: DataFrame, corrections: DataFrame, provenance: DataFrame, key: str = "seq") -> DataFrame:
@@ -58,9 +72,9 @@ def access_log(attempts: DataFrame, cap: int) -> DataFrame:
     """One record per attempt with the reads used after it."""
     costs = ((F.col("kind") != "get") | (F.col("outcome") == "ok")).cast("int")
     upto = Window.partitionBy("cycle_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    used = attempts.withColumn("reads_used", F.least(F.sum(costs).over(upto), F.lit(cap)))
-    outcome = read_budget(attempts, cap).select("cycle_id", "seq", F.col("outcome").alias("final"))
-    return used.join(outcome, ["cycle_id", "seq"]).withColumn("outcome", F.col("final")).withColumn("max_reads", F.lit(cap)).drop("final")
+    spent = attempts.withColumn("spent", F.sum(costs).over(upto)).withColumn("own", costs)
+    outcome = F.when(F.col("spent") - F.col("own") >= cap, "rate_limited").otherwise(F.col("outcome"))
+    return spent.withColumns({"outcome": outcome, "reads_used": F.least("spent", F.lit(cap)), "max_reads": F.lit(cap)}).drop("spent", "own")
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, provenance: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.tables import broadcast_if_small, written
 from holdfast.operators import pit
-from holdfast.operators.patterns import ARGS, distinct_p, finite, verdict
+from holdfast.operators.patterns import ARGS, SCOPE_COLUMNS, distinct_p, finite, in_scope, tagged_points, verdict
 
 OBSERVATION = "observation"
 
@@ -32,11 +32,34 @@ def window_json(pattern_id: Column, t0: Column, t1: Column) -> Column:
     return F.concat(F.lit('{"pattern_id":"'), pattern_id, F.lit('","window":{"t0":'), t0.cast("string"), F.lit(',"t1":'), t1.cast("string"), F.lit("}}"))
 
 
+def heldout_windows(patterns: DataFrame) -> DataFrame:
+    """(pattern_id, window_id, t0, t1) of each pattern's protocol: the windows it lists (JSON column ``windows``), or a
+    choice from its grid. Of listed windows all are held out if window_count is null or their number; fewer are
+    chosen as on a grid but keep their names."""
+    if "windows" not in patterns.columns:
+        return select_heldout(grid_windows(patterns), patterns)
+    listed = patterns.where("windows is not null")
+    fixed = fixed_windows(listed)
+    count = fixed.groupBy("pattern_id").agg(F.count("*").alias("listed"))
+    asked = listed.join(count, "pattern_id").withColumn("window_count", F.coalesce("window_count", "listed"))
+    some = select_heldout(fixed.select("pattern_id", "t0", "t1"), asked).select("pattern_id", "t0", "t1")
+    chosen = patterns.where("windows is null")
+    return fixed.join(some, ["pattern_id", "t0", "t1"], "left_semi").select("pattern_id", "window_id", "t0", "t1").union(select_heldout(grid_windows(chosen), chosen))
+
+
 def select_heldout(candidates: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The ``window_count`` candidates of each pattern with the smallest digests, named in order of time."""
-    digest = F.sha2(window_json(F.col("pattern_id"), F.col("t0"), F.col("t1")), 256)
-    ranked = candidates.withColumn("digest", digest).withColumn("turn", F.row_number().over(Window.partitionBy("pattern_id").orderBy("digest")))
-    few = ranked.join(broadcast_if_small(patterns.select("pattern_id", "window_count")), "pattern_id").where("turn <= window_count")
+    """The ``window_count`` candidates of each pattern with the smallest digests, named in order of time; more than
+    there are is an error. The digest is of pattern, window and, where ``patterns`` has the column, the canonical
+    JSON of the protocol (``protocol_json``)."""
+    protocol = [c for c in ("protocol_json",) if c in patterns.columns]
+    both = candidates.join(broadcast_if_small(patterns.select("pattern_id", "window_count", *protocol)), "pattern_id")
+    text = window_json(F.col("pattern_id"), F.col("t0"), F.col("t1"))
+    if protocol:
+        text = F.regexp_replace(text, ',"window":', F.concat(F.lit(',"replication_protocol":'), F.regexp_replace("protocol_json", r"([\\$])", r"\\$1"), F.lit(',"window":')))
+    by = Window.partitionBy("pattern_id")
+    ranked = both.withColumn("digest", F.sha2(text, 256)).withColumns({"turn": F.row_number().over(by.orderBy("digest")), "candidates": F.count("*").over(by)})
+    enough = F.when(F.col("window_count") > F.col("candidates"), F.raise_error(F.lit("window_count exceeds the windows there are"))).otherwise(F.col("turn") <= F.col("window_count"))
+    few = ranked.where(enough)
     place = F.row_number().over(Window.partitionBy("pattern_id").orderBy("t0", "t1")) - 1
     return few.select("pattern_id", F.concat(F.lit("heldout_"), place.cast("string")).alias("window_id"), "t0", "t1")
 
@@ -51,17 +74,21 @@ def observation_windows(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern_id", F.lit(OBSERVATION).alias("window_id"), F.col("obs_t0").alias("t0"), F.col("obs_t1").alias("t1"))
 
 
-def window_values(series: DataFrame, windows: DataFrame, patterns: DataFrame, bucket: int = 86400) -> DataFrame:
-    """``series`` (spec_ref, t, value, ...) in each window (pattern_id, window_id, t0, t1), closed at both ends.
+def window_values(series: DataFrame, windows: DataFrame, patterns: DataFrame, bucket: int = 86400, assignment: DataFrame | None = None) -> DataFrame:
+    """``series`` (spec_ref, t, value, ...) in each window (pattern_id, window_id, t0, t1), closed at both ends, and in
+    the pattern's scope where ``patterns`` has scope columns; ``assignment`` (t, partition_id) tells partitions.
 
     A range join by buckets of time: a window stands in every bucket that it touches, a point in one, so the
     join is an equality of (spec_ref, bucket) and makes no pair twice.
     """
-    held = windows.join(patterns.select("pattern_id", "spec_ref"), "pattern_id")
+    scope = [c for c in SCOPE_COLUMNS if c in patterns.columns]
+    held = windows.select("pattern_id", "window_id", "t0", "t1").join(patterns.select("pattern_id", "spec_ref", *scope), "pattern_id")
     cut = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t0") / bucket), F.floor(F.col("t1") / bucket))))
-    points = series.withColumn("bucket", F.floor(F.col("t") / bucket))
+    points = tagged_points(series, assignment).withColumn("bucket", F.floor(F.col("t") / bucket))
     both = points.join(broadcast_if_small(cut), ["spec_ref", "bucket"]).where(F.col("t").between(F.col("t0"), F.col("t1")))
-    return both.drop("bucket", "t0", "t1")
+    if scope:
+        both = both.where(in_scope(both.columns))
+    return both.drop("bucket", "t0", "t1", "partition_id", *scope)
 
 
 def window_verdicts(values: DataFrame, windows: DataFrame, patterns: DataFrame, ps: list[float] | None = None) -> DataFrame:
@@ -207,15 +234,15 @@ def control_seed(pattern_id: Column, control: str, window_id: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(pattern_id, F.lit(f":{control}:"), window_id), 256), 1, 16), 16, 10)
 
 
-def replication_report(patterns: DataFrame, series: DataFrame, reservations: DataFrame, tags: DataFrame | None = None, control_values: DataFrame | None = None) -> DataFrame:
-    """One row per pattern with the results of all gates and the verdict over them.
+def replication_report(patterns: DataFrame, series: DataFrame, reservations: DataFrame, tags: DataFrame | None = None, control_values: DataFrame | None = None, assignment: DataFrame | None = None) -> DataFrame:
+    """One row per pattern with the results of all gates and the verdict over them, under its own protocol and scope.
 
     Windows, their values and the verdicts are written once: six gates read them, and the range join of the
     series runs a single time.
     """
-    heldout = written(select_heldout(grid_windows(patterns), patterns))
-    windows = heldout.unionByName(observation_windows(patterns))
-    values = written(window_values(series, windows, patterns).select("pattern_id", "window_id", "t", "value", "source_hash"))
+    heldout = written(heldout_windows(patterns))
+    windows = written(heldout.unionByName(observation_windows(patterns)))
+    values = written(window_values(series, windows, patterns, assignment=assignment).select("pattern_id", "window_id", "t", "value", "source_hash"))
     verdicts = written(window_verdicts(values, windows, patterns))
     held_values = values.where(F.col("window_id") != OBSERVATION)
     tags = heldout.select("pattern_id", "window_id", F.lit("partition_0").alias("partition_id")) if tags is None else tags

@@ -71,7 +71,7 @@ def _(spark, d):
     return originality.decisions(p, originality.matches(p, _entries(spark, d), _fields()))
 
 
-_NEW = "(select cast(c_custkey as int) as position, 'ap' || cast(c_custkey % 60 as string) as anti_pattern_id from {customer} where c_custkey <= 70)"
+_NEW = "(select cast(c_custkey as int) as position, 'ap' || cast(c_custkey % 60 as string) as anti_pattern_id from {customer})"
 _FRESH = f"(select *, case when anti_pattern_id in (select anti_pattern_id from {_ENTRIES}) or row_number() over (partition by anti_pattern_id order by position) > 1 then 0 else 1 end as fresh from {_NEW})"
 
 
@@ -128,9 +128,21 @@ _DRAFTS = "(select user_id as cycle_id, event_id as step, SHA(event_type || ':'
 _SUBS = "(select distinct user_id as cycle_id, SHA(event_type || ':' || cast(event_id % 4 as string)) as fingerprint from {events} where event_id % 3 = 0)"
 
 
-@query("test_assertions", f"select cycle_id, step, fingerprint from {_DRAFTS} where passed")
+_TRIED = f"""(select user_id as cycle_id, event_id as step, event_type as spec_ref, case event_id % 3 when 0 then 'in_range' when 1 then 'quantile_ge' else 'sign' end as kind, 0.0e0 as lo, 90.0e0 + event_id % 60 as hi, 0.5e0 as p, 20.0e0 + event_id % 60 as threshold,
+    cast(1 as int) as expected_sign, EPOCH(ts) as t0, EPOCH(ts) + 3600 * (event_id % 12) as t1 from {{events}})"""
+_TRIED_HASH = """SHA('{"assertion":{"kind":"' || kind || '",' || case kind when 'in_range' then '"lo":0,"hi":' || cast(cast(hi as bigint) as string) when 'sign' then '"expected_sign":1' else '"p":5,"threshold":' || cast(cast(threshold as bigint) as string) end
+    || '},"spec_ref":"' || spec_ref || '","window":{"t0":' || cast(t0 as string) || ',"t1":' || cast(t1 as string) || '}}')"""
+
+
+@query("test_assertions", f"""select cycle_id, step, {_TRIED_HASH} as fingerprint, n from (select a.cycle_id, a.step, a.spec_ref, a.kind, a.hi, a.threshold, a.t0, a.t1, count(*) as n,
+    bool_and(not isnan(s.value)) and case any_value(a.kind) when 'in_range' then bool_and(s.value between lo and hi) when 'sign' then bool_and(sign(s.value) = expected_sign) else quantile_cont(s.value, 0.5) >= any_value(a.threshold) end as passed
+    from {_TRIED} a join {{series}} s on s.spec_ref = a.spec_ref and s.t between a.t0 and a.t1 group by 1, 2, 3, 4, 5, 6, 7, 8) where passed""")
 def _(spark, d):
-    return sql(spark, d, f"select * from {_DRAFTS}").where("passed").select("cycle_id", "step", "fingerprint")
+    # the assertion's own JSON, with whole numbers (p in tenths), so that both engines write it alike
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    args = F.when(F.col("kind") == "in_range", F.concat(F.lit('"lo":0,"hi":'), whole("hi"))).when(F.col("kind") == "sign", F.lit('"expected_sign":1')).otherwise(F.concat(F.lit('"p":5,"threshold":'), whole("threshold")))
+    drafts = sql(spark, d, f"select * from {_TRIED}").withColumn("assertion", F.concat(F.lit('{"kind":"'), "kind", F.lit('",'), args, F.lit("}")))
+    return discovery.test_assertions(drafts, view(spark, d, "series"), bucket=3600)
 
 
 @query("submission_gate", f"select s.cycle_id, s.fingerprint, t.sources is not null as accepted, t.sources from {_SUBS} s left join (select cycle_id, fingerprint, string_agg(cast(step as string), ',' order by step) as sources from {_DRAFTS} where passed group by 1, 2) t on t.cycle_id = s.cycle_id and t.fingerprint = s.fingerprint")
@@ -148,7 +160,7 @@ def _(spark, d):
     return discovery.touched_windows(sql(spark, d, f"select * from {_OBSERVED}"), sql(spark, d, f"select * from {_TOUCHED}"))
 
 
-_TOOLS = "(select event_id, case event_id % 6 when 0 then 'inspect_spec' when 1 then 'compute' when 2 then 'propose_spec' when 3 then 'test_assertion' when 4 then 'submit_pattern' else 'browse' end as tool_name, case when user_id % 3 = 0 then 'frontier' else 'cheap' end as phase, 's' || cast(user_id % 20 as string) as spec_id from {events})"
+_TOOLS = "(select event_id, case event_id % 6 when 0 then 'inspect_spec' when 1 then 'compute' when 2 then 'propose_spec' when 3 then 'test_assertion' when 4 then 'submit_pattern' else 'browse' end as tool_name, case when user_id % 3 = 0 then 'frontier' else 'cheap' end as phase, 's' || cast(user_id as string) as spec_id from {events})"
 
 
 @query("tool_rule_check", f"select event_id, case when tool_name = 'browse' then 'unknown tool' when (tool_name = 'submit_pattern') <> (phase = 'frontier') then 'not allowed in phase' else 'ok' end as rule from {_TOOLS}")
@@ -156,7 +168,7 @@ def _(spark, d):
     return discovery.tool_rules(sql(spark, d, f"select * from {_TOOLS}")).select("event_id", "rule")
 
 
-_SPECS = "(select 's' || cast(p_partkey as string) as spec_id, p_retailprice / 1e6 as spec_usd, p_size as n_deps from {part} where p_partkey < 20)"
+_SPECS = "(select 's' || cast(p_partkey as string) as spec_id, p_retailprice / 1e6 as spec_usd, p_size as n_deps from {part})"
 
 
 @query("tool_cost_estimate", f"""select event_id, round(case tool_name when 'inspect_spec' then 0.001e0 when 'propose_spec' then 0.002e0 when 'submit_pattern' then 0.003e0 when 'compute' then spec_usd + n_deps * 0.001e0 when 'test_assertion' then 2 * (spec_usd + n_deps * 0.001e0) end, 9) as estimated_usd

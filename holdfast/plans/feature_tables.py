@@ -91,9 +91,9 @@ def _(spark, d):
     return _vectors(spark, d).select("vec_id", F.round(fn.total(F.col("x")), 9).alias("total"), F.round(rows[1], 9).alias("rows_total"))
 
 
-@query("op_z_score", f"select vec_id, i, round((v - m) / greatest(s, 1e-12), 7) as z from (select vec_id, unnest(x) as v, cast(unnest(range(len(x))) as int) as i from {_VEC}) join (select vec_id, avg(v) as m, stddev_pop(v) as s from (select vec_id, unnest(x) as v from {_VEC}) group by 1) using (vec_id) where i < 4")
+@query("op_z_score", f"select vec_id, i, round((v - m) / greatest(s, 1e-12), 7) as z from (select vec_id, unnest(x) as v, cast(unnest(range(len(x))) as int) as i from {_VEC}) join (select vec_id, avg(v) as m, stddev_pop(v) as s from (select vec_id, unnest(x) as v from {_VEC}) group by 1) using (vec_id)")
 def _(spark, d):
-    return _vectors(spark, d).select("vec_id", F.posexplode(F.slice(fn.z_score(F.col("x")), 1, 4)).alias("i", "z")).withColumn("z", F.round("z", 7))
+    return _vectors(spark, d).select("vec_id", F.posexplode(fn.z_score(F.col("x"))).alias("i", "z")).withColumn("z", F.round("z", 7))
 
 
 _TEMPLATE = "Rate {kind} of user {user}: {value}"

@@ -37,7 +37,7 @@ VIEWS = {
         EPOCH(o_orderdate) as t0, EPOCH(o_orderdate) + (o_orderkey % 5) * {DAY} as t1, 'c' || cast(o_orderkey % 7 as string) as cycle_id, o_orderkey as created from {{orders}}""",
     "window_requests": f"""select o_orderkey as request_id, 'p' || cast(o_custkey % 50 as string) as pattern_id,
         case when o_orderkey % 3 = 0 then 'Discover' else 'EmpiricalTest' end as stage, EPOCH(o_orderdate) + 2 * {DAY} as t0,
-        EPOCH(o_orderdate) + 2 * {DAY} + (o_orderkey % 3) * 3600 as t1, 'r' as cycle_id from {{orders}} where o_orderkey % 5 = 0""",
+        EPOCH(o_orderdate) + 2 * {DAY} + (o_orderkey % 3) * 3600 as t1, 'r' as cycle_id from {{orders}}""",
     "llm_cache": """select 'm' || cast(doc_id % 3 as string) as model_id, hash as prompt_hash, SHA('params') as params_hash, hash as bytes_hash, fetch_time as first_written
         from {fetched} where doc_id % 2 = 0""",
     "steps": """select user_id as cycle_id, row_number() over (partition by user_id order by ts, event_id) as step, event_type as kind, value / 1000 as reserved_usd,
@@ -47,7 +47,7 @@ VIEWS = {
     "phrases": """select conv_id * 1000 + turn as seq, text from {conversations} where role = 'user'
         union all select 900000000 + e.event_id * 100 + p.k as seq, p.text from {events} e cross join (values
           (1, 'What about momentum?'), (2, 'Compute that on a different window.'), (3, '  '), (4, 'Try to break this claim'), (5, 'focus on value stocks'),
-          (6, 'Please compute the summary'), (7, 'hello there'), (8, 'look at   earnings reports')) as p(k, text) where e.event_id % 50 = 0""",
+          (6, 'Please compute the summary'), (7, 'hello there'), (8, 'look at   earnings reports')) as p(k, text)""",
 }
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from holdfast.functions.tables import broadcast_if_small
 from holdfast.operators import partitions as prt
 from holdfast.plans.fixtures import DAY, START, oracle, sql, view
 
 Q: dict = {}
 SQL: dict = {}
 HOUR = 3600
-REFS = ["click", "view"]
+SPECS = 5  # event types of the given tables
 
 
 def query(name: str, oracle_text: str | None = None):
@@ -32,7 +33,7 @@ def _grid(spark):
 
 @query("bar_grid", f"select spec_ref, t from (select distinct spec_ref from {{series}}), {_GRID}")
 def _(spark, d):
-    return view(spark, d, "series").select("spec_ref").distinct().join(F.broadcast(_grid(spark)))
+    return view(spark, d, "series").select("spec_ref").distinct().join(broadcast_if_small(_grid(spark)))
 
 
 _ONGRID = f"(select s.spec_ref, g.t, b.value from (select distinct spec_ref from {{series}}) s cross join {_GRID} g left join {{bars}} b on b.spec_ref = s.spec_ref and b.t = g.t)"
@@ -60,19 +61,21 @@ def _(spark, d):
 
 
 def _refs(spark, d):
-    """Two event types, in order."""
-    return [r[0] for r in view(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    """All event types, in order."""
+    return [r[0] for r in view(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]
 
 
-_R = "(select spec_ref, row_number() over (order by spec_ref) as i from (select distinct spec_ref from {series}) order by 1 limit 2)"
-_MATRIX = f"""(select t, max(case when i = 1 then mean end) as x0, max(case when i = 1 then last end) as x1, max(case when i = 2 then mean end) as x2, max(case when i = 2 then last end) as x3
-    from {_trail('{bars}')} s join {_R} r on r.spec_ref = s.spec_ref group by t)"""
-_FULL = f"(select * from {_MATRIX} where x0 is not null and x1 is not null and x2 is not null and x3 is not null)"
-XS = ["x0", "x1", "x2", "x3"]
+# bars of six hours, in which all specs have values
+_COARSE = "(select spec_ref, cast(floor(t / 21600) as bigint) * 21600 as t, avg(value) as value from {series} group by 1, 2)"
+_R = "(select spec_ref, row_number() over (order by spec_ref) as i from (select distinct spec_ref from {series}))"
+XS = [f"x{i}" for i in range(2 * SPECS)]
+_CELLS = ", ".join(f"max(case when i = {i + 1} then {s} end) as x{2 * i + j}" for i in range(SPECS) for j, s in enumerate(("mean", "last")))
+_MATRIX = f"""(select t, {_CELLS} from {_trail(_COARSE)} s join {_R} r on r.spec_ref = s.spec_ref group by t)"""
+_FULL = f"(select * from {_MATRIX} where {' and '.join(f'{x} is not null' for x in XS)})"
 
 
 def _matrix(spark, d):
-    return prt.state_matrix(prt.trailing_summaries(view(spark, d, "bars"), 5), _refs(spark, d), ["mean", "last"])
+    return prt.state_matrix(prt.trailing_summaries(sql(spark, d, f"select * from {_COARSE}"), 5), _refs(spark, d), ["mean", "last"])
 
 
 def _rounded(df, places=6):
@@ -92,7 +95,7 @@ def _(spark, d):
     return _rounded(prt.standardize(_matrix(spark, d)))
 
 
-@query("effective_k", f"select count(*) as n, count(distinct (x0, x1, x2, x3)) as different, least(3, count(*), count(distinct (x0, x1, x2, x3))) as k from {_FULL}")
+@query("effective_k", f"select count(*) as n, count(distinct ({', '.join(XS)})) as different, least(3, count(*), count(distinct ({', '.join(XS)}))) as k from {_FULL}")
 def _(spark, d):
     return prt.effective_k(_matrix(spark, d), 3)
 
@@ -132,12 +135,12 @@ def _(spark, d):
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-_FAR = "(select t, case when d0 <= d1 then 0 else 1 end as label, least(d0, d1) as distance from (select t, x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3 as d0, (x0 - 1) * (x0 - 1) + (x1 - 1) * (x1 - 1) + (x2 - 1) * (x2 - 1) + (x3 - 1) * (x3 - 1) as d1 from __STD__))".replace("__STD__", _STD)
+_FAR = "(select t, case when d0 <= d1 then 0 else 1 end as label, least(d0, d1) as distance from (select t, __D0__ as d0, __D1__ as d1 from __STD__))".replace("__STD__", _STD).replace("__D0__", " + ".join(f"{x} * {x}" for x in XS)).replace("__D1__", " + ".join(f"({x} - 1) * ({x} - 1)" for x in XS))
 
 
 @query("repair_empty", f"""select t, cast(case when label = (select label from {_FAR} group by 1 order by count(*) desc, label limit 1) and row_number() over (partition by label order by distance desc, t) = 1 then 2 else label end as int) as label from {_FAR}""")
 def _(spark, d):
-    labelled = prt.assign(prt.standardize(_matrix(spark, d)), [(0.0,) * 4, (1.0,) * 4, (1e6,) * 4])
+    labelled = prt.assign(prt.standardize(_matrix(spark, d)), [(0.0,) * len(XS), (1.0,) * len(XS), (1e6,) * len(XS)])
     return prt.override(labelled, prt.repair_empty(labelled, 3)).select("t", "label")
 
 
@@ -155,7 +158,7 @@ def _tags(spark, d):
 
 @query("partition_fingerprints", f"""select partition_id, cast(dim as int) as dim, count(*) as count, round(count(*) / sum(count(*)) over (partition by dim) + 3.7e-8, 6) as weight, round(avg(value) + 3.7e-8, 6) as centroid, round(stddev_pop(value) + 3.7e-8, 6) as std,
     round(min(value) + 3.7e-8, 6) as min, round(max(value) + 3.7e-8, 6) as max, round(quantile_cont(value, 0.1) + 3.7e-8, 6) as q0, round(quantile_cont(value, 0.5) + 3.7e-8, 6) as q1, round(quantile_cont(value, 0.9) + 3.7e-8, 6) as q2
-    from (select partition_id, {{unpivot}} from {_FULL} m join {_TAGGED} a on a.t = m.t) group by partition_id, dim""".replace("{unpivot}", "unnest([0, 1, 2, 3]) as dim, unnest([x0, x1, x2, x3]) as value"))
+    from (select partition_id, {{unpivot}} from {_FULL} m join {_TAGGED} a on a.t = m.t) group by partition_id, dim""".replace("{unpivot}", f"unnest({list(range(len(XS)))}) as dim, unnest([{', '.join(XS)}]) as value"))
 def _(spark, d):
     out = prt.partition_fingerprints(_matrix(spark, d), _tags(spark, d))
     return out.withColumns({c: F.round(F.col(c) + 3.7e-8, 6) for c, k in out.dtypes if k == "double"})  # off exact ties

@@ -137,6 +137,31 @@ def _(spark, d):
     return _tables(spark, d)[3].select("pattern_id", "window_id", "t", "value")
 
 
+_SCOPES = """select *, case kind when 'in_range' then 'entity_set' when 'quantile_ge' then 'time_range' when 'sign' then 'partition' end as scope_kind, case kind when 'quantile_ge' then __FROM__ end as scope_t0, cast(null as bigint) as scope_t1,
+    'partition_1' as scope_partition from {patterns}""".replace("__FROM__", f"cast({START + 7 * DAY + 3600} as bigint)")
+_HOURS = "(select distinct t, 'partition_' || cast(cast(floor(t / 3600) as bigint) % 3 as string) as partition_id from {series})"
+
+
+_SCOPED_VALUES = f"""(select v.*, p.scope_kind from (select p.pattern_id, w.window_id, s.t, s.value, s.entity from {{patterns}} p join {_WINDOWS} w on w.pattern_id = p.pattern_id join {{series}} s on s.spec_ref = p.spec_ref and s.t between w.t0 and w.t1) v
+    join ({_SCOPES}) p on p.pattern_id = v.pattern_id where case scope_kind when 'entity_set' then entity in ('1', '2', '3') when 'time_range' then t >= scope_t0 else cast(floor(t / 3600) as bigint) % 3 = 1 end)"""
+
+
+@query("scoped_window_verdicts", f"""select * from {_verdicts(_SCOPED_VALUES)}""")
+def _(spark, d):
+    p = written(sql(spark, d, _SCOPES).withColumn("scope_entities", F.array(F.lit("1"), F.lit("2"), F.lit("3"))))
+    windows = written(_heldout(spark, d).unionByName(rep.observation_windows(p)))
+    values = rep.window_values(view(spark, d, "series"), windows, p, assignment=sql(spark, d, f"select * from {_HOURS}"))
+    return rep.window_verdicts(values, windows, p)
+
+
+@query("heldout_windows", f"""select * from ({_HELD}) where pattern_id in (select pattern_id from {{patterns}} where kind <> 'sign')
+    union all select pattern_id, 'w', cast({START + 5 * DAY} as bigint), cast({START + 6 * DAY} as bigint) from {{patterns}} where kind = 'sign' union all select pattern_id, 'heldout_1', {START + 8 * DAY}, {START + 9 * DAY} from {{patterns}} where kind = 'sign'""")
+def _(spark, d):
+    p, sign = view(spark, d, "patterns"), F.col("kind") == "sign"
+    text = F.lit(f'[{{"window_id":"w","t0":{START + 5 * DAY},"t1":{START + 6 * DAY}}},{{"t0":{START + 8 * DAY},"t1":{START + 9 * DAY}}}]')
+    return rep.heldout_windows(written(p.withColumns({"windows": F.when(sign, text), "window_count": F.when(~sign, F.col("window_count"))})))
+
+
 @query("window_verdicts", f"select * from {_verdicts(_VALUES)}")
 def _(spark, d):
     p, _, windows, values = _tables(spark, d)
