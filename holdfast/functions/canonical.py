@@ -41,6 +41,65 @@ def canonical_digest(text: Column, drop: tuple[str, ...] = ()) -> Column:
     return run(text)
 
 
+def canonical_text(text: Column) -> Column:
+    """Canonical form of a JSON text; null where it is no JSON. Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_canonical_or_none)
+
+    return run(text)
+
+
+def _canonical_or_none(text: str | None) -> str | None:
+    try:
+        return canonical(json.loads(text))
+    except (TypeError, ValueError):
+        return None
+
+
+def streamed_digest(parts: DataFrame, key: list[str], order: list[str], first: str = "", last: str = "") -> DataFrame:
+    """(key..., digest): SHA-256 of ``first``, the texts of each key and ``last``. ``parts`` has the key, a number
+    ``place``, the columns ``order`` and ``text``; texts come in order of place and ``order``, and those of one place are
+    parted by commas. Spark sorts the rows and tasks hash them as they pass, so no key's texts are gathered."""
+    kinds = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in key)
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema, state = None, None  # state: key, hash so far, place of the last text
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(c) for c in key] + [pa.field("digest", pa.string())])
+            done = []
+            rows = zip(zip(*(batch.column(c).to_pylist() for c in key)), batch.column("place").to_pylist(), batch.column("text").to_pylist())
+            for own, place, text in rows:
+                if state is None or state[0] != own:
+                    if state is not None:
+                        done.append(state)
+                    state = [own, hashlib.sha256(first.encode()), None]
+                if state[2] == place:
+                    state[1].update(b",")
+                state[1].update(text.encode())
+                state[2] = place
+            if done:
+                yield _closed(done, schema, last)
+        if state is not None:
+            yield _closed([state], schema, last)
+
+    placed = parts.repartition(*key).sortWithinPartitions(*key, "place", *order).select(*key, "place", "text")
+    return placed.mapInArrow(run, f"{kinds}, digest string")
+
+
+def _closed(states, schema, last):
+    import pyarrow as pa
+
+    for s in states:
+        s[1].update(last.encode())
+    columns = [pa.array(values, field.type) for values, field in zip(zip(*(s[0] for s in states)), schema)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([s[1].hexdigest() for s in states])], schema=schema)
+
+
+# The keys of a spec.
 _SPEC_KEYS = {"schema_version", "name", "graph", "deps", "cost", "output_schema"}
 
 

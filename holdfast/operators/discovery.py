@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.canonical import canonical_digest
+from holdfast.functions.canonical import canonical_text, streamed_digest
 from holdfast.functions.tables import broadcast_if_small, written
 from holdfast.operators.patterns import finite
 
@@ -145,10 +145,12 @@ def realized_cost(realized: Column, cost: Column, reserved: Column) -> Column:
 
 
 def trace_hash(calls: DataFrame) -> DataFrame:
-    """(cycle_id, trace_hash): digest of each cycle's calls in order of steps, without record hashes."""
-    row = F.struct("step_index", "phase", "tool_name", "args_hash", "result_hash", "outcome")
-    listed = calls.groupBy("cycle_id").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("body"))
-    return listed.select("cycle_id", canonical_digest(F.col("body")).alias("trace_hash"))
+    """(cycle_id, trace_hash): digest of the canonical JSON list of each cycle's calls in order of steps, without record
+    hashes; a missing field is null. Calls are hashed as they pass, so a long cycle is not gathered."""
+    names = ["step_index", "phase", "tool_name", "args_hash", "result_hash", "outcome"]
+    text = canonical_text(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
+    parts = calls.select("cycle_id", *names, F.lit(0).alias("place"), text.alias("text"))
+    return streamed_digest(parts, ["cycle_id"], names, "[", "]").withColumnRenamed("digest", "trace_hash")
 
 
 def cycle_outcome(ledger: DataFrame, decisions: DataFrame, cap: float, most_patterns: int) -> DataFrame:

@@ -26,12 +26,17 @@ def series_on_grid(series: DataFrame, grid: DataFrame, step: int) -> DataFrame:
 
 
 def latest_on_grid(series: DataFrame, grid: DataFrame, bucket: int = 86400) -> DataFrame:
-    """(spec_ref, t, value): the latest value of each spec at or before each bar (as-of).
+    """(spec_ref, t, value): the latest value of each spec at or before each bar (as-of)."""
+    return latest_at(series, series.select("spec_ref").distinct().join(broadcast_if_small(grid)), bucket)
+
+
+def latest_at(series: DataFrame, asked: DataFrame, bucket: int = 86400) -> DataFrame:
+    """(spec_ref, t, value): the latest value at or before each time asked for, different rows (spec_ref, t); as-of.
 
     Points and bars meet within buckets of time; what a bucket starts with is carried over from a row per spec and
     bucket, so no task sees a whole series. Values that are null are passed over.
     """
-    every = series.select("spec_ref").distinct().join(broadcast_if_small(grid)).withColumns({"value": F.lit(None).cast("double"), "bar": F.lit(1)})
+    every = asked.select("spec_ref", "t").withColumns({"value": F.lit(None).cast("double"), "bar": F.lit(1)})
     both = series.select("spec_ref", "t", "value").withColumn("bar", F.lit(0)).unionByName(every).withColumn("bucket", F.floor(F.col("t") / bucket))
     ends = both.groupBy("spec_ref", "bucket").agg(F.max(F.when(F.col("value").isNotNull(), F.struct("t", "value")))["value"].alias("end"))
     before = Window.partitionBy("spec_ref").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.functions.canonical import canonical_text, streamed_digest
 from holdfast.functions.tables import broadcast_if_small, written
 from holdfast.operators import pit
 from holdfast.operators.patterns import ARGS, SCOPE_COLUMNS, distinct_p, finite, in_scope, tagged_points, verdict
@@ -91,6 +92,22 @@ def window_values(series: DataFrame, windows: DataFrame, patterns: DataFrame, bu
     return both.drop("bucket", "t0", "t1", "partition_id", *scope)
 
 
+def point_values(series: DataFrame, windows: DataFrame, patterns: DataFrame, assignment: DataFrame | None = None, bucket: int = 86400) -> DataFrame:
+    """(pattern_id, window_id, t, value) at the times t0, t0 + step, ... up to t1 of each window that are in the pattern's
+    scope: the latest value of its spec at or before them, null if there is none. The step is ``step_seconds``, or the
+    window's length where that is null. A spec's value at a time is of no entity, so an entity set admits no time."""
+    from holdfast.operators.partitions import latest_at
+
+    scope = [c for c in SCOPE_COLUMNS if c in patterns.columns]
+    held = windows.select("pattern_id", "window_id", "t0", "t1").join(patterns.select("pattern_id", "spec_ref", "step_seconds", *scope), "pattern_id")
+    step = F.greatest(F.lit(1), F.coalesce("step_seconds", F.col("t1") - F.col("t0")))
+    times = tagged_points(held.withColumn("t", F.explode(F.sequence("t0", "t1", step))), assignment)
+    if scope:
+        times = times.where(in_scope(times.columns))
+    asked = written(times.select("pattern_id", "window_id", "spec_ref", "t"))
+    return asked.join(latest_at(series, asked.select("spec_ref", "t").distinct(), bucket), ["spec_ref", "t"]).select("pattern_id", "window_id", "t", "value")
+
+
 def window_verdicts(values: DataFrame, windows: DataFrame, patterns: DataFrame, ps: list[float] | None = None) -> DataFrame:
     """(pattern_id, window_id, n, passed) of every window; one without values does not pass. ``ps``: the distinct
     quantile positions of ``patterns``, if known."""
@@ -112,9 +129,37 @@ def window_summary(values: DataFrame) -> DataFrame:
     return values.groupBy("pattern_id", "window_id").agg(F.count("*").alias("size"), F.count(v).alias("finite"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"), rounded(F.avg(v)).alias("mean"), rounded(F.percentile(v, F.lit(0.5))).alias("median"))
 
 
-def window_lineage(values: DataFrame) -> DataFrame:
-    """One row per different source hash of each window."""
-    return values.select("pattern_id", "window_id", F.col("source_hash").alias("hash")).where("hash is not null").distinct()
+def window_lineage(values: DataFrame, windows: DataFrame | None = None, patterns: DataFrame | None = None, deps: DataFrame | None = None) -> DataFrame:
+    """One row per different source hash of each window. With ``deps`` (spec_ref, hash), the declared ones of specs, a
+    window without any source hash takes those of its pattern's spec; one that has neither is an error."""
+    found = values.select("pattern_id", "window_id", F.col("source_hash").alias("hash")).where("hash is not null").distinct()
+    if deps is None:
+        return found
+    found = written(found)
+    bare = windows.select("pattern_id", "window_id").join(found, ["pattern_id", "window_id"], "left_anti")
+    declared = bare.join(patterns.select("pattern_id", "spec_ref"), "pattern_id").join(deps.select("spec_ref", "hash").distinct(), "spec_ref", "left")
+    proved = F.coalesce("hash", F.raise_error(F.lit("a window has neither source hashes nor declared deps")))
+    return found.unionByName(declared.select("pattern_id", "window_id", proved.alias("hash")))
+
+
+def window_fingerprints(values: DataFrame, verdicts: DataFrame, lineage: DataFrame, windows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern_id, window_id, fingerprint): digest of the canonical JSON of each window's assertion, source hashes in
+    order, verdict, spec, summary and bounds. Hashes are digested as they pass, so a window's are not gathered."""
+    keys = ["pattern_id", "window_id"]
+    of = lambda kind, *names: [F.when(F.col("kind") == kind, F.col(n)).alias(n) for n in names]
+    args = F.struct(*of("in_range", "lo", "hi"), *of("quantile_ge", "p", "threshold"), *of("sign", "expected_sign"))
+    size = F.coalesce("size", F.lit(0))
+    summary = F.struct(F.lit("float64").alias("dtype"), F.array(size).alias("shape"), size.alias("size"), F.lit(True).alias("numeric"), F.coalesce("finite", F.lit(0)).alias("finite_count"), "min", "max", "mean", F.col("median").alias("q50"))
+    own = windows.select(*keys, "t0", "t1").join(patterns.select("pattern_id", "spec_ref", *ARGS), "pattern_id")
+    own = own.join(verdicts.select(*keys, "passed"), keys).join(window_summary(values), keys, "left")
+    rest = F.struct(F.col("passed").alias("result"), "spec_ref", summary.alias("summary"), F.struct("window_id", "t0", "t1").alias("window"))
+    own = own.select(*keys, canonical_text(F.to_json(F.struct("kind", args.alias("args")))).alias("assertion"), canonical_text(F.to_json(rest)).alias("rest"))
+    head = F.concat(F.lit('{"assertion":'), "assertion", F.lit(',"lineage_hashes":['))
+    tail = F.concat(F.lit("],"), F.expr("substring(rest, 2)"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("place"), head.alias("text")), F.struct(F.lit(2).alias("place"), tail.alias("text"))))
+    items = lineage.select(*keys, F.lit(1).alias("place"), F.concat(F.lit('"'), "hash", F.lit('"')).alias("text"))
+    parts = own.select(*keys, ends.alias("e")).select(*keys, "e.place", "e.text").unionByName(items)
+    return streamed_digest(parts, keys, ["text"]).withColumnRenamed("digest", "fingerprint")
 
 
 def shared_lineage(lineage: DataFrame) -> DataFrame:
@@ -234,8 +279,9 @@ def control_seed(pattern_id: Column, control: str, window_id: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(pattern_id, F.lit(f":{control}:"), window_id), 256), 1, 16), 16, 10)
 
 
-def replication_report(patterns: DataFrame, series: DataFrame, reservations: DataFrame, tags: DataFrame | None = None, control_values: DataFrame | None = None, assignment: DataFrame | None = None) -> DataFrame:
+def replication_report(patterns: DataFrame, series: DataFrame, reservations: DataFrame, tags: DataFrame | None = None, control_values: DataFrame | None = None, assignment: DataFrame | None = None, deps: DataFrame | None = None) -> DataFrame:
     """One row per pattern with the results of all gates and the verdict over them, under its own protocol and scope.
+    ``deps``: declared source hashes of specs, for windows without own ones.
 
     Windows, their values and the verdicts are written once: six gates read them, and the range join of the
     series runs a single time.
@@ -249,7 +295,7 @@ def replication_report(patterns: DataFrame, series: DataFrame, reservations: Dat
     refused = heldout_reservations(heldout, reservations, "test").where("outcome = 'refused'")
     parts = partition_verdict(partition_results(verdicts, tags, patterns))
     controls = perturbation_verdict(control_results(held_values, heldout, patterns, control_values))
-    clean = disjointness(patterns, window_lineage(values), gap_failures(heldout, patterns), refused)
+    clean = disjointness(patterns, window_lineage(values, windows, patterns, deps), gap_failures(heldout, patterns), refused)
     observed = verdicts.where(F.col("window_id") == OBSERVATION).select("pattern_id", F.col("passed").alias("observed"))
     out = replication_verdict(verdicts, patterns)
     for df in (observed, parts, controls, clean):

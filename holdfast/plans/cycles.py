@@ -205,9 +205,10 @@ def _(spark, d):
     return view(spark, d, "events").select("event_id", discovery.realized_cost(F.when(k == 0, v).otherwise(-1.0), F.when(k == 1, v / 2), F.lit(7.0)).alias("usd"))
 
 
-@query("tool_trace_hash")
+@query("tool_trace_hash", """select user_id as cycle_id, SHA('[' || string_agg('{"args_hash":"' || SHA(props) || '","outcome":"ok","phase":"cheap","result_hash":"' || SHA(cast(user_id as string)) || '","step_index":' || cast(event_id as string) || ',"tool_name":"' || event_type || '"}', ',' order by event_id) || ']') as trace_hash
+    from {events} group by 1""")
 def _(spark, d):
-    calls = sql(spark, d, "select user_id as cycle_id, event_id as step_index, 'cheap' as phase, event_type as tool_name, SHA(props) as args_hash, SHA(cast(value as string)) as result_hash, 'ok' as outcome from {events}")
+    calls = sql(spark, d, "select user_id as cycle_id, event_id as step_index, 'cheap' as phase, event_type as tool_name, SHA(props) as args_hash, SHA(cast(user_id as string)) as result_hash, 'ok' as outcome from {events}")
     return discovery.trace_hash(calls)
 
 

@@ -162,6 +162,17 @@ def _(spark, d):
     return rep.heldout_windows(written(p.withColumns({"windows": F.when(sign, text), "window_count": F.when(~sign, F.col("window_count"))})))
 
 
+_POINTS = f"""(select x.pattern_id, x.window_id, x.t, s.value from (select w.pattern_id, w.window_id, p.spec_ref, unnest(generate_series(w.t0, w.t1, 21600)) as t from {_WINDOWS} w join {{patterns}} p on p.pattern_id = w.pattern_id) x
+    asof left join (select spec_ref, t, max(value) as value from {{series}} where value is not null group by 1, 2) s on s.spec_ref = x.spec_ref and x.t >= s.t)"""
+
+
+@query("point_window_values", f"select * from {_POINTS}")
+def _(spark, d):
+    p = view(spark, d, "patterns")
+    windows = _heldout(spark, d).unionByName(rep.observation_windows(p))
+    return rep.point_values(view(spark, d, "series"), windows, p.withColumn("step_seconds", F.lit(21600)))
+
+
 @query("window_verdicts", f"select * from {_verdicts(_VALUES)}")
 def _(spark, d):
     p, _, windows, values = _tables(spark, d)
@@ -182,6 +193,21 @@ def _(spark, d):
     return rep.window_lineage(_tables(spark, d)[3])
 
 
+@query("declared_lineage", f"""select * from {_LINEAGE} where window_id <> 'heldout_0' union all select w.pattern_id, w.window_id, SHA(p.spec_ref || ':dep') from {_WINDOWS} w join {{patterns}} p on p.pattern_id = w.pattern_id
+    where w.window_id = 'heldout_0' or not exists (select 1 from {_VALUES} v where v.pattern_id = w.pattern_id and v.window_id = w.window_id)""")
+def _(spark, d):
+    p, _, windows, values = _tables(spark, d)
+    some = values.withColumn("source_hash", F.when(F.col("window_id") != "heldout_0", F.col("source_hash")))
+    return rep.window_lineage(some, windows, p, sql(spark, d, "select distinct spec_ref, SHA(spec_ref || ':dep') as hash from {series}"))
+
+
+@query("window_digests")
+def _(spark, d):
+    p, _, windows, values = _tables(spark, d)
+    windows, values = written(windows), written(values)
+    return rep.window_fingerprints(values, rep.window_verdicts(values, windows, p), rep.window_lineage(values), windows, p)
+
+
 _SHARED = f"(select pattern_id, count(*) as shared from {_LINEAGE} h where window_id <> 'observation' and exists (select 1 from {_LINEAGE} o where o.window_id = 'observation' and o.pattern_id = h.pattern_id and o.hash = h.hash) group by 1)"
 _RESERVED = f"select pattern_id, 'Discover' as stage, cast({START + 10 * DAY} as bigint) as t0, cast({START + 11 * DAY} as bigint) as t1, 'c1' as cycle_id from {{patterns}} where kind = 'sign' union all select pattern_id, 'EmpiricalTest', t0, t1, 'c2' from ({_HELD}) where window_id = 'heldout_2'"
 _REFUSED = f"(select pattern_id, window_id from ({_HELD}) h where exists (select 1 from ({_RESERVED}) r where r.stage = 'Discover' and r.pattern_id = h.pattern_id and r.t0 <= h.t1 and r.t1 >= h.t0))"
