@@ -188,3 +188,25 @@ def test_changed_outputs_are_conflicts(spark):
     old = spark.createDataFrame([("f", "w"), ("g", "y")], "fingerprint string, output_hash string")
     held = spark.createDataFrame([("x",), ("y",)], "hash string")
     assert rows(incremental.record(new, old, held), "fingerprint", "outcome") == [("f", "conflict"), ("g", "known"), ("h", "missing artifact")]
+
+
+def test_spec_ids_are_digests_of_normal_forms(spark):
+    nodes = [{"id": "b", "op": "mean", "inputs": ["a"]}, {"id": "a", "op": "literal", "args": {"value": 1}, "inputs": []}]
+    body = {"schema_version": 1, "name": "é", "graph": {"nodes": nodes, "output": "b"}, "deps": ["2", "1", "2"], "cost": {}, "output_schema": {}}
+    normal = '{"cost":{},"deps":["1","2"],"graph":{"nodes":[{"args":{"value":1},"id":"a","inputs":[],"op":"literal","version":"1"},{"id":"b","inputs":["a"],"op":"mean","version":"1"}],"output":"b"},"name":"é","output_schema":{},"schema_version":1}'
+    own = hashlib.sha256(normal.encode()).hexdigest()
+    circle = {**body, "graph": {"nodes": [{"id": "b", "op": "mean", "inputs": ["b"]}], "output": "b"}}
+    cases = [(body, own, None), ({**body, "spec_id": own}, own, None), ({**body, "spec_id": "x"}, None, "other id"), ({**body, "more": 1}, None, "keys"), (circle, None, "circle"), ({**body, "graph": {"nodes": nodes, "output": "z"}}, None, "unknown output")]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, (b, _, _) in enumerate(cases)], "i int, body string").union(spark.createDataFrame([(6, None)], "i int, body string"))
+    got = {r["i"]: tuple(r["s"]) for r in df.select("i", canonical.spec_ids(F.col("body")).alias("s")).collect()}
+    assert [got[i] for i in range(6)] == [c[1:] for c in cases] and got[6][0] is None and got[6][1]
+
+
+def test_pattern_ids_are_digests_with_versions(spark):
+    body = {"spec_ref": "a" * 64, "assertion": {"kind": "sign"}, "scope": {"kind": "all"}, "observation_window": [0, 1], "replication_protocol": {"window_count": 7}}
+    normal = '{"assertion":{"kind":"sign"},"observation_window":[0,1],"replication_protocol":{"window_count":7},"scope":{"kind":"all"},"spec_ref":"' + "a" * 64 + '","versions":{"assertion":"1","scope":"1"}}'
+    own = hashlib.sha256(normal.encode()).hexdigest()
+    cases = [(body, own, None), ({**body, "pattern_id": own}, own, None), ({**body, "pattern_id": "x"}, None, "other id"), ({**body, "spec_ref": "a"}, None, "spec or assertion"), ({**body, "assertion": {"kind": "none"}}, None, "spec or assertion")]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, (b, _, _) in enumerate(cases)], "i int, body string")
+    got = {r["i"]: tuple(r["p"]) for r in df.select("i", canonical.pattern_ids(F.col("body")).alias("p")).collect()}
+    assert [got[i] for i in range(5)] == [c[1:] for c in cases]
