@@ -116,6 +116,13 @@ def z_scores(x: Column, epsilon: float = 1e-12, dims: int = 1, axis: int | None
     return let(z_score(F.flatten(x), epsilon), lambda flat: F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.slice(flat, i * width + 1, width)))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one that is none of ``taken``."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def placeholders(template: str) -> list[str]:
     import re
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.functions import canonical as can
+from holdfast.functions import features as fn
 from holdfast.functions.tables import broadcast_if_small
 from holdfast.operators import pit
 
@@ -30,6 +32,79 @@ def from_cache(prompts: DataFrame, cache: DataFrame, bodies: DataFrame) -> tuple
     return hits, asked.join(cache.select(*keys), keys, "left_anti").select(*keys).distinct()
 
 
+def run_graph(runs: DataFrame, graph: dict, sources: dict[str, Column], blobs: DataFrame, provenance: DataFrame, cache: DataFrame, bodies: DataFrame, key: str = "run_id") -> tuple[DataFrame, DataFrame]:
+    """A graph with reads and model calls over ``runs`` (key, query_time, deps, columns of ``sources``), one per run.
+
+    ``raw_get`` brings the content of ``args.hash`` or of its input; ``llm_call`` renders ``prompt_template`` with its
+    inputs, named by ``input_names``, and takes the answer of ``model`` with ``params`` from the cache, whose bodies are
+    JSON of model, prompt_hash, params_hash and response. Both obey the run's query_time. All other nodes are columns
+    between these joins. Only nodes that the output needs are run, each once.
+
+    Results (key, value, error, read_hashes, data_reads): the first failure of a run ends its reads and is its error
+    (undeclared, unknown, future_denied, no content, null input, miss, mismatch, no response, no value), and its value is
+    null. Calls (key, node, model_id, prompt_hash, params_hash, outcome, input_tokens, output_tokens): misses are the work list.
+    """
+    names = {n: fn.free_name(f"__{n}", runs.columns) for n in ("error", "reads", "count")}
+    state = runs.withColumns({names["error"]: F.lit(None).cast("string"), names["reads"]: F.array().cast("array<string>"), names["count"]: F.lit(0)})
+    error, made, calls = F.col(names["error"]), [], []
+
+    def keep(found: DataFrame, name: str, value: Column, problem: Column, read: Column, reads: Column) -> None:
+        """The rows with the node's value; failures end a run."""
+        nonlocal state
+        old = {n: F.col(f"row.{c}") for n, c in names.items()}
+        others = [F.col(f"row.`{c}`") for c in state.columns if c not in names.values()]
+        now = F.when(old["error"].isNull(), problem)
+        hashes = F.when(old["error"].isNull() & read.isNotNull(), F.array_union(old["reads"], F.array(read))).otherwise(old["reads"])
+        count = old["count"] + F.when(old["error"].isNull(), reads).otherwise(0)
+        state = found.select(*others, F.coalesce(old["error"], now).alias(names["error"]), hashes.alias(names["reads"]), count.alias(names["count"]), F.when(F.coalesce(old["error"], now).isNull(), value).alias(name))
+
+    def read(args: dict, *inputs: Column) -> Column:
+        name = fn.free_name(f"__node{len(made)}", runs.columns)
+        made.append(name)
+        asked = F.when(error.isNull(), inputs[0] if inputs else F.lit(args["hash"]))
+        declared = F.coalesce(F.array_contains("deps", asked), F.lit(False))
+        packed = state.select(F.struct("*").alias("row"), "query_time", F.when(declared, asked).alias("hash"), declared.alias("declared"))
+        found = raw_get(packed, blobs, provenance)
+        ok = F.col("outcome") == "ok"
+        problem = F.when(~F.col("declared"), "undeclared").when(~ok, F.col("outcome")).when(F.col("content").isNull(), "no content")
+        keep(found, name, F.col("content"), problem, F.when(ok, F.col("hash")), F.col("declared").cast("int"))
+        return F.col(name)
+
+    def ask(args: dict, *inputs: Column) -> Column:
+        name = fn.free_name(f"__node{len(made)}", runs.columns)
+        made.append(name)
+        if len(inputs) != len(args["input_names"]):
+            raise ValueError("llm_call takes an input for each of its names")
+        prompt = F.when(error.isNull(), fn.render(args["prompt_template"], dict(zip(args["input_names"], [i.cast("string") for i in inputs]))))
+        params = can.params_hash(F.lit(args["model"]), F.lit(can.canonical(args.get("params", {}))))
+        packed = state.select(F.struct("*").alias("row"), "query_time", F.lit(args["model"]).alias("model_id"), can.prompt_hash(prompt).alias("prompt_hash"), params.alias("params_hash"))
+        held = bodies.select("hash", "body").dropDuplicates(["hash"])
+        found = pit.cache_lookup(packed, cache, provenance).join(held, "hash", "left")
+        found = found.withColumn("r", F.from_json("body", "model string, prompt_hash string, params_hash string, response struct<text: string, input_tokens: bigint, output_tokens: bigint>"))
+        same = F.col("r.model").eqNullSafe(F.col("model_id"))
+        for c in ("prompt_hash", "params_hash"):
+            same = same & F.col(f"r.{c}").eqNullSafe(F.col(c))
+        answer = F.col("r.response.text")
+        hit = F.col("outcome") == "hit"
+        problem = F.when(F.col("prompt_hash").isNull(), "null input").when(~hit, F.col("outcome")).when(F.col("body").isNull(), "no content").when(~same, "mismatch").when(answer.isNull(), "no response")
+        asked = found.where(F.col(f"row.{names['error']}").isNull() & F.col("prompt_hash").isNotNull())
+        tokens = [F.when(hit & same, F.col(f"r.response.{c}")).alias(c) for c in ("input_tokens", "output_tokens")]
+        calls.append(asked.select(F.col(f"row.{key}").alias(key), F.lit(len(calls)).alias("node"), "model_id", "prompt_hash", "params_hash", F.when(hit & ~same, "mismatch").otherwise(F.col("outcome")).alias("outcome"), *tokens))
+        reads = F.when(F.col("prompt_hash").isNull(), 0).otherwise(F.when(F.col("hash").isNull(), 1).otherwise(2))
+        keep(found, name, answer, problem, F.when(hit, F.col("hash")), reads)
+        return F.col(name)
+
+    ops = {**fn.OPS, "raw_get": fn.Op(read, 0, 1), "llm_call": fn.Op(ask, 0, None)}
+    value = fn.compile_spec(graph, sources, ops)
+    out = state.select(key, value.alias("value"), *(F.col(c).alias(n) for n, c in names.items()))
+    failure = F.coalesce("error", F.when(F.col("value").isNull(), "no value"))
+    results = out.select(key, F.when(failure.isNull(), F.col("value")).alias("value"), failure.alias("error"), F.sort_array("reads").alias("read_hashes"), F.col("count").alias("data_reads"))
+    none = runs.sparkSession.createDataFrame([], f"{key} {runs.schema[key].dataType.simpleString()}, node int, model_id string, prompt_hash string, params_hash string, outcome string, input_tokens long, output_tokens long")
+    for c in calls:
+        none = none.union(c)
+    return results, none
+
+
 def undeclared(reads: DataFrame, deps: DataFrame) -> DataFrame:
     """Reads (run_id, hash) that are not among the declared deps of their run."""
     return reads.select("run_id", "hash").distinct().join(deps.select("run_id", "hash"), ["run_id", "hash"], "left_anti")

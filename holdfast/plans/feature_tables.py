@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import canonical as can
 from holdfast.functions import features as fn
 from holdfast.operators import features as rep
-from holdfast.plans.fixtures import oracle, sql, view
+from holdfast.plans.fixtures import DAY, START, oracle, sql, view
 
 Q: dict = {}
 SQL: dict = {}
@@ -126,6 +126,38 @@ def _(spark, d):
     return view(spark, d, "events").select("event_id", F.round(out, 9).alias("feature"))
 
 
+_ASKED_AT = START + 20 * DAY
+_RUNS = f"select doc_id, hash, {_ASKED_AT} as query_time, case when doc_id % 13 = 0 then array(SHA(lang)) else array(hash) end as deps from {{fetched}}"
+_ANSWERS = f"select hash, text, min(doc_id) as m, {START} + min(doc_id) % 40 * {DAY} as vendor_timestamp from {{fetched}} group by hash, text having min(doc_id) % 2 = 0"
+_GRAPH = {"nodes": [
+    {"id": "raw", "op": "raw_get", "inputs": ["hash"]}, {"id": "text", "op": "decode_text", "inputs": ["raw"]},
+    {"id": "ask", "op": "llm_call", "inputs": ["text"], "args": {"model": "m", "params": {"n": 1}, "prompt_template": "Rate {text}", "input_names": ["text"]}},
+    {"id": "json", "op": "decode_json", "inputs": ["ask"]}, {"id": "score", "op": "json_get", "args": {"path": [0], "type": "double"}, "inputs": ["json"]},
+    {"id": "base", "op": "literal", "args": {"value": 2.5}}, {"id": "both", "op": "stack", "args": {"scalars": True}, "inputs": ["score", "base"]},
+    {"id": "out", "op": "mean", "inputs": ["both"]}, {"id": "unused", "op": "raw_get", "args": {"hash": "0"}}], "output": "out"}
+
+
+@query("run_feature_graph", f"""with earliest as (select hash, min(vendor_timestamp) as t from {{provenance}} group by 1),
+    answers as (select hash, m, vendor_timestamp, SHA('{{"model":"m","params_hash":"' || SHA('{{"model":"m","params":{{"n":1}}}}') || '","prompt_hash":"' || case when m % 10 = 0 then 'other' else SHA('Rate ' || text) end
+        || '","response":{{"input_tokens":1,"output_tokens":2,"text":"[' || cast(m as string) || ']"}}}}') as bytes_hash from ({_ANSWERS})),
+    linked as (select doc_id, hash, m, bytes_hash, case when doc_id % 13 = 0 then 'undeclared' when t > {_ASKED_AT} then 'future_denied' end as e1,
+        case when m is null then 'miss' when written > {_ASKED_AT} then 'future_denied' when m % 10 = 0 then 'mismatch' end as e2 from {{fetched}} join earliest using (hash) left join (select hash, m, vendor_timestamp as written, bytes_hash from answers) using (hash))
+    select doc_id, case when e1 is null and e2 is null then (m + 2.5e0) / 2 end as value, coalesce(e1, e2) as error,
+        case when e1 is not null then '' when e2 is null or e2 = 'mismatch' then least(hash, bytes_hash) || ',' || greatest(hash, bytes_hash) else hash end as read_hashes,
+        cast(case when e1 = 'undeclared' then 0 when e1 is not null then 1 when m is null then 2 else 3 end as int) as data_reads from linked""")
+def _(spark, d):
+    answers = sql(spark, d, _ANSWERS)
+    stated = F.when(F.col("m") % 10 == 0, "other").otherwise(can.prompt_hash(F.concat(F.lit("Rate "), "text")))
+    params = can.params_hash(F.lit("m"), F.lit('{"n":1}'))
+    body = F.concat(F.lit('{"model":"m","params_hash":"'), params, F.lit('","prompt_hash":"'), stated, F.lit('","response":{"input_tokens":1,"output_tokens":2,"text":"['), F.col("m").cast("string"), F.lit(']"}}'))
+    answers = answers.withColumn("body", body).withColumn("bytes_hash", F.sha2("body", 256))
+    cache = answers.select(F.lit("m").alias("model_id"), can.prompt_hash(F.concat(F.lit("Rate "), "text")).alias("prompt_hash"), params.alias("params_hash"), "bytes_hash", F.col("vendor_timestamp").alias("first_written"))
+    provenance = view(spark, d, "provenance").select("hash", "vendor_timestamp").union(answers.select("bytes_hash", "vendor_timestamp"))
+    blobs = view(spark, d, "fetched").select("hash", "text")
+    found, _ = rep.run_graph(sql(spark, d, _RUNS), _GRAPH, {"hash": F.col("hash")}, blobs, provenance, cache, answers.select(F.col("bytes_hash").alias("hash"), "body"), key="doc_id")
+    return found.withColumn("read_hashes", F.array_join("read_hashes", ","))
+
+
 _READS = "select cast(user_id as string) as run_id, SHA(cast(event_id % 40 as string)) as hash, event_id from {events}"
 _DEPS = "select distinct cast(user_id as string) as run_id, SHA(cast(event_id % 40 as string)) as hash from {events} where event_id % 40 < 30"
 
