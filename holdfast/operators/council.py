@@ -33,6 +33,15 @@ def groups(pairs: DataFrame, members: list[str], theta: float) -> dict[str, str]
     return root
 
 
+def regrouped(votes: DataFrame, pairs: DataFrame, theta: float) -> DataFrame:
+    """``votes`` with the groups that measured independence makes of their members, in place of the stated ones: members
+    of pairs below ``theta`` count as one. Members without a common pattern keep a group of their own."""
+    members = [r[0] for r in votes.select("member").where("member is not null").distinct().collect()]  # a handful
+    own = groups(pairs, members, theta)
+    names = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+    return votes.withColumn("independence_group", F.try_element_at(names, F.col("member")) if own else F.col("member"))
+
+
 def calibration(votes: DataFrame, archive: DataFrame, least: float) -> DataFrame:
     """(member, approvals, rate, flagged): how many of a member's approved and re-tested patterns held again."""
     own = votes.where("vote = 'approve'").join(archive.select("pattern_id", "re_replicated"), "pattern_id")

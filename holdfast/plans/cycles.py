@@ -270,6 +270,12 @@ def _(spark, d):
     return audit.verify_days(sql(spark, d, f"select * from {_STORED}"))
 
 
+@query("verify_appended", f"select log_id, day, count(*) as n, bool_and((t * 1000000 + event_id) % 997 > 0) as valid from (select cast(user_id % 20 as string) as log_id, EPOCH(ts) as t, cast(floor(EPOCH(ts) / 86400) as bigint) as day, event_id from {{events}}) group by 1, 2")
+def _(spark, d):
+    """Records appended to chains, some tampered with afterwards, and verified by their own digests."""
+    return audit.verify_days(_lines(spark, d))
+
+
 @query("verify_range", f"select log_id, count(distinct day) as days, bool_and(digest_ok and event_id % 89 > 0) as valid from {_STORED} where day between {START // DAY + 5} and {START // DAY + 8} group by 1")
 def _(spark, d):
     return audit.verify_range(sql(spark, d, f"select * from {_STORED}"), START // DAY + 5, START // DAY + 8)
@@ -344,6 +350,20 @@ def _(spark, d):
     return council.independence(view(spark, d, "votes")).withColumn("independence", F.round("independence", 6))
 
 
+_THETA = 0.995
+
+
+@query("independent_decisions", f"""with recursive pairs as (select a.member as a, b.member as b from {{votes}} a join {{votes}} b on a.pattern_id = b.pattern_id and a.member < b.member group by 1, 2
+        having 1 - avg(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))) < {_THETA}),
+    links as (select a, b from pairs union select b, a from pairs), reach as (select distinct member, member as other from {{votes}} union select r.member, l.b from reach r join links l on l.a = r.other),
+    own as (select member, min(other) as grp from reach group by 1)
+    select pattern_id, count(distinct grp) filter (vote = 'approve') as approving_groups, cast(count_if(vote = 'reject') as bigint) as rejects, count(distinct grp) filter (vote = 'approve') >= 2 and count_if(vote = 'reject') = 0 as archived
+    from {{votes}} join own using (member) group by 1""")
+def _(spark, d):
+    votes = view(spark, d, "votes")
+    return council.decisions(council.regrouped(votes, council.independence(votes), _THETA))
+
+
 _ARCHIVE = f"(select distinct pattern_id, {START} + pattern_id % 25 * {DAY} as archived_at, pattern_id % 3 > 0 as re_replicated from {{votes}})"
 
 

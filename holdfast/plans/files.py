@@ -53,6 +53,16 @@ def _(spark, d):
     return tables.append_index(rows.where("vendor_timestamp % 172800 >= 86400"), at, tables.PROVENANCE)
 
 
+@query("corrections_table", "select correction_hash, original_hash from {corrections}")
+def _(spark, d):
+    return tables.append_index(view(spark, d, "corrections"), _place(spark), tables.CORRECTIONS)
+
+
+@query("cache_table", "select model_id, prompt_hash, params_hash, bytes_hash, first_written from {llm_cache}")
+def _(spark, d):
+    return tables.append_index(view(spark, d, "llm_cache"), _place(spark), tables.CACHE)
+
+
 @query("reservation_table", "select distinct pattern_id, stage, t0, t1, cycle_id from {reservations}")
 def _(spark, d):
     return tables.write_reservations(view(spark, d, "reservations").select("pattern_id", "stage", "t0", "t1", "cycle_id").distinct(), _place(spark))

@@ -92,4 +92,6 @@ def oracle(text: str) -> str:
     body = plain(text).strip()
     if not head:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}"
     return f"with {head}, {body[5:]}" if body.lower().startswith("with ") else f"with {head} {body}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 RAW_FETCHES = "entity_id string, url string, status int, headers map<string, string>, body binary, fetch_time long"
 PROVENANCE = "hash string, source_id string, fetch_time long, vendor_timestamp long"
 CORRECTIONS = "correction_hash string, original_hash string"
+CACHE = "model_id string, prompt_hash string, params_hash string, bytes_hash string, first_written long"
 RESERVATIONS = "pattern_id string, stage string, t0 long, t1 long, cycle_id string"
 
 

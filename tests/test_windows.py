@@ -71,3 +71,13 @@ def test_trace_hash_keeps_nulls_and_odd_text(spark):
     want = hashlib.sha256(json.dumps([dict(zip(names, c[1:])) for c in sorted(calls[:3], key=lambda c: c[1])], sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
     assert {r["cycle_id"]: r["trace_hash"] for r in discovery.trace_hash(df).collect()} == {None: want, 1: want, 2: want}
     assert discovery.trace_hash(df.limit(0)).count() == 0
+
+
+def test_members_of_dependent_pairs_count_once(spark):
+    from holdfast.operators import council
+
+    votes = spark.createDataFrame([(p, m, "approve", e, m) for p in (1, 2) for m, e in (("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])) if (p, m) != (2, "c")], "pattern_id int, member string, vote string, embedding array<double>, independence_group string")
+    folded = council.regrouped(votes, council.independence(votes), 0.1)
+    assert {r["member"]: r["independence_group"] for r in folded.collect()} == {"a": "a", "b": "a", "c": "c"}
+    assert {r["pattern_id"]: (r["approving_groups"], r["archived"]) for r in council.decisions(folded).collect()} == {1: (2, True), 2: (1, False)}
+    assert council.regrouped(votes.limit(0), council.independence(votes.limit(0)), 0.1).count() == 0
