@@ -100,6 +100,27 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(*chat.calls_of_turns(table(spark, sf_dir, "conversations")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    from holdfast.llm import search
+
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of secrets in every document."""
+    from holdfast.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent word that each is a variant of."""
+    from holdfast.llm import variants
+
+    return variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -108,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_neighbours, op2_quality, op3_mixing, op4_vector_copies, op5_toxicity, op6_suffixes, op7_simhash, op8_licenses, op9_packing, op10_tool_calls, pipeline)}
+    return {f.__name__: f for f in (op1_neighbours, op2_quality, op3_mixing, op4_vector_copies, op5_toxicity, op6_suffixes, op7_simhash, op8_licenses, op9_packing, op10_tool_calls, op11_ranked_search, op12_secrets, op13_spelling, pipeline)}
 
 
 _PAIRS = """pairs as materialized (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id
@@ -118,6 +139,14 @@ _PAIRS = """pairs as materialized (select a.vec_id as a, b.vec_id as b from embe
 _SQL = {
     "op4_vector_copies": f"""with recursive {_PAIRS}, reach as (select vec_id, vec_id as other from embeddings union select r.vec_id, p.b from reach r join pairs p on p.a = r.other)
         select e.vec_id, (select count(*) from pairs p where p.a = e.vec_id) as n_links, min(r.other) as component_id, e.vec_id = min(r.other) as kept from embeddings e join reach r on r.vec_id = e.vec_id group by e.vec_id""",
+    "op11_ranked_search": r"""with found as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+        held as materialized (select doc_id, term, count(*) as tf from found group by 1, 2), sizes as (select doc_id, sum(tf)::bigint as n from held group by 1),
+        corpus as (select count(*) as docs, sum(n)::bigint as words from sizes), spread as (select term, count(*) as df from held group by 1),
+        asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        scored as (select item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::bigint as score
+            from asked join held using (term) join spread using (term) join sizes using (doc_id), corpus group by 1, 2),
+        ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0)
+        select * from ranked where rank <= 50""",
     "op10_tool_calls": r"""with recursive turns as (select distinct conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
         numbered as (select *, row_number() over w - 1 as i, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words, length(text) % 5 = 0 as short, lag(turn) over w as t1, lag(turn, 2) over w as t2, lead(turn) over w as next, first_value(turn) over w as t0
             from turns where role = 'user' window w as (partition by conv_id order by turn, text)),

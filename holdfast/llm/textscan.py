@@ -101,3 +101,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts] + (ends - starts).astype(U64))
+
+
+def packed_words(data: np.ndarray, member: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The maximal runs of ``member`` bytes as an Arrow array of strings, and the row of each."""
+    starts, ends, at = spans(member, offsets)
+    size = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(size), pa.py_buffer(data[member])])
+    return words, np.repeat(np.arange(len(offsets) - 1), np.diff(at))
