@@ -26,14 +26,14 @@ _TERM[48:58] = _TERM[97:123] = True
 class Search:
     """Parameters. ``k``: documents of an item. ``items``, ``item_bytes``: items handled at once and bytes of their terms
     together, at most (one item is handled whatever its size): they are broadcast; more items are searched block by
-    block. ``group``: documents that a task holds as one tree. ``leaf``: rows of a leaf, ``sample``: documents whose
+    block. ``group``: documents that a task holds as one tree. ``leaf``: documents of a leaf (a leaf of items is one item), ``sample``: documents whose
     scores give the first bounds, about so many."""
 
     k: int = 50
     items: int = 4096
     item_bytes: int = 16 << 20
     group: int = 8192
-    leaf: int = 16
+    leaf: int = 8
     sample: int = 4096
 
 
@@ -249,7 +249,7 @@ def _sparse(batch: pa.Table, of: str, value: str) -> tuple[np.ndarray, np.ndarra
 
 def _found(placed: DataFrame, items: tuple, size: int, floor: np.ndarray, p: Search) -> DataFrame:
     """(item, row, doc_id, score): of each group of documents of a task, the best for each item."""
-    held = placed.sparkSession.sparkContext.broadcast((items, tree(*items, np.ones(size, np.int64), size, p.leaf), floor))
+    held = placed.sparkSession.sparkContext.broadcast((items, tree(*items, np.ones(size, np.int64), size, 1), floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, item_tree, floor = held.value
