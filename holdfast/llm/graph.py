@@ -13,11 +13,10 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0 to n - 1 with links a-b, the smallest node that each can reach."""
     root = np.arange(n)
     while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
+        up_a, up_b = root[a], root[b]  # roots move, not their nodes: links that are closed by now hold through them
+        low = np.minimum(up_a, up_b)
+        np.minimum.at(root, up_a, low)
+        np.minimum.at(root, up_b, low)
         while True:
             up = root[root]
             if (up == root).all():

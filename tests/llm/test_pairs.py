@@ -43,10 +43,18 @@ def test_neighbours_have_recall_and_exact_scores(spark):
 def test_neighbours_of_few_and_none(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(v, v.where("vec_id = 1"), k=20).collect())
-    assert got == [(1, 1, 2, 1.0), (1, 2, 3, 0.0)]
+    assert got == [(1, 1, 2, 1.0), (1, 2, 2, 1.0), (1, 3, 3, 0.0)]
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    v = spark.createDataFrame([(20, [1.0, 1.0]), (20, [1.0, 1.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    want = [(1, 2, 3.0), (2, 2, 3.0), (3, 20, 2.0), (4, 3, 1.0)]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(v, v.where("vec_id = 20"), k=20).collect())
+    assert got == sorted(want * 2)
+    assert sorted(r["vec_id"] for r in ann.nearest(v, v.where("vec_id = 20").limit(1), k=3).collect()) == [2, 2, 20]
+
+
 @pytest.mark.parametrize("params", [embdedup.Cells(), embdedup.Cells(cell_rows=20, block_rows=16)])
 def test_vector_copies(spark, params):
     v = vectors(spark, extra=[*ODD, (906, [1.0] * 16, None)]).selectExpr("*", "1 as id", "'x' as unit", "2 as w")
@@ -71,6 +79,31 @@ def test_vector_copies(spark, params):
     assert embdedup.near_duplicates(v.limit(0)).count() == 0
 
 
+def test_vector_copies_of_tiny_and_huge_vectors(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1.0, 0.0]), (4, [1e200, 0.0]), (5, [2e200, 1e190]), (6, [0.0, 1.7e308]), (7, [0.0, 5e-324]), (8, [1e308, 1e308]), (9, [-1e-300, 0.0]), (3, [4.0, 0.0])]
+    got = embdedup.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int"))
+    want = [(i, {1: 5, 2: 5, 3: 5, 4: 5, 5: 5, 6: 1, 7: 1, 8: 0, 9: 0}[i], {2: 1, 3: 1, 4: 1, 5: 1, 7: 6}.get(i, i), i in (1, 6, 8, 9)) for i, _ in rows]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_forest_of_random_links():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        n, m = 400, int(rng.integers(1, 700))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        up = list(range(n))
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+        assert graph.forest(n, a, b).tolist() == [top(x) for x in range(n)]
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -94,8 +127,9 @@ def documents(spark):
     return spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").selectExpr("doc_id + 100 as doc_id", "text").union(extra).selectExpr("*", "'c' as fingerprint", "1 as component_id", "2 as node")
 
 
-@pytest.mark.parametrize("largest", [2048, 1])
-def test_simhash(spark, largest):
+@pytest.mark.parametrize("largest, flips", [(2048, 2048), (1, 2048), (2048, 2)])
+def test_simhash(spark, largest, flips, monkeypatch):
+    monkeypatch.setattr(simhash, "BY_FLIPS", flips)
     docs = documents(spark)
     want = Counter((r["doc_id"], fingerprint(r["text"])) for r in docs.collect())
     got = simhash.near_duplicates(docs, largest=largest).collect()
@@ -136,6 +170,22 @@ def test_simhash_links_of_planted_fingerprints(spark):
         assert all(got.get(i, i) == want[i] for i in range(len(prints)))
 
 
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    a, b, c = 0b1, 0b111, 0b1111  # two bits, one bit, three bits apart
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_, **__: docs.selectExpr("doc_id", "cast(text as long) as fingerprint"))
+    rows = [(1, str(a)), (None, str(b)), (3, str(c)), (9, str(7 << 40)), (None, str(7 << 50))]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["fingerprint"], r["doc_id"], r["component_id"]) for r in got) == [(a, 1, 1), (b, None, 1), (c, 3, 1), (7 << 40, 9, 9), (7 << 50, None, None)]
+
+
+def test_large_groups_by_flipped_bits():
+    rng = np.random.default_rng(5)
+    for width, n in ((16, 900), (10, 300), (32, 400)):
+        fp = np.unique(np.uint64(77) << np.uint64(50) | rng.integers(0, 1 << width, n).astype(np.uint64))
+        rng.shuffle(fp)
+        assert (simhash._by_flips(fp, 2) == simhash._by_pairs(fp, np.array([0]), 2)).all()
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 7), (2, "a b c d e", 8), (2, "a b c d e", 8), (3, "quite another text than that", 9), (None, "x", 1)], "doc_id long, text string, __turn int")
     assert sorted((r["doc_id"] or 0, r["__turn"]) for r in simhash.deduplicate(docs).collect()) == [(0, 1), (1, 7), (3, 9)]
