@@ -41,14 +41,18 @@ def spherical_kmeans(x: np.ndarray, k: int, passes: int, seed: int) -> np.ndarra
     return centres
 
 
-def _cells(unit: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _apart(centres: np.ndarray) -> np.ndarray:
+    """Distances of unit centres from each other."""
+    return np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+
+
+def _cells(unit: np.ndarray, centres: np.ndarray, apart: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, cell and whether it is the row's own, for each cell that holds a row or may hold a neighbour of it.
 
     A vector whose distance to the border between its own cell and another is over ``reach`` has no vector
     within ``reach`` on the other side."""
     near = unit @ centres.T
     own = near.argmax(1)
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
     gap = near[np.arange(len(unit)), own][:, None] - near
     row, cell = np.nonzero(gap <= (reach + 1e-9) * apart[own] + 1e-12)
     return row, cell, cell == own[row]
@@ -75,6 +79,7 @@ def links(distinct: DataFrame, params: Cells = Cells()) -> DataFrame:
     reach = float(np.sqrt(2 - 2 * params.least_cosine))
 
     def place(parts):
+        apart = _apart(centres.value)  # once a task
         for pdf in parts:
             usual = pdf["unit"].map(len).to_numpy() == size
             if not usual.all():
@@ -83,7 +88,7 @@ def links(distinct: DataFrame, params: Cells = Cells()) -> DataFrame:
                 pdf = pdf[usual]
                 for a in range(0, len(pdf), 1024):
                     part = pdf.iloc[a : a + 1024]
-                    row, cell, own = _cells(np.stack(part["unit"].to_list()), centres.value, reach)
+                    row, cell, own = _cells(np.stack(part["unit"].to_list()), centres.value, apart, reach)
                     yield part.iloc[row].assign(cell=cell.astype(np.int32), own=own)
 
     label = F.concat(F.size("unit").cast("string"), F.lit(":"), F.col("label").cast("string"))
@@ -121,22 +126,25 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     Vectors of one label, not null, and one length link at ``least_cosine`` or more. component_id is the smallest
     vec_id reachable, itself included; kept marks those. Copies of a vector are one node, counted but never compared
-    with each other. Null, zero and non-finite vectors link with nothing, rows without label or vec_id too. Every
+    with each other. Null, zero and non-finite vectors link with nothing, rows without label or vec_id too; all others
+    can, as tiny or huge as they are: vectors are divided by their largest component before they are squared. Every
     row gives one row, whatever other rows share its vec_id; repeated vec_ids count as vectors each.
     """
     rows = materialize(vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).alias("label")))
     links_at_all = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & takes_part("embedding")
     good = rows.where(links_at_all)
     groups = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id()))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    unit = groups.select("id", "label", "w", F.transform("embedding", lambda x: x / norm).alias("unit"))
+    largest = F.array_max(F.transform("embedding", F.abs))
+    scaled = groups.select("id", "label", "w", F.transform("embedding", lambda x: x / largest).alias("scaled"))
+    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x * x))
+    unit = scaled.select("id", "label", "w", F.transform("scaled", lambda x: x / norm).alias("unit"))
     found = materialize(links(unit, params))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = groups.join(counted, "id", "left").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
     known = materialize(known.select("label", "embedding", "lowest", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
-    least = known.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    of = materialize(known.join(least, "component").select("label", "embedding", "n_links", "component_id", F.col("w").alias("n")))
+    least = materialize(known.groupBy("component").agg(F.min("lowest").alias("component_id"), F.count("*").alias("n")))
+    of = materialize(join_hot(known, least, ["component"]).select("label", "embedding", "n_links", "component_id", F.col("w").alias("n")))
     linked = join_hot(good, of, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~links_at_all).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(rest).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
