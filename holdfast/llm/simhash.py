@@ -14,13 +14,15 @@ from pyspark.sql import types as T
 from holdfast.llm import nearcopies
 from holdfast.llm.arrow import add_columns, mapped, sorted_groups
 from holdfast.llm.graph import components, forest
-from holdfast.llm.store import materialize
+from holdfast.llm.store import join_hot, materialize
 from holdfast.llm.textscan import LOWER, NOT_SPACE, chunks, column, spans
 
 SEGMENTS, WIDTH = 4, 16
 MAX_DISTANCE = 2
 #: Rows that share a key are compared with each other up to this many; larger groups get longer keys.
 LARGEST_GROUP = 2048
+#: Larger groups are compared by flipped bits, not pair by pair.
+BY_FLIPS = 2048
 PAIRS = list(combinations(range(SEGMENTS), 2))
 
 
@@ -71,29 +73,58 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
     return add_columns(docs, one, [T.StructField(out, T.LongType())])
 
 
+def _by_pairs(fp: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """The first row of each row's component, of sorted groups: rows are compared with all behind them in their group,
+    pigeonring chains first, the full distance on what is left."""
+    end = np.repeat(np.append(starts[1:], len(fp)), np.diff(np.append(starts, len(fp))))
+    at, a, b = np.arange(len(fp)), [], []
+    root = np.arange(len(fp))
+    step = 1
+    while True:
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        x = fp[at] ^ fp[at + step]
+        near = at[nearcopies.chain(x, most, SEGMENTS)]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= most]
+        a.append(near)
+        b.append(near + step)
+        if sum(map(len, a)) > 1_000_000:
+            root = forest(len(fp), np.concatenate([np.arange(len(fp)), *a]), np.concatenate([root, *b]))
+            a, b = [], []
+        step += 1
+    return forest(len(fp), np.concatenate([np.arange(len(fp)), *a]), np.concatenate([root, *b]))
+
+
+def _by_flips(fp: np.ndarray, most: int) -> np.ndarray:
+    """The same of one large group, whose rows agree in most bits: each row looks up those that differ from it in up to
+    ``most`` of the bits in which any rows of the group differ. Rows times the square of these bits, not of the rows."""
+    order = np.argsort(fp)
+    held, root = fp[order], np.arange(len(fp))
+    differ = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    bits = [1 << b for b in range(64) if differ >> b & 1]
+    for flip in (sum(c) for n in range(1, most + 1) for c in combinations(bits, n)):
+        asked = fp ^ np.uint64(flip)
+        place = np.minimum(np.searchsorted(held, asked), len(fp) - 1)
+        hit = np.flatnonzero(held[place] == asked)
+        root = forest(len(fp), np.concatenate([np.arange(len(fp)), hit]), np.concatenate([root, order[place[hit]]]))
+    return root
+
+
 def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Links of sorted groups: a spanning forest of each, never all pairs."""
     for table, starts in sorted_groups(batches, 3):
         fp = table.column("fp").to_numpy().view(np.uint64)
         node = table.column("node").to_numpy()
-        end = np.repeat(np.append(starts[1:], len(fp)), np.diff(np.append(starts, len(fp))))
-        at, a, b = np.arange(len(fp)), [], []
+        size = np.diff(np.append(starts, len(fp)))
+        large = np.repeat(size > BY_FLIPS, size)
         root = np.arange(len(fp))
-        step = 1
-        while True:
-            at = at[at + step < end[at]]
-            if not len(at):
-                break
-            x = fp[at] ^ fp[at + step]
-            near = at[nearcopies.chain(x, most, SEGMENTS)]
-            near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= most]
-            a.append(near)
-            b.append(near + step)
-            if sum(map(len, a)) > 1_000_000:
-                root = forest(len(fp), np.concatenate([np.arange(len(fp)), *a]), np.concatenate([root, *b]))
-                a, b = [], []
-            step += 1
-        root = forest(len(fp), np.concatenate([np.arange(len(fp)), *a]), np.concatenate([root, *b]))
+        small = np.flatnonzero(~large)
+        if len(small):
+            few = size[size <= BY_FLIPS]
+            root[small] = small[_by_pairs(fp[small], np.cumsum(few) - few, most)]
+        for a, n in zip(starts[size > BY_FLIPS].tolist(), size[size > BY_FLIPS].tolist(), strict=True):
+            root[a : a + n] = a + _by_flips(fp[a : a + n], most)
         inner = np.flatnonzero(root != np.arange(len(fp)))
         if len(inner):
             yield pa.RecordBatch.from_arrays([pa.array(node[root[inner]]), pa.array(node[inner])], ["a", "b"])
@@ -106,7 +137,9 @@ def links(distinct: DataFrame, most: int = MAX_DISTANCE, largest: int = LARGEST_
     With at most 2 differing bits, two of four 16-bit segments are equal: those 32 bits and which segments
     they are form a key. Rows of one key are compared in numpy: pigeonring chains first, the full distance
     on what is left. A key with more than ``largest`` rows is split by six longer keys, which agree in two
-    of the four quarters of the other 32 bits; at most 2**16 fingerprints can share one of these.
+    of the four quarters of the other 32 bits; at most 2**16 fingerprints can share one of these, and they look each
+    other up by flipped bits. Rows of a key that is too common for one task are joined with its count where they lie
+    (``join_hot``), and split before they are sent anywhere. ``distinct`` is read several times and must be alike each time.
     """
     if not 0 <= most <= 2:
         raise ValueError("two equal segments of four are certain only up to 2 differing bits")
@@ -114,8 +147,7 @@ def links(distinct: DataFrame, most: int = MAX_DISTANCE, largest: int = LARGEST_
     keys = [F.struct(F.lit(i).alias("kind"), (F.shiftleft(seg(x), WIDTH) + seg(y)).alias("key"), F.lit(0).cast("long").alias("more")) for i, (x, y) in enumerate(PAIRS)]
     rows = lambda df, made: df.select("node", "fp", F.explode(F.array(*made)).alias("k")).select("k.kind", "k.key", "k.more", "node", "fp")
     group = ["kind", "key", "more"]
-    # counts are combined before the shuffle, so that no task sees a common key whole before it is split
-    counted = lambda df: df.join(df.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1"), group)
+    counted = lambda df: join_hot(df, materialize(df.groupBy(*group).agg(F.count("*").alias("many")).where("many > 1").withColumn("n", F.col("many"))), group)
     first = counted(rows(distinct, keys))
 
     longer = []
@@ -124,14 +156,14 @@ def links(distinct: DataFrame, most: int = MAX_DISTANCE, largest: int = LARGEST_
         eighths = [e for s in rest for e in (2 * s, 2 * s + 1)]
         for j, (x, y) in enumerate(combinations(eighths, 2)):
             longer.append(F.when(F.col("kind") == i, F.struct(F.lit(6 * i + j).alias("kind"), F.col("key"), (F.shiftleft(seg(x, 8), 8) + seg(y, 8)).alias("more"))))
-    hot = first.where(F.col("n") > largest).select("kind", "key", "node", "fp", F.explode(F.array_compact(F.array(*longer))).alias("k"))
+    hot = first.where(F.col("many") > largest).select("kind", "key", "node", "fp", F.explode(F.array_compact(F.array(*longer))).alias("k"))
     second = counted(hot.select(F.col("k.kind").alias("kind"), F.col("k.key").alias("key"), F.col("k.more").alias("more"), "node", "fp"))
 
     def run(batches):
         return _links(batches, most)
 
     ordered = lambda df: mapped(df.select(*group, "node", "fp").repartition(*group).sortWithinPartitions(*group), run, "a long, b long")
-    return ordered(first.where(F.col("n") <= largest)).union(ordered(second))
+    return ordered(first.where(F.col("many") <= largest)).union(ordered(second))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, most: int = MAX_DISTANCE, largest: int = LARGEST_GROUP) -> DataFrame:
@@ -139,14 +171,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     component_id is the smallest doc_id reachable by links between fingerprints that differ in ``most``
     bits or fewer. Equal fingerprints are one node however many rows have them, and copies are never
-    expanded into pairs. Rows whose doc_id is null get a fingerprint and take the component of the
-    others that link with them, or null. Repeated rows give repeated results; other columns are unread.
+    expanded into pairs. Rows whose doc_id is null link like all others; a component without any doc_id has a null
+    component_id. Repeated rows give repeated results; other columns are unread.
     """
     prints = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words=words, seed=seed).select("doc_id", "fingerprint"))
-    nodes = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("node")))
-    linked = components(links(nodes.where("node is not null"), most, largest))
-    found = nodes.join(linked, "node", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    nodes = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("lowest"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    linked = components(links(nodes.select("node", "fp"), most, largest))
+    known = materialize(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = materialize(known.groupBy("component").agg(F.min("lowest").alias("component_id"), F.count("*").alias("n")))
+    found = materialize(join_hot(known, least, ["component"]).select(F.col("fp").alias("fingerprint"), "component_id", F.col("copies").alias("n")))
+    return join_hot(prints, found, ["fingerprint"]).select("doc_id", "fingerprint", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = nearcopies.WORDS) -> DataFrame:
