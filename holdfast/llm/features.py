@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,14 +166,26 @@ def smallest_hashes(ids: DataFrame, doc_id: str, seed: int, most: int) -> DataFr
     return ids.select(doc_id).distinct().withColumn("order", F.xxhash64(doc_id, F.lit(seed))).orderBy("order", doc_id).limit(most)
 
 
+#: A text longer than this share of a sample's bytes is no sample text.
+TEXT_SHARE = 1 / 16
+
+
 def bounded_sample(texts: DataFrame, picked: DataFrame, most_bytes: int) -> DataFrame:
     """(label, order, text): one text for each row of ``picked`` (doc_id, label, order; a bounded number of rows,
-    broadcast) of ``texts`` (doc_id, text), the one of the smallest hash where an id has several; in their order, as
-    many whole texts as ``most_bytes`` hold together."""
+    broadcast) of ``texts`` (doc_id, text), the one of the smallest hash where an id has several; in their order, whole
+    texts that ``most_bytes`` hold together. A text that does not fit into what is left, or needs more than a sixteenth
+    of ``most_bytes``, is left out and the next ones are tried; if that leaves nothing of a label, it is an error."""
     own = F.struct(F.xxhash64("text").alias("hash"), "text")
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "order").agg(F.min(own).alias("own"))
-    rows = materialize(rows.select("doc_id", "label", "order", F.col("own.text").alias("text")))
-    upto = Window.orderBy("order", "label", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = rows.select("doc_id", "label", "order", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))  # as many as picked
-    few = sizes.withColumn("together", F.sum("size").over(upto)).where(F.col("together") <= most_bytes).select("doc_id", "label")
-    return rows.join(F.broadcast(few), ["doc_id", "label"]).select("label", "order", "text")
+    rows = materialize(rows.select("doc_id", "label", "order", F.col("own.text").alias("text")).withColumn("place", F.monotonically_increasing_id()))
+    sizes = rows.select("label", "place", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("order", "label", "doc_id").toPandas()  # as many as picked
+    left, places = most_bytes, []
+    for size, place in zip(sizes["size"].tolist(), sizes["place"].tolist(), strict=True):
+        if size <= min(left, most_bytes * TEXT_SHARE):
+            places.append(place)
+            left -= size
+    kept = sizes["place"].isin(places)
+    if set(sizes["label"]) - set(sizes["label"][kept]):
+        raise ValueError(f"no text of a label fits into a sample of {most_bytes} bytes")
+    few = texts.sparkSession.createDataFrame([(p,) for p in places], "place long")
+    return rows.join(F.broadcast(few), "place").select("label", "order", "text")

@@ -50,6 +50,23 @@ def test_equal_texts_score_alike(spark, module, label):
     assert module.classify(twice, model, out="s").groupBy("text").agg(F.count_distinct("s").alias("n")).where("n > 1").count() == 0
 
 
+def test_one_long_text_does_not_empty_a_sample(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} words number {i % 7} of a text") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(201)], "doc_id long, quality int")
+    params = quality.Ftrl(sample_bytes=20_000, l1=0.1)
+    plain = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, params=params)
+    longer = spark.createDataFrame([*rows, (200, "long " * 5000)], "doc_id long, text string")
+    assert (plain[0] != 0).sum() > 0
+    for seed in range(3):  # whatever the place of the long text among the hashes
+        kept = quality.train(longer, labels, params=quality.Ftrl(sample_bytes=20_000, l1=0.1, seed=seed))
+        assert (kept[0] != 0).sum() > 0 and np.sign(kept[0]).any()
+    with pytest.raises(ValueError, match="fits"):
+        quality.train(spark.createDataFrame([(0, "x" * 99), (1, "y" * 99)], "doc_id long, text string"), labels, params=quality.Ftrl(sample_bytes=100))
+    picked = features.smallest_hashes(longer, "doc_id", 5, 1000).withColumn("label", F.lit(1.0))
+    sizes = [len(r["text"]) for r in features.bounded_sample(longer, picked, 3000).collect()]
+    assert sum(sizes) <= 3000 and len(sizes) > 80 and max(sizes) <= 3000 // 16
+
+
 def test_samples_are_bounded_whatever_repeats(spark):
     docs = spark.createDataFrame([(1, f"copy {i}") for i in range(300)] + [(2, "two"), (3, "three " * 100)], "doc_id long, text string")
     picked = features.smallest_hashes(docs, "doc_id", 5, 10).withColumn("label", F.lit(1.0))
