@@ -46,7 +46,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str, dim: int | None = No
     return v.where(F.size("embedding") == dim)
 
 
-def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, top: float, k: int, p: Windows) -> pd.DataFrame:
+def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, top: float, k: int, p: Windows, copies: np.ndarray | None = None) -> pd.DataFrame:
     """The ``k`` nearest found of each query in one block; ``top``: the largest squared norm anywhere.
 
     Largest inner product becomes smallest distance by one more component, which fills every vector up to the
@@ -54,7 +54,10 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
     window around its own projection is a run of ranks in it. Where too few vectors collide in enough windows, the
     windows widen step by step at both ends and only the new ends are counted (virtual rehashing). First windows are
     as wide as nearly all queries before needed. Vectors in enough windows are verified with their inner product.
+    ``copies``: rows alike in id and vector that each row of the block stands for (else 1); ``copies`` of the result are
+    those other than the query's own row.
     """
+    copies = np.ones(len(ids), np.int64) if copies is None else copies
     n, size = x.shape
     axes = np.linalg.qr(np.random.default_rng(p.seed).standard_normal((size + 1, size + 1)))[0][:, : p.projections]
     m = axes.shape[1]
@@ -91,17 +94,19 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
                 lo, hi = new_lo, new_hi
             widths.append(width)
             at = np.flatnonzero(hits[row] >= least) if width <= 20 else np.arange(n)
-            at = at[(ids[at] != q_ids[i]) | (x[at] != q[i]).any(1)]  # all but the query's own row
+            own = (ids[at] == q_ids[i]) & (x[at] == q[i]).all(1)
+            many = copies[at] - own
+            at, many = at[many > 0], many[many > 0]  # all but the query's own row
             score = x[at] @ q[i]
             if len(at) > k:
                 keep = score >= np.partition(score, len(at) - k)[len(at) - k]
-                at, score = at[keep], score[keep]
+                at, score, many = at[keep], score[keep], many[keep]
             best = np.lexsort((ids[at], -score))[:k]
-            out.append((np.full(len(best), i), ids[at[best]], score[best]))
+            out.append((np.full(len(best), i), ids[at[best]], score[best], many[best]))
         first = max(p.first, float(np.quantile(widths, 0.2)) / p.growth) if max(widths) <= 20 else p.first
-    parts = list(zip(*out, strict=True)) or [(), (), ()]
+    parts = list(zip(*out, strict=True)) or [(), (), (), ()]
     cat = lambda part, kind: np.concatenate([np.zeros(0, kind), *part])
-    return pd.DataFrame({"query": cat(parts[0], np.int64), "vec_id": cat(parts[1], np.int64), "score": cat(parts[2], np.float64)})
+    return pd.DataFrame({"query": cat(parts[0], np.int64), "vec_id": cat(parts[1], np.int64), "score": cat(parts[2], np.float64), "copies": cat(parts[3], np.int64)})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", params: Windows = Windows()) -> DataFrame:
@@ -110,27 +115,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
 
     Vectors are dealt by hash into blocks of about ``block_rows`` and queries into blocks of ``query_rows``;
     each pair of blocks is one task of bounded size. Recall is that of the window parameters; every vector is
-    indexed. Null, zero, non-finite and odd-length vectors take no part; rows alike in id and vector count once, and
-    different vectors with one vec_id are candidates each, of each other's queries too; queries without any
-    candidate give no rows.
+    indexed. Null, zero, non-finite and odd-length vectors take no part; rows alike in id and vector are candidates each
+    and give repeated results, though they are compared once; different vectors with one vec_id are candidates of each
+    other's queries too; queries without any candidate give no rows.
     """
-    base = materialize(usable(vectors, vec_id, embedding).distinct())
+    grouped = lambda v: v.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies"))
+    base = materialize(grouped(usable(vectors, vec_id, embedding)))
     stats = base.agg(F.count("*"), F.max(F.size("embedding")), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()
-    asked = materialize(usable(queries, vec_id, embedding, stats[1] or 0).distinct().select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "embedding"))
+    asked = materialize(grouped(usable(queries, vec_id, embedding, stats[1] or 0)).select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "embedding", F.col("copies").alias("asked")))
     blocks, q_blocks, top = -(-(stats[0] or 1) // params.block_rows), -(-max(asked.count(), 1) // params.query_rows), float(stats[2] or 0)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = base.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), every(q_blocks, "q_block"), "vec_id", "embedding")
-    right = asked.select(every(blocks, "block"), F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int").alias("q_block"), "query", "query_id", "embedding")
+    left = base.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), every(q_blocks, "q_block"), "vec_id", "embedding", "copies")
+    right = asked.select(every(blocks, "block"), F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int").alias("q_block"), "query", "query_id", "embedding", "asked")
+
+    names = ["query", "query_id", "asked", "vec_id", "score", "copies"]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({c: np.zeros(0, np.float64 if c == "score" else np.int64) for c in names})
         a, b = a.sort_values("vec_id", kind="stable"), b.sort_values("query")
         x, q = np.stack(a["embedding"].to_list()), np.stack(b["embedding"].to_list())
-        found = search_block(x, a["vec_id"].to_numpy(), q, b["query_id"].to_numpy(), top, k, params)
+        found = search_block(x, a["vec_id"].to_numpy(), q, b["query_id"].to_numpy(), top, k, params, a["copies"].to_numpy())
         place = found["query"].to_numpy()
-        return found.assign(query=b["query"].to_numpy()[place], query_id=b["query_id"].to_numpy()[place])[["query", "query_id", "vec_id", "score"]]
+        return found.assign(**{c: b[c].to_numpy()[place] for c in ("query", "query_id", "asked")})[names]
 
-    found = left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInPandas(run, "query long, query_id long, vec_id long, score double")
+    found = left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInPandas(run, "query long, query_id long, asked long, vec_id long, score double, copies long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)  # k different rows hold the k nearest
+    ahead = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = ranked.withColumn("ahead", ahead).where(F.col("ahead") < k).withColumn("rank", F.explode(F.sequence((F.col("ahead") + 1).cast("int"), F.least(F.lit(k), F.col("ahead") + F.col("copies")).cast("int"))))
+    repeated = F.explode(F.array_repeat("rank", F.col("asked").cast("int")))
+    return each.select("query_id", repeated.alias("rank"), "vec_id", "score")
