@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.canonical import canonical_text, streamed_digest
+from holdfast.functions.ranges import KEY_ROWS, running_sums
 from holdfast.functions.tables import broadcast_if_small, written
 from holdfast.operators.patterns import finite
 
@@ -106,20 +107,21 @@ def tool_cost(calls: DataFrame, specs: DataFrame, inspect_usd: float, propose_us
     return both.withColumn("estimated_usd", usd).drop("spec_usd", "n_deps")
 
 
-def budget_ledger(steps: DataFrame, cap: float) -> DataFrame:
-    """``steps`` (cycle_id, step, reserved_usd, realized_usd) with remaining before the step and status: ok,
-    killed (the reservation, or the overrun once it is released, exceeds what remains) or not run, after a kill.
+def budget_ledger(steps: DataFrame, cap: float, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``steps`` (cycle_id, step, different within a cycle, reserved_usd, realized_usd) with remaining before the step and
+    status: ok, killed (the reservation, or the overrun once it is released, exceeds what remains) or not run, after a
+    kill.
 
-    Sums of what was spent are those without kills; they are used up to the first kill only, where they agree.
+    Sums of what was spent are those without kills; they are used up to the first kill only, where they agree. A cycle
+    of more than ``key_rows`` steps is dealt by ranges (``running_sums``); its first kill is a minimum.
     """
-    by = Window.partitionBy("cycle_id").orderBy("step")
-    spent = F.coalesce(F.sum("realized_usd").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = steps.withColumn("remaining_usd", F.lit(cap) - spent)
+    out = running_sums(steps, ["cycle_id"], ["step"], {"__spent": "realized_usd"}, key_rows)
+    out = out.withColumn("remaining_usd", F.lit(cap) - (F.col("__spent") - F.coalesce("realized_usd", F.lit(0.0)))).drop("__spent")
     over = F.greatest(F.lit(0.0), F.col("realized_usd") - F.col("reserved_usd"))
     kill = (F.col("reserved_usd") > F.col("remaining_usd")) | (over > F.col("remaining_usd"))
-    out = out.withColumn("kill", kill)
-    before = F.coalesce(F.max(F.col("kill").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("status", F.when(before == 1, "not run").when(F.col("kill"), "killed").otherwise("ok")).drop("kill")
+    first = out.where(kill).groupBy("cycle_id").agg(F.min("step").alias("__killed"))
+    status = F.when(F.col("step") > F.col("__killed"), "not run").when(F.col("step") == F.col("__killed"), "killed").otherwise("ok")
+    return out.join(first, "cycle_id", "left").withColumn("status", status).drop("__killed")
 
 
 _ACTION = "struct<tool:string,name:string,args:string>"

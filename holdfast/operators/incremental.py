@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.functions.ranges import KEY_ROWS, running_sums
 from holdfast.functions.tables import broadcast_if_small
 
 KEY = ["stage_name", "stage_version", "inputs_hash"]
@@ -31,12 +32,12 @@ def record(new: DataFrame, existing: DataFrame, artifacts: DataFrame) -> DataFra
     return both.select("fingerprint", "output_hash", outcome.alias("outcome"))
 
 
-def cost_ceilings(charges: DataFrame, ceilings: DataFrame) -> DataFrame:
+def cost_ceilings(charges: DataFrame, ceilings: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """Per invocation: the first charge (seq) that takes compute, model or read totals over its stage's ceiling,
-    and which; null where none does."""
-    upto = Window.partitionBy("invocation_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    and which; null where none does. An invocation of more than ``key_rows`` charges is dealt by ranges of seq."""
     kinds = {"compute_usd": "max_compute_usd", "llm_usd": "max_llm_usd", "data_reads": "max_data_reads"}
-    run = charges.withColumns({c: F.sum(c).over(upto) for c in kinds}).join(broadcast_if_small(ceilings), "stage_name")  # a row per stage
+    totals = running_sums(charges, ["invocation_id"], ["seq"], {f"__{c}": c for c in kinds}, key_rows)
+    run = totals.withColumns({c: F.col(f"__{c}") for c in kinds}).join(broadcast_if_small(ceilings), "stage_name")  # a row per stage
     over = F.coalesce(*[F.when(F.col(c) > F.col(m), c) for c, m in kinds.items()])
     return run.withColumn("over", over).groupBy("invocation_id").agg(F.min(F.when(F.col("over").isNotNull(), F.struct("seq", "over"))).alias("b")).select("invocation_id", F.col("b.seq").alias("failed_at"), F.col("b.over").alias("ceiling"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.functions.intervals import points_in_windows
+from holdfast.functions.quantiles import at_each, group_quantiles
+from holdfast.functions.ranges import KEY_ROWS, trailing
 from holdfast.functions.tables import broadcast_if_small, with_rank, written
 from holdfast.operators.patterns import finite
 from holdfast.operators.replication import rounded
@@ -50,11 +53,12 @@ def grid_errors(bars: DataFrame) -> DataFrame:
     return bars.where("value is null").select("spec_ref", "t")
 
 
-def trailing_summaries(bars: DataFrame, n: int) -> DataFrame:
-    """Population statistics of the last ``n`` bars of each spec; fewer at the start."""
-    w = Window.partitionBy("spec_ref").orderBy("t").rowsBetween(-(n - 1), 0)
+def trailing_summaries(bars: DataFrame, n: int, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Population statistics of the last ``n`` bars of each spec; fewer at the start. A spec of more than ``key_rows`` bars
+    is dealt in blocks with halos (``trailing``)."""
     v = F.col("value")
-    return bars.select("spec_ref", "t", F.avg(v).over(w).alias("mean"), F.stddev_pop(v).over(w).alias("std"), F.min(v).over(w).alias("min"), F.max(v).over(w).alias("max"), F.last(v).over(w).alias("last"), (F.last(v).over(w) - F.first(v).over(w)).alias("delta"))
+    made = {"mean": lambda w: F.avg(v).over(w), "std": lambda w: F.stddev_pop(v).over(w), "min": lambda w: F.min(v).over(w), "max": lambda w: F.max(v).over(w), "last": lambda w: F.last(v).over(w), "delta": lambda w: F.last(v).over(w) - F.first(v).over(w)}
+    return trailing(bars.select("spec_ref", "t", "value"), ["spec_ref"], ["t"], n, made, key_rows).select("spec_ref", "t", *STATS)
 
 
 def state_matrix(summaries: DataFrame, refs: list[str], stats: list[str]) -> DataFrame:
@@ -169,29 +173,35 @@ def assignment_errors(assignment: DataFrame) -> DataFrame:
     return assignment.agg((F.count("*") - F.count_distinct("t")).alias("repeated_times"), F.count_if(number == "").alias("malformed"), (F.max(number.try_cast("long")) + 1 - F.count_distinct("partition_id")).alias("gaps"))
 
 
-def partition_fingerprints(matrix: DataFrame, assignment: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+def partition_fingerprints(matrix: DataFrame, assignment: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), key_rows: int = KEY_ROWS) -> DataFrame:
     """Statistics of each partition and column of the unscaled matrix, in long form: partition_id, dim, count,
-    weight, centroid, std, min, max and one column q0, q1, ... for each quantile."""
+    weight, centroid, std, min, max and one column q0, q1, ... for each quantile, exact (``group_quantiles``)."""
     xs = dimensions(matrix)
     both = matrix.join(assignment, "t")
     long = both.select("partition_id", F.explode(F.array(*[F.struct(F.lit(int(x[1:])).alias("dim"), F.col(x).alias("value")) for x in xs])).alias("c")).select("partition_id", "c.dim", "c.value")
     v = F.col("value")
-    out = long.groupBy("partition_id", "dim").agg(F.count("*").alias("count"), rounded(F.avg(v)).alias("centroid"), rounded(F.stddev_pop(v)).alias("std"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"), *[rounded(F.percentile(v, F.lit(q))).alias(f"q{i}") for i, q in enumerate(quantiles)])
-    return out.withColumn("weight", rounded(F.col("count") / F.sum("count").over(Window.partitionBy("dim"))))
+    keys = ["partition_id", "dim"]
+    long = written(long)
+    out = written(long.groupBy(*keys).agg(F.count("*").alias("count"), rounded(F.avg(v)).alias("centroid"), rounded(F.stddev_pop(v)).alias("std"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max")))
+    found = group_quantiles(long, keys, at_each(out.select(*keys), quantiles), key_rows)
+    wide = found.groupBy(*keys).agg(*[rounded(F.max(F.when(F.col("p") == q, F.col("quantile")))).alias(f"q{i}") for i, q in enumerate(quantiles)])
+    return out.join(wide, keys, "left").withColumn("weight", rounded(F.col("count") / F.sum("count").over(Window.partitionBy("dim"))))
 
 
 def partition_number(partition_id: Column) -> Column:
     return F.substring_index(partition_id, "_", -1).cast("int")
 
 
-def partition_for_window(assignment: DataFrame, windows: DataFrame, keys: list[str], bucket: int = 86400) -> DataFrame:
-    """``keys`` and the commonest partition of the times in each window (t0, t1); lowest number on ties, null
-    without any time. A range join by buckets of time."""
-    cut = windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t0") / bucket), F.floor(F.col("t1") / bucket))))
-    both = assignment.withColumn("bucket", F.floor(F.col("t") / bucket)).join(broadcast_if_small(cut), "bucket").where(F.col("t").between(F.col("t0"), F.col("t1")))
+def partition_for_window(assignment: DataFrame, windows: DataFrame, keys: list[str], bucket: int = 86400, strict: bool = False) -> DataFrame:
+    """``keys`` and the commonest partition of the times in each window (t0, t1); lowest number on ties. A window without
+    any time gives null, or an error if ``strict``. A join of points and windows by dyadic nodes."""
+    both = points_in_windows(assignment, windows.select(*dict.fromkeys([*keys, "t0", "t1"])), [], bucket)
     counted = both.groupBy(*keys, "partition_id").count()
     best = counted.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), partition_number(F.col("partition_id"))))).where("turn = 1").select(*keys, "partition_id")
-    return windows.select(*keys).join(best, keys, "left")
+    out = windows.select(*keys).join(best, keys, "left")
+    if strict:
+        out = out.withColumn("partition_id", F.coalesce("partition_id", F.raise_error(F.lit("no time of the assignment is in a window"))))
+    return out
 
 
 def assignment_profile(tags: DataFrame, fingerprints: DataFrame) -> DataFrame:

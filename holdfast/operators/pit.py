@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.functions.intervals import points_in_windows
+from holdfast.functions.ranges import KEY_ROWS, running_sums
 from holdfast.operators.ingest import first_of_each
 
 STAGES = ("Discover", "EmpiricalTest")
@@ -56,25 +58,25 @@ def visible_corrections(requests: DataFrame, corrections: DataFrame, provenance:
     return both.groupBy(key).agg(F.count_if(seen).alias("returned"), F.count_if(~seen & F.col("correction_hash").isNotNull()).alias("suppressed"), listed.alias("visible"))
 
 
-def read_budget(attempts: DataFrame, cap: int) -> DataFrame:
-    """``attempts`` (cycle_id, seq, kind, outcome) with the outcome under a cap of successful reads per cycle.
+#: What an attempt costs: failed byte reads nothing, other kinds always one.
+_COSTS = "int(kind <> 'get' or outcome = 'ok')"
 
-    Failed byte reads cost nothing, other kinds always count. The count of reads that would succeed meets the
-    cap at the same row as that of reads that did, so one running sum decides.
+
+def access_log(attempts: DataFrame, cap: int, key_rows: int = KEY_ROWS) -> DataFrame:
+    """One record per attempt (cycle_id, seq, kind, outcome) with the reads used after it, under a cap of successful
+    reads per cycle.
+
+    The count of reads that would succeed meets the cap at the same row as that of reads that did, so one running sum
+    decides; a cycle of more than ``key_rows`` attempts is dealt by ranges of seq (``running_sums``).
     """
-    costs = ((F.col("kind") != "get") | (F.col("outcome") == "ok")).cast("int")
-    before = Window.partitionBy("cycle_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    limited = F.coalesce(F.sum(costs).over(before), F.lit(0)) >= cap
-    return attempts.withColumn("limited", limited).withColumn("outcome", F.when(F.col("limited"), "rate_limited").otherwise(F.col("outcome"))).drop("limited")
+    spent = running_sums(attempts, ["cycle_id"], ["seq"], {"__spent": _COSTS}, key_rows)
+    outcome = F.when(F.col("__spent") - F.expr(_COSTS) >= cap, "rate_limited").otherwise(F.col("outcome"))
+    return spent.withColumns({"outcome": outcome, "reads_used": F.least("__spent", F.lit(cap)), "max_reads": F.lit(cap)}).drop("__spent")
 
 
-def access_log(attempts: DataFrame, cap: int) -> DataFrame:
-    """One record per attempt with the reads used after it."""
-    costs = ((F.col("kind") != "get") | (F.col("outcome") == "ok")).cast("int")
-    upto = Window.partitionBy("cycle_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    spent = attempts.withColumn("spent", F.sum(costs).over(upto)).withColumn("own", costs)
-    outcome = F.when(F.col("spent") - F.col("own") >= cap, "rate_limited").otherwise(F.col("outcome"))
-    return spent.withColumns({"outcome": outcome, "reads_used": F.least("spent", F.lit(cap)), "max_reads": F.lit(cap)}).drop("spent", "own")
+def read_budget(attempts: DataFrame, cap: int, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``attempts`` with the outcome under a cap of successful reads per cycle (``access_log``)."""
+    return access_log(attempts, cap, key_rows).select(*attempts.columns)
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -117,14 +119,17 @@ def exact(requests: DataFrame, reservations: DataFrame) -> DataFrame:
 def overlapping(requests: DataFrame, reservations: DataFrame, bucket: int, stage: str | None = None) -> DataFrame:
     """Pairs of a request and a reservation of its pattern that overlap, as closed intervals.
 
-    Both sides are cut into buckets of ``bucket`` seconds, so that a pattern with very many windows is no
-    single group; a pair counts in the first bucket that both touch.
+    Of two overlapping windows, the one that starts later starts inside the other; so the pairs are those of starts of
+    reservations in requests, and of starts of requests in reservations that started before. Both are joins of points
+    and windows by dyadic nodes of ``bucket`` seconds: a window of any length is a logarithm of rows, a pattern with very
+    many windows no single group, and no pair is made twice.
     """
-    cut = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t0") / bucket), F.floor(F.col("t1") / bucket))))
     held = reservations if stage is None else reservations.where(F.col("stage") == stage)
-    right = cut(held).select("pattern_id", "bucket", F.col("stage").alias("held_stage"), F.col("t0").alias("held_t0"), F.col("t1").alias("held_t1"), F.col("cycle_id").alias("held_by"))
-    both = cut(requests).join(right, ["pattern_id", "bucket"]).where(overlap(F.col("t0"), F.col("t1"), F.col("held_t0"), F.col("held_t1")))
-    return both.where(F.col("bucket") == F.greatest(F.floor(F.col("t0") / bucket), F.floor(F.col("held_t0") / bucket))).drop("bucket")
+    right = held.select("pattern_id", F.col("stage").alias("held_stage"), F.col("t0").alias("held_t0"), F.col("t1").alias("held_t1"), F.col("cycle_id").alias("held_by")).where("held_t1 >= held_t0")
+    asked = requests.where("t1 >= t0")
+    later = points_in_windows(right, asked, ["pattern_id"], bucket, "held_t0", small=False)
+    earlier = points_in_windows(asked, right, ["pattern_id"], bucket, "t0", "held_t0", "held_t1", small=False).where("t0 > held_t0")
+    return later.unionByName(earlier)
 
 
 def availability(requests: DataFrame, reservations: DataFrame, bucket: int, key: str = "request_id") -> DataFrame:

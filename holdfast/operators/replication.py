@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.canonical import canonical_text, streamed_digest
+from holdfast.functions.intervals import points_in_windows
+from holdfast.functions.quantiles import at_each, group_quantiles
+from holdfast.functions.ranges import KEY_ROWS, keyed_ranks
 from holdfast.functions.tables import broadcast_if_small, written
 from holdfast.operators import pit
-from holdfast.operators.patterns import ARGS, SCOPE_COLUMNS, distinct_p, finite, in_scope, tagged_points, verdict
+from holdfast.operators.patterns import ARGS, SCOPE_COLUMNS, finite, in_scope, tagged_points, usable, verdict
 
 OBSERVATION = "observation"
 
@@ -79,17 +82,15 @@ def window_values(series: DataFrame, windows: DataFrame, patterns: DataFrame, bu
     """``series`` (spec_ref, t, value, ...) in each window (pattern_id, window_id, t0, t1), closed at both ends, and in
     the pattern's scope where ``patterns`` has scope columns; ``assignment`` (t, partition_id) tells partitions.
 
-    A range join by buckets of time: a window stands in every bucket that it touches, a point in one, so the
-    join is an equality of (spec_ref, bucket) and makes no pair twice.
+    A join of points and windows by dyadic nodes of ``bucket`` seconds: a window of any length is a logarithm of rows, and
+    no pair is made twice.
     """
     scope = [c for c in SCOPE_COLUMNS if c in patterns.columns]
     held = windows.select("pattern_id", "window_id", "t0", "t1").join(patterns.select("pattern_id", "spec_ref", *scope), "pattern_id")
-    cut = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t0") / bucket), F.floor(F.col("t1") / bucket))))
-    points = tagged_points(series, assignment).withColumn("bucket", F.floor(F.col("t") / bucket))
-    both = points.join(broadcast_if_small(cut), ["spec_ref", "bucket"]).where(F.col("t").between(F.col("t0"), F.col("t1")))
+    both = points_in_windows(tagged_points(series, assignment), held, ["spec_ref"], bucket)
     if scope:
         both = both.where(in_scope(both.columns))
-    return both.drop("bucket", "t0", "t1", "partition_id", *scope)
+    return both.drop("t0", "t1", "partition_id", *scope)
 
 
 def point_values(series: DataFrame, windows: DataFrame, patterns: DataFrame, assignment: DataFrame | None = None, bucket: int = 86400) -> DataFrame:
@@ -108,14 +109,20 @@ def point_values(series: DataFrame, windows: DataFrame, patterns: DataFrame, ass
     return asked.join(latest_at(series, asked.select("spec_ref", "t").distinct(), bucket), ["spec_ref", "t"]).select("pattern_id", "window_id", "t", "value")
 
 
-def window_verdicts(values: DataFrame, windows: DataFrame, patterns: DataFrame, ps: list[float] | None = None) -> DataFrame:
-    """(pattern_id, window_id, n, passed) of every window; one without values does not pass. ``ps``: the distinct
-    quantile positions of ``patterns``, if known."""
-    ps = distinct_p(patterns) if ps is None else ps
-    args = broadcast_if_small(patterns.select("pattern_id", *ARGS))
-    found = values.select("pattern_id", "window_id", "value").join(args, "pattern_id").groupBy("pattern_id", "window_id").agg(F.count("*").alias("n"), verdict(F.col("value"), ps).alias("passed"))
-    both = windows.select("pattern_id", "window_id").join(found, ["pattern_id", "window_id"], "left")
-    return both.select("pattern_id", "window_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("passed", F.lit(False)).alias("passed"))
+def window_verdicts(values: DataFrame, windows: DataFrame, patterns: DataFrame, keys: tuple[str, ...] = ("pattern_id",), group_rows: int = KEY_ROWS) -> DataFrame:
+    """(keys, window_id, n, passed) of every window; one without values does not pass. ``keys`` name the rows of
+    ``patterns``, whose assertion a window's values have to meet. Quantiles are exact and no window is gathered
+    (``group_quantiles``); ``values`` is read several times."""
+    own, each = list(keys), [*keys, "window_id"]
+    args = broadcast_if_small(patterns.select(*own, *ARGS))
+    found = values.select(*each, "value").join(args, own).groupBy(*each).agg(F.count("*").alias("n"), usable(F.col("value")).alias("usable"), verdict(F.col("value"), []).alias("plain"))
+    asked = patterns.where("kind = 'quantile_ge' and p between 0 and 1").select(*own, "p", "threshold")
+    of_kind = values.select(*each, "value").join(broadcast_if_small(asked.select(*own)), own, "left_semi")
+    quantiles = group_quantiles(of_kind, each, windows.select(*each).join(asked.select(*own, "p"), own), group_rows)
+    reached = quantiles.join(asked, [*own, "p"]).select(*each, (F.col("quantile") >= F.col("threshold")).alias("reached"))
+    both = windows.select(*each).join(found, each, "left").join(reached, each, "left")
+    passed = F.col("plain") | (F.col("usable") & F.coalesce("reached", F.lit(False)))
+    return both.select(*each, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def rounded(value: Column) -> Column:
@@ -123,10 +130,13 @@ def rounded(value: Column) -> Column:
     return F.round(value, 12) + F.lit(0.0)
 
 
-def window_summary(values: DataFrame) -> DataFrame:
-    """Size, finite values and their extremes, mean and median per window."""
+def window_summary(values: DataFrame, group_rows: int = KEY_ROWS) -> DataFrame:
+    """Size, finite values and their extremes, mean and exact median per window."""
+    keys = ["pattern_id", "window_id"]
     v = F.when(finite(F.col("value")), F.col("value"))
-    return values.groupBy("pattern_id", "window_id").agg(F.count("*").alias("size"), F.count(v).alias("finite"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"), rounded(F.avg(v)).alias("mean"), rounded(F.percentile(v, F.lit(0.5))).alias("median"))
+    out = values.groupBy(*keys).agg(F.count("*").alias("size"), F.count(v).alias("finite"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"), rounded(F.avg(v)).alias("mean"))
+    middle = group_quantiles(values.select(*keys, v.alias("value")), keys, at_each(out.select(*keys), (0.5,)), group_rows)
+    return out.join(middle.select(*keys, rounded(F.col("quantile")).alias("median")), keys, "left")
 
 
 def window_lineage(values: DataFrame, windows: DataFrame | None = None, patterns: DataFrame | None = None, deps: DataFrame | None = None) -> DataFrame:
@@ -208,24 +218,27 @@ def _draw(seed: str) -> Column:
     return F.sha2(F.concat(F.lit(seed + ":"), "pattern_id", F.lit(":"), "window_id", F.lit(":"), F.col("i").cast("string")), 256)
 
 
-def numbered(values: DataFrame) -> DataFrame:
-    """Values with their place ``i`` from 0 in each window, by time, and the window's size ``n``."""
-    by = Window.partitionBy("pattern_id", "window_id")
-    return values.withColumn("i", F.row_number().over(by.orderBy("t", "value")) - 1).withColumn("n", F.count("*").over(by))
+def numbered(values: DataFrame, group_rows: int = KEY_ROWS) -> DataFrame:
+    """Values with their place ``i`` from 0 in each window, by time, and the window's size ``n``. Windows of more than
+    ``group_rows`` values are ranked by ranges."""
+    keys = ["pattern_id", "window_id"]
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))  # a row per window
+    return keyed_ranks(values, keys, ["t", "value"], "i", group_rows).join(sizes, keys)
 
 
-def time_shuffled(values: DataFrame) -> DataFrame:
-    """Each window's values dealt to its times in a hash-drawn order."""
-    placed = numbered(values.select("pattern_id", "window_id", "t", "value")).withColumn("draw", _draw("time_shuffled"))
-    placed = placed.withColumn("j", F.row_number().over(Window.partitionBy("pattern_id", "window_id").orderBy("draw")) - 1)
-    times = placed.select("pattern_id", "window_id", F.col("i").alias("place"), F.col("t").alias("at"))
-    drawn = placed.select("pattern_id", "window_id", F.col("j").alias("place"), "value")
-    return times.join(drawn, ["pattern_id", "window_id", "place"]).select("pattern_id", "window_id", F.col("at").alias("t"), "value")
+def time_shuffled(values: DataFrame, group_rows: int = KEY_ROWS) -> DataFrame:
+    """Each window's values dealt to its times in a hash-drawn order: the value whose draw has the same rank in the
+    window as the time. Both ranks are by ranges where windows are large."""
+    keys = ["pattern_id", "window_id"]
+    placed = keyed_ranks(values.select(*keys, "t", "value"), keys, ["t", "value"], "i", group_rows)
+    drawn = keyed_ranks(placed.withColumn("draw", _draw("time_shuffled")), keys, ["draw"], "place", group_rows)
+    times = placed.select(*keys, F.col("i").alias("place"), "t")
+    return times.join(drawn.select(*keys, "place", "value"), [*keys, "place"]).select(*keys, "t", "value")
 
 
-def scope_resampled(values: DataFrame) -> DataFrame:
+def scope_resampled(values: DataFrame, group_rows: int = KEY_ROWS) -> DataFrame:
     """As many values of each window, drawn with replacement by hashes."""
-    placed = numbered(values.select("pattern_id", "window_id", "t", "value"))
+    placed = numbered(values.select("pattern_id", "window_id", "t", "value"), group_rows)
     pick = F.pmod(F.conv(F.substring(_draw("scope_randomized"), 1, 8), 16, 10).cast("long"), F.col("n"))
     asked = placed.select("pattern_id", "window_id", "t", pick.alias("i"))
     return asked.join(placed.select("pattern_id", "window_id", "i", "value"), ["pattern_id", "window_id", "i"]).select("pattern_id", "window_id", "t", "value")
@@ -244,21 +257,23 @@ def control_results(values: DataFrame, windows: DataFrame, patterns: DataFrame,
 
     time_shuffled and scope_randomized pass if the assertion no longer holds on permuted and resampled values,
     or on those that ``control_values`` (pattern_id, window_id, control, value) supplies; threshold_perturbed if
-    the tightened assertion gives the same verdict.
+    the tightened assertion gives the same verdict. All are one aggregate, over a column that names the control.
     """
-    ps = distinct_p(patterns)
-    base = window_verdicts(values, windows, patterns, ps)
-    out = None
-    for name, made in (("time_shuffled", time_shuffled(values)), ("scope_randomized", scope_resampled(values))):
-        used = made
-        if control_values is not None:
-            own = control_values.where(F.col("control") == name).select("pattern_id", "window_id", F.lit(0).cast("long").alias("t"), "value")
-            used = made.join(own.select("pattern_id", "window_id").distinct(), ["pattern_id", "window_id"], "left_anti").unionByName(own)
-        one = window_verdicts(used, windows, patterns, ps).select("pattern_id", "window_id", F.lit(name).alias("control"), (~F.col("passed")).alias("passed"))
-        out = one if out is None else out.union(one)
-    tight = window_verdicts(values, windows, tightened(patterns), ps).select("pattern_id", "window_id", F.col("passed").alias("tight"))
-    same = base.join(tight, ["pattern_id", "window_id"]).select("pattern_id", "window_id", F.lit("threshold_perturbed").alias("control"), (F.col("passed") == F.col("tight")).alias("passed"))
-    return out.union(same)
+    keys = ["pattern_id", "window_id"]
+    plain = values.select(*keys, "t", "value")
+    made = time_shuffled(plain).withColumn("control", F.lit("time_shuffled")).union(scope_resampled(plain).withColumn("control", F.lit("scope_randomized")))
+    if control_values is not None:
+        own = control_values.where(F.col("control").isin("time_shuffled", "scope_randomized")).select(*keys, F.lit(0).cast("long").alias("t"), "value", "control")
+        made = made.join(own.select(*keys, "control").distinct(), [*keys, "control"], "left_anti").unionByName(own)
+    named = lambda df, *names: df.withColumn("control", F.explode(F.array(*map(F.lit, names))))
+    used = written(made.select(*keys, "control", "value").unionByName(named(plain, "base", "tight").select(*keys, "control", "value")))
+    asserted = named(patterns, "base", "time_shuffled", "scope_randomized").unionByName(named(tightened(patterns), "tight"))
+    found = window_verdicts(used, named(windows.select(*keys), "base", "tight", "time_shuffled", "scope_randomized"), asserted, ("pattern_id", "control"))
+    held = lambda name: F.bool_or(F.when(F.col("control") == name, F.col("passed")))
+    wide = found.groupBy(*keys).agg(*[held(name).alias(name) for name in ("base", "tight", "time_shuffled", "scope_randomized")])
+    each = [("time_shuffled", ~F.col("time_shuffled")), ("scope_randomized", ~F.col("scope_randomized")), ("threshold_perturbed", F.col("base") == F.col("tight"))]
+    results = F.explode(F.array(*[F.struct(F.lit(name).alias("control"), passed.alias("passed")) for name, passed in each]))
+    return wide.select(*keys, results.alias("r")).select(*keys, "r.control", "r.passed")
 
 
 def perturbation_verdict(controls: DataFrame) -> DataFrame:
