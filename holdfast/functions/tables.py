@@ -60,6 +60,16 @@ def _bytes(df: DataFrame) -> int:
     return total
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables in the folder ``path``, in order; none where there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
+    return sorted(n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
 def with_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     """``df`` with its rank from 0 in the order of the columns ``order``, without gathering it in one task:
     range partitions are sorted each, and their sizes give the first rank of each."""

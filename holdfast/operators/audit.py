@@ -5,22 +5,28 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.canonical import canonical_digest, digest
-from holdfast.functions.tables import broadcast_if_small
+from holdfast.functions.tables import broadcast_if_small, subfolders, written
 
 ZEROS = "0" * 64
+# Keys that an envelope may have.
 ENVELOPE_KEYS = ("pattern_id", "cycle_id", "m2a_id")
 
 
 def validate(records: DataFrame) -> DataFrame:
-    """``records`` (category, stage, envelope map, record_hash, prev_hash) with what breaks the rules, joined."""
+    """``records`` (category, stage, envelope map, record_hash, prev_hash, and timestamp text where there is such a column)
+    with what breaks the rules, joined. A timestamp may be missing; one that is there names its zone."""
     other = F.size(F.array_except(F.map_keys("envelope"), F.array(*map(F.lit, ENVELOPE_KEYS)))) > 0
     empty = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    broken = F.array_compact(F.array(F.when(empty("category"), "category"), F.when(empty("stage"), "stage"), F.when(other, "envelope"), F.when(F.col("record_hash").isNotNull() | F.col("prev_hash").isNotNull(), "caller set hashes")))
-    return records.withColumn("errors", F.array_join(broken, ","))
+    broken = [F.when(empty("category"), "category"), F.when(empty("stage"), "stage"), F.when(other, "envelope"), F.when(F.col("record_hash").isNotNull() | F.col("prev_hash").isNotNull(), "caller set hashes")]
+    if "timestamp" in records.columns:
+        at = F.col("timestamp")
+        zoned = at.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+(Z|[+-][0-9]{2}:?[0-9]{2})$") & F.try_to_timestamp(at).isNotNull()
+        broken.append(F.when(at.isNotNull() & ~zoned, "timestamp"))
+    return records.withColumn("errors", F.array_join(F.array_compact(F.array(*broken)), ","))
 
 
 def check_digests(lines: DataFrame) -> DataFrame:
@@ -29,7 +35,7 @@ def check_digests(lines: DataFrame) -> DataFrame:
 
 
 def append_chain(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
-    """(log_id, seq, prev_hash, record_hash, line, rejected) of records (log_id, seq, ts, payload JSON).
+    """(log_id, seq, ts, prev_hash, record_hash, line, rejected) of records (log_id, seq, ts, payload JSON).
 
     Each log is a chain, so sequential; logs run in parallel, each sorted by Spark and read in one pass.
     ``tails`` (log_id, tail_hash, tail_ts) continue earlier chains. A record older than the last one before
@@ -48,21 +54,64 @@ def append_chain(records: DataFrame, tails: DataFrame | None = None) -> DataFram
                 if log_id != log:
                     log, prev, last = log_id, tail, tail_ts
                 if ts < last:
-                    out.append((log_id, seq, None, None, None, True))
+                    out.append((log_id, seq, ts, None, None, None, True))
                     continue
                 record = {**json.loads(payload), "timestamp": int(ts), "prev_hash": prev}
                 own = digest(record)
-                out.append((log_id, seq, prev, own, json.dumps({**record, "record_hash": own}, sort_keys=True, separators=(",", ":"), ensure_ascii=False), False))
+                out.append((log_id, seq, ts, prev, own, json.dumps({**record, "record_hash": own}, sort_keys=True, separators=(",", ":"), ensure_ascii=False), False))
                 prev, last = own, ts
-            yield pd.DataFrame(out, columns=["log_id", "seq", "prev_hash", "record_hash", "line", "rejected"])
+            yield pd.DataFrame(out, columns=["log_id", "seq", "ts", "prev_hash", "record_hash", "line", "rejected"])
 
-    return rows.repartition("log_id").sortWithinPartitions("log_id", "seq").mapInPandas(run, "log_id string, seq long, prev_hash string, record_hash string, line string, rejected boolean")
+    return rows.repartition("log_id").sortWithinPartitions("log_id", "seq").mapInPandas(run, "log_id string, seq long, ts long, prev_hash string, record_hash string, line string, rejected boolean")
 
 
-def chain_tail(lines: DataFrame, before: int | None = None) -> DataFrame:
-    """One row per log: last hash and day (before day ``before``, if given)."""
+def chain_tail(lines: DataFrame, before: int | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """(log_id, tail_hash, tail_ts, tail_day): the last hash, time and day of each log (before day ``before``, if given),
+    which ``append_chain`` goes on from. A log of ``logs`` (log_id) without any line has the hash of zeros, and neither
+    time nor day."""
     some = lines if before is None else lines.where(F.col("day") < before)
-    return some.groupBy("log_id").agg(F.max_by("record_hash", F.struct("day", "line_no")).alias("tail_hash"), F.max("day").alias("tail_day"))
+    last = F.max_by(F.struct("record_hash", "ts", "day"), F.struct("day", "line_no")).alias("last")
+    tails = some.groupBy("log_id").agg(last).select("log_id", F.col("last.record_hash").alias("tail_hash"), F.col("last.ts").alias("tail_ts"), F.col("last.day").alias("tail_day"))
+    if logs is None:
+        return tails
+    return logs.select("log_id").distinct().join(tails, "log_id", "left").withColumn("tail_hash", F.coalesce("tail_hash", F.lit(ZEROS)))
+
+
+TAILS = "log_id string, tail_hash string, tail_ts long"
+LINES = "log_id string, seq long, ts long, prev_hash string, record_hash string, line string, rejected boolean, day long, append long"
+
+
+def stored_tails(spark: SparkSession, path: str, append: int | None = None) -> DataFrame:
+    """Tails of the chains stored at ``path``, as the last append (before ``append``, if given) left them: one small table,
+    whatever the number of lines."""
+    names = [int(n) for n in subfolders(spark, f"{path}/tails") if n.isdigit()]
+    earlier = [n for n in names if append is None or n < append]
+    if not earlier:
+        return spark.createDataFrame([], TAILS)
+    return spark.read.schema(TAILS).parquet(f"{path}/tails/{max(earlier)}")
+
+
+def append_stored(records: DataFrame, path: str, append: int) -> None:
+    """Go on with the chains stored at ``path`` by ``records`` (log_id, seq, ts, payload JSON), append number ``append``.
+
+    No line is read, only the table of tails of the append before. Lines are stored by day and append, rejected records
+    among them; the new table of tails comes last. An append that is repeated starts from the same tails and replaces
+    what it had written, so it changes nothing.
+    """
+    spark = records.sparkSession
+    tails = stored_tails(spark, path, append)
+    made = written(append_chain(records, tails))
+    rows = made.withColumns({"day": F.floor(F.col("ts") / 86400).cast("long"), "append": F.lit(append).cast("long")})
+    by_day = rows.repartitionByRange("day", "log_id", "seq").sortWithinPartitions("day", "log_id", "seq")
+    by_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "append").parquet(f"{path}/lines")
+    last = made.where("not rejected").groupBy("log_id").agg(F.max_by(F.struct("record_hash", "ts"), "seq").alias("last"))
+    new = tails.join(last, "log_id", "full").select("log_id", F.coalesce("last.record_hash", "tail_hash").alias("tail_hash"), F.coalesce("last.ts", "tail_ts").alias("tail_ts"))
+    new.write.mode("overwrite").parquet(f"{path}/tails/{append}")
+
+
+def stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All records of the chains stored at ``path``, rejected ones among them (without hashes), with day and append."""
+    return spark.read.schema(LINES).parquet(f"{path}/lines")
 
 
 def verify_days(lines: DataFrame) -> DataFrame:

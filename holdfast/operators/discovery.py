@@ -155,11 +155,21 @@ def trace_hash(calls: DataFrame) -> DataFrame:
     return streamed_digest(parts, ["cycle_id"], names, "[", "]").withColumnRenamed("digest", "trace_hash")
 
 
-def cycle_outcome(ledger: DataFrame, decisions: DataFrame, cap: float, most_patterns: int) -> DataFrame:
-    """Per cycle: outcome (killed_budget, error, submitted or no_pattern), steps run, patterns, cost and checks.
-    ``decisions``: cycle_id, accepted (boolean), error."""
+def cycle_outcome(ledger: DataFrame, decisions: DataFrame, cap: float, most_patterns: int, tests: DataFrame | None = None, finals: DataFrame | None = None) -> DataFrame:
+    """Per cycle: outcome (killed_budget, error, submitted or no_pattern), reason, steps run, patterns, cost and checks.
+
+    ``decisions``: cycle_id, accepted (boolean), error. ``tests``: cycle_id, passed; ``finals``: cycle_id and the phase
+    (cheap or frontier) in which a model returned that there is no pattern. The reason of no_pattern is the first that
+    holds, in the order of a cycle's phases; a killed cycle has exhausted its budget; others have none.
+    """
     ran = ledger.groupBy("cycle_id").agg(F.count_if(F.col("status") == "ok").alias("steps"), F.coalesce(F.sum(F.when(F.col("status") == "ok", F.col("realized_usd"))), F.lit(0.0)).alias("cost_usd"), F.coalesce(F.bool_or(F.col("status") == "killed"), F.lit(False)).alias("killed"))
     made = decisions.groupBy("cycle_id").agg(F.count_if("accepted").alias("patterns"), F.coalesce(F.bool_or(F.col("error").isNotNull()), F.lit(False)).alias("failed"))
     both = ran.join(made, "cycle_id", "left").withColumns({"patterns": F.coalesce("patterns", F.lit(0)), "failed": F.coalesce("failed", F.lit(False))})
+    flags = [(tests, F.bool_or("passed"), "tested"), (finals, F.bool_or(F.col("phase") == "cheap"), "cheap_final"), (finals, F.bool_or(F.col("phase") == "frontier"), "frontier_final")]
+    for df, flag, name in flags:
+        both = both.withColumn(name, F.lit(None).cast("boolean")) if df is None else both.join(df.groupBy("cycle_id").agg(flag.alias(name)), "cycle_id", "left")
+        both = both.withColumn(name, F.coalesce(name, F.lit(False)))
     outcome = F.when(F.col("killed"), "killed_budget").when(F.col("failed"), "error").when(F.col("patterns") > 0, "submitted").otherwise("no_pattern")
-    return both.select("cycle_id", outcome.alias("outcome"), "steps", "patterns", "cost_usd", ((F.col("patterns") <= most_patterns) & (F.col("cost_usd") <= cap)).alias("holds"))
+    why = F.when(F.lit(most_patterns == 0), "max_patterns_is_zero").when(F.col("cheap_final"), "cheap_model_returned_no_pattern").when(~F.col("tested"), "no_successful_test_assertion").when(F.col("frontier_final"), "frontier_model_returned_no_pattern").otherwise("frontier_did_not_submit")
+    reason = F.when(outcome == "no_pattern", why).when(outcome == "killed_budget", "budget_exhausted")
+    return both.select("cycle_id", outcome.alias("outcome"), reason.alias("reason"), "steps", "patterns", "cost_usd", ((F.col("patterns") <= most_patterns) & (F.col("cost_usd") <= cap)).alias("holds"))

@@ -294,28 +294,72 @@ def control_seed(pattern_id: Column, control: str, window_id: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(pattern_id, F.lit(f":{control}:"), window_id), 256), 1, 16), 16, 10)
 
 
-def replication_report(patterns: DataFrame, series: DataFrame, reservations: DataFrame, tags: DataFrame | None = None, control_values: DataFrame | None = None, assignment: DataFrame | None = None, deps: DataFrame | None = None) -> DataFrame:
-    """One row per pattern with the results of all gates and the verdict over them, under its own protocol and scope.
-    ``deps``: declared source hashes of specs, for windows without own ones.
+# What the evaluation of a window and of a control of a window is charged, in dollars.
+WINDOW_USD, CONTROL_USD = 1e-5, 5e-6
 
-    Windows, their values and the verdicts are written once: six gates read them, and the range join of the
+
+def values_by_mode(series: DataFrame, windows: DataFrame, patterns: DataFrame, assignment: DataFrame | None = None) -> DataFrame:
+    """(pattern_id, window_id, t, value, source_hash): what each pattern reads in its windows. Patterns whose ``value_mode``
+    is ``point`` read the latest value at the times of a grid (``point_values``, of no source), all others, and all where
+    there is no such column, the points inside (``window_values``). One union, so each kind of join sees its patterns only."""
+    names = ["pattern_id", "window_id", "t", "value", "source_hash"]
+    if "value_mode" not in patterns.columns:
+        return window_values(series, windows, patterns, assignment=assignment).select(*names)
+    at_points = F.coalesce(F.col("value_mode") == "point", F.lit(False))
+    inside = window_values(series, windows, patterns.where(~at_points), assignment=assignment)
+    points = point_values(series, windows, patterns.where(at_points), assignment).withColumn("source_hash", F.lit(None).cast("string"))
+    return inside.select(*names).unionByName(points.select(*names))
+
+
+def selection_seed(patterns: DataFrame) -> DataFrame:
+    """(pattern_id, selection_seed): digest of the pattern's id and, where there is one, the canonical JSON of its protocol."""
+    protocol = F.concat(F.lit(',"replication_protocol":'), "protocol_json") if "protocol_json" in patterns.columns else F.lit("")
+    return patterns.select("pattern_id", F.sha2(F.concat(F.lit('{"pattern_id":"'), "pattern_id", F.lit('"'), protocol, F.lit("}")), 256).alias("selection_seed"))
+
+
+def _listed(df: DataFrame, name: str, order: list[str], rest: list[str]) -> DataFrame:
+    """A pattern's rows as one array of structs in order."""
+    return df.groupBy("pattern_id").agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias(name))
+
+
+def replication_report(patterns: DataFrame, series: DataFrame, reservations: DataFrame, tags: DataFrame | None = None, control_values: DataFrame | None = None, assignment: DataFrame | None = None, deps: DataFrame | None = None, nested: bool = False) -> DataFrame:
+    """One row per pattern with the results of all gates and the verdict over them, under its own protocol, scope and way
+    of reading values (``values_by_mode``). ``deps``: declared source hashes of specs, for windows without own ones.
+
+    ``nested`` adds what the gates decided on: window_results, partition_results and perturbation_results, each an array of
+    structs, selection_seed and compute_cost. These lists are as long as a pattern has held-out windows: a row is one
+    report. Windows, their values, verdicts and controls are written once: all gates read them, and the join of the
     series runs a single time.
     """
     heldout = written(heldout_windows(patterns))
     windows = written(heldout.unionByName(observation_windows(patterns)))
-    values = written(window_values(series, windows, patterns, assignment=assignment).select("pattern_id", "window_id", "t", "value", "source_hash"))
+    values = written(values_by_mode(series, windows, patterns, assignment))
     verdicts = written(window_verdicts(values, windows, patterns))
     held_values = values.where(F.col("window_id") != OBSERVATION)
     tags = heldout.select("pattern_id", "window_id", F.lit("partition_0").alias("partition_id")) if tags is None else tags
     refused = heldout_reservations(heldout, reservations, "test").where("outcome = 'refused'")
-    parts = partition_verdict(partition_results(verdicts, tags, patterns))
-    controls = perturbation_verdict(control_results(held_values, heldout, patterns, control_values))
+    results = partition_results(verdicts, tags, patterns)
+    controls = control_results(held_values, heldout, patterns, control_values)
+    if nested:
+        results, controls = written(results), written(controls)
     clean = disjointness(patterns, window_lineage(values, windows, patterns, deps), gap_failures(heldout, patterns), refused)
     observed = verdicts.where(F.col("window_id") == OBSERVATION).select("pattern_id", F.col("passed").alias("observed"))
     out = replication_verdict(verdicts, patterns)
-    for df in (observed, parts, controls, clean):
+    for df in (observed, partition_verdict(results), perturbation_verdict(controls), clean):
         out = out.join(df, "pattern_id", "left")
     gates = [F.coalesce(c, F.lit(False)) for c in ("replicated", "partitions_hold", "perturbed", "disjoint")]
     verdict_ = gates[0] & gates[1] & gates[2] & gates[3]
     passed = sum((g.cast("int") for g in gates), F.lit(0))
-    return out.withColumn("gates_passed", passed).withColumn("verdict", verdict_)
+    out = out.withColumn("gates_passed", passed).withColumn("verdict", verdict_)
+    if not nested:
+        return out
+    each = heldout.join(verdicts, ["pattern_id", "window_id"]).join(tags.select("pattern_id", "window_id", "partition_id"), ["pattern_id", "window_id"], "left")
+    of_windows = _listed(each, "window_results", ["t0", "t1", "window_id"], ["n", "passed", "partition_id"])
+    of_partitions = _listed(results, "partition_results", ["partition_id"], ["windows", "passes", "required", "passed"])
+    of_controls = _listed(controls, "perturbation_results", ["control", "window_id"], ["passed"])
+    count = F.col("windows")
+    usd = (1 + count) * F.lit(WINDOW_USD) + 3 * count * F.lit(CONTROL_USD)
+    cost = F.struct(usd.alias("compute_usd"), F.lit(0.0).alias("llm_usd"), (1 + count).alias("window_evaluations"), (3 * count).alias("perturbation_evaluations"))
+    for df in (of_windows, of_partitions, of_controls, selection_seed(patterns)):
+        out = out.join(df, "pattern_id", "left")
+    return out.withColumn("compute_cost", cost)

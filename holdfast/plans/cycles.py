@@ -80,6 +80,38 @@ def _(spark, d):
     return originality.append_entries(_entries(spark, d), sql(spark, d, f"select * from {_NEW}"))
 
 
+_KINDS = f"""(select position, anti_pattern_id, 'reduction' as matcher, paths_, projection_hash, null as values_ from {_ENTRIES}
+    union all select 20, 'types', 'field_in', 'spec_ref', null, 'click,view,purchase' union all select 21, 'kinds', 'field_in', 'assertion.kind', null, 'in_range,none')"""
+
+
+@query("matcher_kinds", f"""select p.pattern_id, e.position, e.anti_pattern_id from {_ONE} p join {_KINDS} e on
+    case when e.matcher = 'reduction' then e.projection_hash = case e.paths_ when 'assertion.kind' then {_HASH["kind"]} else {_HASH["both"]} end
+    else list_contains(string_split(e.values_, ','), case e.paths_ when 'spec_ref' then p.spec_ref else p.kind end) end""")
+def _(spark, d):
+    """Two kinds of matcher in one pass."""
+    entries = sql(spark, d, f"select position, anti_pattern_id, matcher, split(paths_, ',') as paths, projection_hash, split(values_, ',') as field_values from {_KINDS}")
+    return originality.matches(_many(spark, d), entries, _fields())
+
+
+_GONE = "(select distinct 'ap' || cast(c_custkey % 60 as string) as anti_pattern_id from {customer} where c_custkey % 7 > 0)"
+
+
+@query("anti_list_removal", f"""select coalesce(g.anti_pattern_id, e.anti_pattern_id) as anti_pattern_id, e.position, case when g.anti_pattern_id is null then 'left' when e.anti_pattern_id is null then 'unknown' else 'removed' end as outcome
+    from {_GONE} g full join {_ENTRIES} e on e.anti_pattern_id = g.anti_pattern_id""")
+def _(spark, d):
+    entries = _entries(spark, d)
+    left, outcome = originality.remove_entries(entries, sql(spark, d, f"select * from {_GONE}"))
+    gone = outcome.join(entries.select("anti_pattern_id", "position"), "anti_pattern_id", "left").select("anti_pattern_id", "position", "outcome")
+    return gone.union(left.select("anti_pattern_id", "position", F.lit("left")))
+
+
+@query("observed_fingerprints", "select pattern_id, SHA('{\"assertion\":{\"kind\":\"' || kind || '\"},\"observation_fingerprint_hash\":' || case when kind = 'sign' then 'null' else '\"' || SHA(spec_ref) || '\"' end || ',\"spec_ref\":\"' || spec_ref || '\"}') as fingerprint_hash from __ONE__".replace("__ONE__", _ONE))
+def _(spark, d):
+    body = F.concat(F.lit('{"spec_ref": "'), "spec_ref", F.lit('", "assertion": {"kind": "'), "kind", F.lit('"}} '))
+    seen = F.when(F.col("kind") != "sign", F.sha2("spec_ref", 256))
+    return originality.fingerprints(_many(spark, d), body, seen).select("pattern_id", "fingerprint_hash")
+
+
 @query("anti_list_version", f"select SHA(string_agg(cast(position as string) || ':' || anti_pattern_id || ':' || projection_hash, ',' order by position)) as version from {_ENTRIES}")
 def _(spark, d):
     return originality.list_version(_entries(spark, d))
@@ -215,27 +247,33 @@ def _(spark, d):
 _DECIDED = f"(select cycle_id, accepted, case when cycle_id % 10 = 3 then 'bad' end as error from (select s.cycle_id, exists (select 1 from {_DRAFTS} t where t.passed and t.cycle_id = s.cycle_id and t.fingerprint = s.fingerprint) as accepted from {_SUBS} s))"
 
 
-@query("cycle_outcome", f"""select l.cycle_id, case when killed then 'killed_budget' when coalesce(failed, false) then 'error' when coalesce(patterns, 0) > 0 then 'submitted' else 'no_pattern' end as outcome, steps, coalesce(patterns, 0) as patterns, round(cost_usd, 9) as cost_usd,
+_FINALS = "(select distinct cast(user_id as bigint) as cycle_id, case when user_id % 4 = 0 then 'cheap' else 'frontier' end as phase from {events} where user_id % 4 < 2)"
+
+
+@query("cycle_outcome", f"""select l.cycle_id, case when killed then 'budget_exhausted' when coalesce(failed, false) or coalesce(patterns, 0) > 0 then null when exists (select 1 from {_FINALS} f where f.cycle_id = l.cycle_id and f.phase = 'cheap') then 'cheap_model_returned_no_pattern'
+    when not exists (select 1 from {_DRAFTS} t where t.passed and t.cycle_id = l.cycle_id) then 'no_successful_test_assertion' when exists (select 1 from {_FINALS} f where f.cycle_id = l.cycle_id and f.phase = 'frontier') then 'frontier_model_returned_no_pattern' else 'frontier_did_not_submit' end as reason, case when killed then 'killed_budget' when coalesce(failed, false) then 'error' when coalesce(patterns, 0) > 0 then 'submitted' else 'no_pattern' end as outcome, steps, coalesce(patterns, 0) as patterns, round(cost_usd, 9) as cost_usd,
     coalesce(patterns, 0) <= 5 and cost_usd <= {_CAP} as holds from (select cycle_id, cast(count_if(status = 'ok') as bigint) as steps, coalesce(sum(realized_usd) filter (status = 'ok'), 0) as cost_usd, bool_or(status = 'killed') as killed from {_LEDGER} group by 1) l
     left join (select cycle_id, cast(count_if(accepted) as bigint) as patterns, bool_or(error is not null) as failed from {_DECIDED} group by 1) m on m.cycle_id = l.cycle_id""")
 def _(spark, d):
     gate = discovery.submission_gate(sql(spark, d, f"select * from {_SUBS}"), sql(spark, d, f"select * from {_DRAFTS}"))
     decided = gate.select("cycle_id", "accepted", F.when(F.col("cycle_id") % 10 == 3, "bad").alias("error"))
-    out = discovery.cycle_outcome(discovery.budget_ledger(view(spark, d, "steps"), _CAP), decided, _CAP, 5)
+    out = discovery.cycle_outcome(discovery.budget_ledger(view(spark, d, "steps"), _CAP), decided, _CAP, 5, sql(spark, d, f"select * from {_DRAFTS}"), sql(spark, d, f"select * from {_FINALS}"))
     return out.withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 # audit logs
 
-_RECORDS = "select event_id, case when event_id % 7 = 0 then '' else event_type end as category, case when event_id % 11 = 0 then null else 's' end as stage, event_id % 5 = 0 as odd, event_id % 13 = 0 as set_by_caller from {events}"
+_RECORDS = "select event_id, case when event_id % 7 = 0 then '' else event_type end as category, case when event_id % 11 = 0 then null else 's' end as stage, event_id % 5 = 0 as odd, event_id % 13 = 0 as set_by_caller, event_id % 4 as zone from {events}"
 
 
-@query("validate_records", f"select event_id, concat_ws(',', case when category = '' then 'category' end, case when stage is null then 'stage' end, case when odd then 'envelope' end, case when set_by_caller then 'caller set hashes' end) as errors from ({_RECORDS})")
+@query("validate_records", f"select event_id, concat_ws(',', case when category = '' then 'category' end, case when stage is null then 'stage' end, case when odd then 'envelope' end, case when set_by_caller then 'caller set hashes' end, case when zone in (1, 2) then 'timestamp' end) as errors from ({_RECORDS})")
 def _(spark, d):
     rows = sql(spark, d, _RECORDS)
     key = F.when(F.col("odd"), "other").otherwise("cycle_id")
     rows = rows.withColumns({"envelope": F.create_map(key, F.lit("x")), "record_hash": F.when(F.col("set_by_caller"), "h"), "prev_hash": F.lit(None).cast("string")})
-    return audit.validate(rows).select("event_id", "errors")
+    zone, plain = F.col("zone"), F.lit("2024-01-05T06:07:08")
+    at = F.when(zone == 0, F.concat(plain, F.lit("+01:00"))).when(zone == 1, plain).when(zone == 2, F.lit("2024-13-05T06:07:08Z"))
+    return audit.validate(rows.withColumn("timestamp", at)).select("event_id", "errors")
 
 
 def _to_append(spark, d):
@@ -245,7 +283,7 @@ def _to_append(spark, d):
 def _lines(spark, d):
     """A log of chained records by user group, in order of time, with some lines tampered with."""
     rows = _to_append(spark, d).withColumn("seq", F.col("ts") * 1000000 + F.col("seq"))
-    made = audit.append_chain(rows).where("not rejected").join(rows.select("log_id", "seq", "ts"), ["log_id", "seq"])
+    made = audit.append_chain(rows).where("not rejected")
     day = F.floor(F.col("ts") / 86400).cast("long")
     line = F.when(F.col("seq") % 997 == 0, F.regexp_replace("line", "category", "kategory")).otherwise(F.col("line"))
     return audit.check_digests(made.select("log_id", "ts", day.alias("day"), F.col("seq").alias("line_no"), "prev_hash", "record_hash", line.alias("line")))
@@ -281,7 +319,7 @@ def _(spark, d):
     return audit.verify_range(sql(spark, d, f"select * from {_STORED}"), START // DAY + 5, START // DAY + 8)
 
 
-@query("chain_tail", f"select log_id, max_by(record_hash, line_no) as tail_hash, max(day) as tail_day from {_STORED} where day < {START // DAY + 9} group by 1")
+@query("chain_tail", f"select log_id, max_by(record_hash, line_no) as tail_hash, max_by(ts, line_no) as tail_ts, max(day) as tail_day from {_STORED} where day < {START // DAY + 9} group by 1")
 def _(spark, d):
     return audit.chain_tail(sql(spark, d, f"select * from {_STORED}"), START // DAY + 9)
 

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from holdfast.functions.tables import shared_dir, written
-from holdfast.plans.fixtures import DAY, oracle, sql, view
+from holdfast.operators import audit
+from holdfast.plans.cycles import _to_append
+from holdfast.plans.fixtures import DAY, START, oracle, sql, view
 from holdfast.plans.reads import _raw_fetches
 from holdfast.sources import tables
 from holdfast.streaming import jobs
@@ -116,13 +118,26 @@ def _(spark, d):
 def _(spark, d):
     at = _place(spark)
     rows = jobs.ingest_dedup(_events(spark, d).select(F.sha2("props", 256).alias("hash"), "at"), "at", "1 hour")
-    rows.writeStream.foreachBatch(jobs.append_new(f"{at}/out", "hash string, at timestamp")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("hash")
+    jobs.run_batches(rows, jobs.append_new(f"{at}/out", "hash string, at timestamp"), f"{at}/log")
+    return spark.read.parquet(f"{at}/out/data").select("hash")
 
 
 @query("stream_audit_append")
 def _(spark, d):
     at = _place(spark)
     rows = _events(spark, d).select((F.col("user_id") % 20).cast("string").alias("log_id"), F.col("event_id").alias("seq"), F.unix_seconds("at").alias("ts"), F.concat(F.lit('{"props":'), "props", F.lit("}")).alias("payload"))
-    jobs.run_once(jobs.audit_append(rows), f"{at}/out", f"{at}/log")
-    return spark.read.parquet(f"{at}/out")
+    jobs.run_batches(rows, jobs.audit_append(f"{at}/out"), f"{at}/log")
+    return audit.stored_lines(spark, f"{at}/out").select("log_id", "seq", "prev_hash", "record_hash", "rejected")
+
+
+@query("verify_continued", f"select log_id, day, count(*) as n, true as valid from (select cast(user_id % 20 as string) as log_id, cast(floor(EPOCH(ts) / 86400) as bigint) as day from {{events}}) group by 1, 2")
+def _(spark, d):
+    """The same records stored in three appends, each going on from the tails of the one before, and verified."""
+    at = _place(spark)
+    rows = _to_append(spark, d).withColumn("seq", F.col("ts") * 1000000 + F.col("seq"))
+    third = F.floor((F.col("ts") - START) / (10 * DAY))
+    for i in range(3):
+        part = third <= i if i == 0 else third >= i if i == 2 else third == i
+        audit.append_stored(rows.where(part), at, i)
+    lines = audit.stored_lines(spark, at).where("not rejected").withColumnRenamed("seq", "line_no")
+    return audit.verify_days(audit.check_digests(lines))

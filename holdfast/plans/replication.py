@@ -326,14 +326,62 @@ def _(spark, d):
     return _heldout(spark, d).select("pattern_id", "window_id", rep.control_seed(F.col("pattern_id"), "time_shuffled", F.col("window_id")).alias("seed"))
 
 
-@query("replication_report", f"""select r.pattern_id, r.windows, cast(r.passes as bigint) as passes, r.required, r.replicated, o.passed as observed, cast(g.partitions as bigint) as partitions, cast(g.partition_passes as bigint) as partition_passes, g.partitions_hold,
+_REPORT = f"""select r.pattern_id, r.windows, cast(r.passes as bigint) as passes, r.required, r.replicated, o.passed as observed, cast(g.partitions as bigint) as partitions, cast(g.partition_passes as bigint) as partition_passes, g.partitions_hold,
     c.time_shuffled, c.scope_randomized, c.threshold_perturbed, c.time_shuffled and c.scope_randomized and c.threshold_perturbed as perturbed, k.shared, k.gap_failures, k.refused, k.disjoint,
     cast(r.replicated as int) + cast(g.partitions_hold as int) + cast(c.time_shuffled and c.scope_randomized and c.threshold_perturbed as int) + cast(k.disjoint as int) as gates_passed,
     r.replicated and g.partitions_hold and c.time_shuffled and c.scope_randomized and c.threshold_perturbed and k.disjoint as verdict
     from {_REPLICATED} r join (select pattern_id, passed from {_verdicts(_VALUES)} where window_id = 'observation') o on o.pattern_id = r.pattern_id
     join (select pattern_id, count(*) as partitions, count_if(passed) as partition_passes, count_if(passed) * 2 > count(*) as partitions_hold from {_PARTS} group by 1) g on g.pattern_id = r.pattern_id
-    join {_PERTURBED} c on c.pattern_id = r.pattern_id join {_CLEAN} k on k.pattern_id = r.pattern_id""")
+    join {_PERTURBED} c on c.pattern_id = r.pattern_id join {_CLEAN} k on k.pattern_id = r.pattern_id"""
+
+
+@query("replication_report", _REPORT)
 def _(spark, d):
     p = written(view(spark, d, "patterns"))  # derived from all events; a few rows
     held = written(rep.select_heldout(rep.grid_windows(p), p))
     return rep.replication_report(p, view(spark, d, "series"), _reservations(p, held), _tags(held))
+
+
+# The whole report: in_range patterns read a set of entities, quantile_ge ones the latest value at points of time from some
+# day on, sign ones list their windows; a protocol stands in the digest that chooses windows, and specs declare their deps.
+_PROTOCOL = '\'{"kind":"\' || kind || \'","windows":7}\''
+_ASKED = f"""select *, case kind when 'in_range' then 'entity_set' when 'quantile_ge' then 'time_range' else 'all' end as scope_kind, case kind when 'quantile_ge' then cast({START + 7 * DAY} as bigint) end as scope_t0, cast(null as bigint) as scope_t1,
+    case kind when 'quantile_ge' then 'point' when 'in_range' then 'range' end as value_mode from {{patterns}}"""
+_DEPS = "select distinct spec_ref, SHA(spec_ref || ':dep') as hash from {series}"
+_FH = f"""select * from ({_HELD}) where pattern_id in (select pattern_id from {{patterns}} where kind <> 'sign')
+    union all select pattern_id, 'w', cast({START + 5 * DAY} as bigint), cast({START + 6 * DAY} as bigint) from {{patterns}} where kind = 'sign' union all select pattern_id, 'heldout_1', {START + 8 * DAY}, {START + 9 * DAY} from {{patterns}} where kind = 'sign'""".replace("""'","window":""", """'","replication_protocol":' || protocol_json || ',"window":""")
+_FV = f"""select w.pattern_id, w.window_id, s.t, s.value, s.source_hash from {{patterns}} p join {_WINDOWS} w on w.pattern_id = p.pattern_id join {{series}} s on s.spec_ref = p.spec_ref and s.t between w.t0 and w.t1 where p.kind = 'sign' or p.kind = 'in_range' and s.entity in ('1', '2', '3')
+    union all select x.pattern_id, x.window_id, x.t, coalesce(s.value, cast('nan' as double)), null from (select * from (select w.pattern_id, w.window_id, p.spec_ref, unnest(generate_series(w.t0, w.t1, p.step_seconds)) as t from {_WINDOWS} w join {{patterns}} p on p.pattern_id = w.pattern_id and p.kind = 'quantile_ge') where t >= {START + 7 * DAY}) x
+    asof left join (select spec_ref, t, max(value) as value from {{series}} where value is not null group by 1, 2) s on s.spec_ref = x.spec_ref and x.t >= s.t"""
+_FL = f"""select distinct pattern_id, window_id, source_hash as hash from {_VALUES} where source_hash is not null
+    union all select w.pattern_id, w.window_id, SHA(p.spec_ref || ':dep') from {_WINDOWS} w join {{patterns}} p on p.pattern_id = w.pattern_id where not exists (select 1 from {_VALUES} v where v.pattern_id = w.pattern_id and v.window_id = w.window_id and v.source_hash is not null)"""
+
+
+def _named(text: str) -> str:
+    """``text`` over the tables of the whole report instead of those of the plain one."""
+    for old, new in ((_LINEAGE, "fl"), (_VALUES, "fv"), (_WINDOWS, "fw"), (f"({_HELD})", "fh"), (_HELD, "select * from fh"), ("{patterns}", "fp")):
+        text = text.replace(old, new)
+    return text
+
+
+_FULL = f"""with fp as materialized (select *, {_PROTOCOL} as protocol_json from ({_ASKED})), fh as materialized ({_FH.replace("{patterns}", "fp")}), fw as materialized (select * from fh union all {_OBS.replace("{patterns}", "fp")}), fv as materialized ({_named(_FV)}), fl as materialized ({_named(_FL)}),
+    ver as materialized (select * from {_named(_verdicts(_VALUES))}), ctl as materialized (select * from {_named(_CONTROLS)}), par as materialized (select * from {_named(_PARTS)}), rep as materialized ({_named(_REPORT)})
+    select rep.*, (select string_agg(concat_ws(':', h.window_id, h.t0, h.t1, v.n, v.passed, t.partition_id), ',' order by h.t0, h.t1, h.window_id) from fh h join ver v on v.pattern_id = h.pattern_id and v.window_id = h.window_id join {_named(_TAG)} t on t.pattern_id = h.pattern_id and t.window_id = h.window_id where h.pattern_id = rep.pattern_id) as window_results,
+    (select string_agg(concat_ws(':', partition_id, windows, passes, required, passed), ',' order by partition_id) from par where par.pattern_id = rep.pattern_id) as partition_results,
+    (select string_agg(concat_ws(':', control, window_id, passed), ',' order by control, window_id) from ctl where ctl.pattern_id = rep.pattern_id) as perturbation_results,
+    SHA('{{"pattern_id":"' || fp.pattern_id || '","replication_protocol":' || fp.protocol_json || '}}') as selection_seed, round((1 + rep.windows) * 1e-5 + 3 * rep.windows * 5e-6, 9) as compute_usd, 1 + rep.windows as window_evaluations, 3 * rep.windows as perturbation_evaluations
+    from rep join fp on fp.pattern_id = rep.pattern_id"""
+
+
+@query("full_report", _FULL)
+def _(spark, d):
+    sign = F.col("kind") == "sign"
+    text = F.lit(f'[{{"window_id":"w","t0":{START + 5 * DAY},"t1":{START + 6 * DAY}}},{{"t0":{START + 8 * DAY},"t1":{START + 9 * DAY}}}]')
+    asked = sql(spark, d, _ASKED).withColumns({"windows": F.when(sign, text), "window_count": F.when(~sign, F.col("window_count")), "scope_entities": F.array(F.lit("1"), F.lit("2"), F.lit("3")), "protocol_json": F.concat(F.lit('{"kind":"'), "kind", F.lit('","windows":7}'))})
+    p = written(asked)
+    held = written(rep.heldout_windows(p))
+    report = rep.replication_report(p, view(spark, d, "series"), _reservations(p, held), _tags(held), deps=sql(spark, d, _DEPS), nested=True)
+    text_of = lambda name, *parts: F.array_join(F.transform(name, lambda w: F.concat_ws(":", *[w[x].cast("string") for x in parts])), ",").alias(name)
+    plain = [c for c in report.columns if c not in ("window_results", "partition_results", "perturbation_results", "compute_cost")]
+    return report.select(*plain, text_of("window_results", "window_id", "t0", "t1", "n", "passed", "partition_id"), text_of("partition_results", "partition_id", "windows", "passes", "required", "passed"), text_of("perturbation_results", "control", "window_id", "passed"),
+        F.round("compute_cost.compute_usd", 9).alias("compute_usd"), "compute_cost.window_evaluations", "compute_cost.perturbation_evaluations")

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from holdfast.functions.canonical import digest
-from holdfast.operators.audit import ZEROS
+from holdfast.functions.tables import subfolders, written
+from holdfast.operators.audit import append_stored
 
 
 def read_files(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
@@ -30,41 +25,50 @@ def ingest_dedup(stream: DataFrame, ts: str, late: str) -> DataFrame:
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(["hash"])
 
 
-def append_new(path: str, schema: str):
-    """A sink for foreachBatch: appends the rows whose hash the table at ``path`` does not hold yet."""
+def append_new(path: str, schema: str, digits: int = 2):
+    """A sink for foreachBatch: appends the rows whose hash the table at ``path``/data does not hold yet.
+
+    The table lies by the first ``digits`` digits of the hash and by batch; a batch is joined with the folders of its own
+    digits only. Batches that are done stand in ``path``/batches: one that comes again does nothing, and one that was
+    broken off starts from the same rows and replaces what it had written. Rows of one hash in a batch give one.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        one = batch.dropDuplicates(["hash"])
-        try:
-            held = spark.read.schema(schema).parquet(path)
-            one = one.join(held.select("hash"), "hash", "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        one.write.mode("append").parquet(path)
+        if str(epoch) in subfolders(spark, f"{path}/batches"):
+            return
+        one = written(batch.dropDuplicates(["hash"]).withColumn("prefix", F.substring("hash", 1, digits)))
+        if subfolders(spark, f"{path}/batches"):
+            one = one.join(held_hashes(one, path, schema, epoch), ["prefix", "hash"], "left_anti")
+        rows = one.withColumn("epoch", F.lit(epoch).cast("long")).repartition("prefix")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "epoch").parquet(f"{path}/data")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/batches/{epoch}")
+
+    return write
+
+
+def held_hashes(batch: DataFrame, path: str, schema: str, epoch: int) -> DataFrame:
+    """(prefix, hash) that batches before ``epoch`` left in the folders of the prefixes of ``batch``."""
+    touched = [r[0] for r in batch.select("prefix").distinct().collect()]  # 16 ** digits at most
+    held = batch.sparkSession.read.schema(f"{schema}, prefix string, epoch long").parquet(f"{path}/data")
+    return held.where(F.col("prefix").isin(touched) & (F.col("epoch") < epoch)).select("prefix", "hash")
+
+
+def audit_append(path: str):
+    """A sink for foreachBatch: goes on with the hash chains stored at ``path`` by a batch of records (log_id, seq, ts,
+    payload), append by append (``audit.append_stored``). Spark sorts a batch by log and seq, and tasks chain its rows as
+    they pass, so no log's rows are gathered; the state is the table of tails. A record older than the last one of
+    its log is stored as rejected."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        append_stored(written(batch), path, epoch)
 
     return write
 
 
-def audit_append(stream: DataFrame) -> DataFrame:
-    """(log_id, seq, prev_hash, record_hash, rejected) of records (log_id, seq, ts, payload). State per log: last
-    hash and time. A record older than the last is rejected and comes out as such."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev, last = state.get if state.exists else (ZEROS, -(1 << 62))
-        out = []
-        for seq, ts, payload in sorted(t for pdf in parts for t in pdf[["seq", "ts", "payload"]].itertuples(index=False, name=None)):
-            if ts < last:
-                out.append((key[0], seq, None, None, True))
-                continue
-            own = digest({**json.loads(payload), "timestamp": int(ts), "prev_hash": prev})
-            out.append((key[0], seq, prev, own, False))
-            prev, last = own, int(ts)
-        state.update((prev, last))
-        yield pd.DataFrame(out, columns=["log_id", "seq", "prev_hash", "record_hash", "rejected"])
-
-    return stream.groupBy("log_id").applyInPandasWithState(run, "log_id string, seq long, prev_hash string, record_hash string, rejected boolean", "prev string, last long", "append", GroupStateTimeout.NoTimeout)
+def run_batches(stream: DataFrame, sink, checkpoint: str, **trigger) -> None:
+    """All that is there now, batch by batch, through a foreachBatch sink; a later call goes on from ``checkpoint``."""
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True, **trigger).start().awaitTermination()
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
