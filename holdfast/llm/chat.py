@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.functions.ranges import keyed_ranks
 from holdfast.llm.arrow import mapped, sorted_groups
 from holdfast.llm.store import broadcast_if_small, materialize
 
@@ -30,13 +31,14 @@ def quoted(text: Column) -> Column:
     return F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2)
 
 
-#: Calls of one conversation that one task orders; larger conversations are peeled by Spark, a round per level.
+#: Calls of one conversation that one task orders; larger conversations are ordered by ranges of positions.
 LARGEST = 1 << 17
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """conv_id, call_id and level of whole conversations sorted by ``part``. Calls are taken in layers: those that wait
-    for nothing, then those that waited for these alone, and so on; all conversations of a table at once."""
+    """conv_id, call_id and level of the calls of whole groups, sorted by ``part``. Calls are taken in layers: those that
+    wait for nothing, then those that waited for these alone, and so on; all groups of a table at once. ``base``: the
+    least level that a call has by those it no longer waits for; ``blocked``: whether it waits for one of another group."""
     for table, _ in sorted_groups(batches, 1):
         n = table.num_rows
         names, deps = table.column("name").combine_chunks(), table.column("deps").combine_chunks()
@@ -47,50 +49,76 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waits, dep = waits[dep >= 0], dep[dep >= 0]
         order = np.argsort(dep, kind="stable")
         waits, at = waits[order], np.searchsorted(dep[order], np.arange(n + 1))
-        open_, level = np.bincount(waits, minlength=n), np.full(n, -1)
-        free, turn = np.flatnonzero(open_ == 0), 0
+        open_ = np.bincount(waits, minlength=n) + table.column("blocked").to_numpy().astype(np.int64)
+        level, done = table.column("base").to_numpy().astype(np.int64), np.zeros(n, bool)
+        free = np.flatnonzero(open_ == 0)
         while len(free):
-            level[free] = turn
+            done[free] = True
             many = at[free + 1] - at[free]
             hit = waits[np.repeat(at[free] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            np.maximum.at(level, hit, np.repeat(level[free] + 1, many))
             np.subtract.at(open_, hit, 1)
-            free, turn = np.unique(hit[open_[hit] == 0]), turn + 1
-        yield pa.RecordBatch.from_arrays([table.column("conv_id").combine_chunks(), table.column("call_id").combine_chunks(), pa.array(level.astype(np.int32), mask=level < 0)], ["conv_id", "call_id", "level"])
+            free = np.unique(hit[open_[hit] == 0])
+        yield pa.RecordBatch.from_arrays([table.column("conv_id").combine_chunks(), table.column("call_id").combine_chunks(), pa.array(level.astype(np.int32), mask=~done)], ["conv_id", "call_id", "level"])
 
 
-def _peeled(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id and level, a round of joins for each level; written tables only, so any size of conversation."""
+def _name(call: Column) -> Column:
+    return F.to_json(F.array(F.col("conv_id").cast("string"), call))
+
+
+def _in_tasks(rows: DataFrame, part: list[str]) -> DataFrame:
+    """(conv_id, call_id, level) of ``rows`` (conv_id, call_id, deps, base, blocked), the groups of ``part`` ordered each by
+    itself; null where a call waits for one that is not."""
+    named = rows.select(F.xxhash64(*part).alias("part"), "conv_id", "call_id", _name(F.col("call_id")).alias("name"), F.transform("deps", _name).alias("deps"), "base", "blocked")
+    schema = T.StructType([*rows.select("conv_id", "call_id").schema.fields, T.StructField("level", T.IntegerType())])
+    return mapped(named.repartition("part").sortWithinPartitions("part"), _levels, schema)
+
+
+def _by_ranges(calls: DataFrame, largest: int) -> DataFrame:
+    """conv_id, call_id and level of conversations of any size, in ranges of ``largest`` calls by position.
+
+    Each round orders every range in a task as far as what it waits for is known, and hands the new levels to the calls
+    of other ranges that wait for them. So rounds are the borders that a chain of calls crosses, not its levels: a
+    chain in order of positions, either way, takes a round a range. What is left when a round adds nothing stands in or
+    behind circles. Only written tables pass between rounds.
+    """
     keys = ["conv_id", "call_id"]
+    order = [c for c in ("position", "call_id") if c in calls.columns]
+    ranked = keyed_ranks(calls.select("conv_id", *order), ["conv_id"], order, "i")
+    waiting = materialize(ranked.select(*keys, F.floor(F.col("i") / largest).alias("range"), F.lit(0).alias("base")))
     deps = calls.select(*keys, F.explode("after").alias("dep")).where("dep is not null").distinct()
-    edges = materialize(deps.join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
-    waiting, done, level = materialize(calls.select(*keys)), None, 0
+    ranges = waiting.select("conv_id", F.col("call_id").alias("dep"), F.col("range").alias("of"))
+    edges = materialize(deps.join(ranges, ["conv_id", "dep"]))  # of calls that wait, to calls that do
+    parts = []
     while True:
-        free = materialize(waiting.join(edges.select(*keys).distinct(), keys, "left_anti"))
-        if free.isEmpty():
+        own = waiting.join(edges, keys, "left").groupBy(*keys, "range", "base").agg(F.collect_list(F.when(F.col("of") == F.col("range"), F.col("dep"))).alias("deps"), F.coalesce(F.bool_or(F.col("of") != F.col("range")), F.lit(False)).alias("blocked"))
+        new = materialize(_in_tasks(own, ["conv_id", "range"]).where("level is not null"))
+        if new.isEmpty():
             break
-        now = free.withColumn("level", F.lit(level))
-        done = materialize(now if done is None else done.union(now))
-        edges = materialize(edges.join(free.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"))
-        waiting, level = materialize(waiting.join(free, keys, "left_anti")), level + 1
-    rest = waiting.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.union(rest)
+        parts.append(new)
+        known = new.select("conv_id", F.col("call_id").alias("dep"), (F.col("level") + 1).alias("more"))
+        told = edges.join(known, ["conv_id", "dep"]).groupBy(*keys).agg(F.max("more").alias("more"))
+        rest = waiting.join(new, keys, "left_anti").join(told, keys, "left")
+        waiting = materialize(rest.select(*keys, "range", F.greatest("base", F.coalesce("more", F.lit(0))).alias("base")))
+        edges = materialize(edges.join(known, ["conv_id", "dep"], "left_anti").join(waiting, keys, "left_semi"))
+    out = waiting.select(*keys, F.lit(None).cast("int").alias("level"))
+    for part in parts:
+        out = out.union(part)
+    return out
 
 
 def ordered(calls: DataFrame, largest: int = LARGEST) -> DataFrame:
     """``calls`` (a row per conv_id and call_id) with ``level``: 0 without a known dependency, else one more than the
     latest of those; null in and behind circles. Conversations of up to ``largest`` calls are ordered whole in tasks
-    that take many each, larger ones in rounds of joins."""
+    that take many each, larger ones by ranges of positions (``_by_ranges``)."""
     keys = ["conv_id", "call_id"]
     big = materialize(calls.groupBy("conv_id").count().where(F.col("count") > largest).select("conv_id"))
     small, levels = calls, None
     if not big.isEmpty():
-        levels = _peeled(materialize(calls.join(big, "conv_id", "left_semi").select(*keys, "after")))
+        levels = _by_ranges(materialize(calls.join(big, "conv_id", "left_semi").select(*[c for c in ("conv_id", "call_id", "position", "after") if c in calls.columns])), largest)
         small = calls.join(big, "conv_id", "left_anti")
-    name = lambda call: F.to_json(F.array(F.col("conv_id").cast("string"), call))
-    deps = F.transform(F.array_distinct(F.array_compact("after")), name)
-    rows = small.select(F.xxhash64("conv_id").alias("part"), *keys, name(F.col("call_id")).alias("name"), deps.alias("deps"))
-    schema = T.StructType([*small.select(*keys).schema.fields, T.StructField("level", T.IntegerType())])
-    found = mapped(rows.repartition("part").sortWithinPartitions("part"), _levels, schema)
+    rows = small.select(*keys, F.array_distinct(F.array_compact("after")).alias("deps"), F.lit(0).alias("base"), F.lit(False).alias("blocked"))
+    found = _in_tasks(rows, ["conv_id"])
     levels = found if levels is None else found.union(levels)
     return calls.join(levels, keys, "left").select(*calls.columns, "level")
 

@@ -33,3 +33,14 @@ def test_levels(spark, largest):
     calls = spark.createDataFrame(rows, "conv_id long, call_id string, position int, after array<string>").repartition(3)
     got = chat.ordered(calls.withColumn("after", chat.F.coalesce("after", chat.F.array().cast("array<string>"))), largest).collect()
     assert len(got) == len(rows) and {(r["conv_id"], r["call_id"]): r["level"] for r in got} == want
+
+
+def test_long_chains_take_a_round_a_range(spark, monkeypatch):
+    n, rounds = 10_000, []
+    whole = chat._in_tasks
+    monkeypatch.setattr(chat, "_in_tasks", lambda rows, part: rounds.append(part) or whole(rows, part))
+    rows = [(1, f"c{i}", i, [f"c{i - 1}"] if i else []) for i in range(n)] + [(2, f"c{i}", i, [f"c{i + 1}"]) for i in range(n)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, position int, after array<string>").repartition(4)
+    got = {(r["conv_id"], r["position"]): r["level"] for r in chat.ordered(calls, 2500).collect()}
+    assert got == {(1, i): i for i in range(n)} | {(2, i): n - 1 - i for i in range(n)}
+    assert sum(part == ["conv_id", "range"] for part in rounds) == 5  # four ranges and a round that adds nothing
