@@ -153,10 +153,13 @@ def spec_ids(bodies: Column) -> Column:
     return run(bodies)
 
 
+# The keys of a pattern.
+_PATTERN_KEYS = {"spec_ref", "assertion", "scope", "observation_window", "replication_protocol"}
+
+
 def pattern_ids(bodies: Column) -> Column:
     """struct(pattern_id, error) of pattern documents {spec_ref, assertion, scope, observation_window,
     replication_protocol}; a stated id must agree."""
-    keys = {"spec_ref", "assertion", "scope", "observation_window", "replication_protocol"}
 
     @F.pandas_udf("pattern_id string, error string")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -165,7 +168,7 @@ def pattern_ids(bodies: Column) -> Column:
             try:
                 body = json.loads(t)
                 stated = body.pop("pattern_id", None)
-                if set(body) != keys:
+                if set(body) != _PATTERN_KEYS:
                     raise ValueError("keys")
                 if len(body["spec_ref"]) != 64 or body["assertion"]["kind"] not in ("in_range", "quantile_ge", "sign"):
                     raise ValueError("spec or assertion")

@@ -18,7 +18,7 @@ KEY_ROWS = 1 << 16
 def split_large(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame | None]:
     """``df`` without the keys that have more than ``rows`` rows, and the rows of these, None if there are none. Keys are
     counted before the shuffle; ``df`` is read again for each part, so it must be alike each time. Null keys are small."""
-    large = written(df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > rows).select(*keys))  # of the rows, one in ``rows`` at most
+    large = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > rows).select(*keys)  # of the rows, one in ``rows`` at most
     if large.isEmpty():
         return df, None
     few = broadcast_if_small(large)

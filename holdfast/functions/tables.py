@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,9 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``written`` inside go when it ends; what was made of them must be stored by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder."""
+    """``df`` as a table in the shared folder, until the ``scratch`` around it, if any, ends."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    for held in _scratch[-1:]:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Members of a council; their pairs and names come to the driver.
+MOST_MEMBERS = 256
+
+
+def members_of(votes: DataFrame) -> list[str]:
+    """The different members of ``votes``, in order; more than MOST_MEMBERS are an error."""
+    found = sorted(r[0] for r in votes.select("member").where("member is not null").distinct().limit(MOST_MEMBERS + 1).collect())
+    if len(found) > MOST_MEMBERS:
+        raise ValueError(f"more than {MOST_MEMBERS} members")
+    return found
+
+
 def decisions(votes: DataFrame) -> DataFrame:
     """(pattern_id, approving_groups, rejects, archived): two independent groups approve and none rejects. A
     member without group is one of its own."""
@@ -15,8 +27,10 @@ def decisions(votes: DataFrame) -> DataFrame:
 
 
 def independence(votes: DataFrame) -> DataFrame:
-    """(a, b, patterns, independence): 1 less the mean cosine of two members' rationales on common patterns."""
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
+    """(a, b, patterns, independence): 1 less the mean cosine of two members' rationales on common patterns, a vote a member
+    and pattern. Pairs are those of at most MOST_MEMBERS members; a rationale of zeros has no cosine and counts in none."""
+    members_of(votes)
+    norm = F.nullif(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)), F.lit(0.0))
     v = votes.select("pattern_id", "member", F.col("embedding").cast("array<double>").alias("e")).withColumn("u", F.transform("e", lambda x: x / norm)).select("pattern_id", "member", "u")
     right = v.select("pattern_id", F.col("member").alias("b"), F.col("u").alias("w"))
     both = v.join(right, "pattern_id").where("member < b")
@@ -25,7 +39,7 @@ def independence(votes: DataFrame) -> DataFrame:
 
 
 def groups(pairs: DataFrame, members: list[str], theta: float) -> dict[str, str]:
-    """member -> group: pairs below ``theta`` are collapsed. Members are a handful."""
+    """member -> group: pairs below ``theta`` are collapsed; of at most MOST_MEMBERS members."""
     root = {m: m for m in members}
     for r in sorted(pairs.where(F.col("independence") < theta).collect(), key=lambda r: (r["a"], r["b"])):
         low, high = sorted((root[r["a"]], root[r["b"]]))
@@ -36,8 +50,7 @@ def groups(pairs: DataFrame, members: list[str], theta: float) -> dict[str, str]
 def regrouped(votes: DataFrame, pairs: DataFrame, theta: float) -> DataFrame:
     """``votes`` with the groups that measured independence makes of their members, in place of the stated ones: members
     of pairs below ``theta`` count as one. Members without a common pattern keep a group of their own."""
-    members = [r[0] for r in votes.select("member").where("member is not null").distinct().collect()]  # a handful
-    own = groups(pairs, members, theta)
+    own = groups(pairs, members_of(votes), theta)
     names = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
     return votes.withColumn("independence_group", F.try_element_at(names, F.col("member")) if own else F.col("member"))
 

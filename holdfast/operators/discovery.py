@@ -14,9 +14,9 @@ DAY = 86400
 
 # Words that decide how an operator's input is classified.
 TARGETING = ["what about", "have you checked", "look at", "focus on"]
-CONTENT_TERMS = "momentum reversion earnings revenue profit volatility sentiment macro inflation rates yield sector industry size value growth quality liquidity news filing".split()
-TOOL_WORDS = "compute run inspect show distribution window different same stratified partition that this again sample".split()
-RED_TEAM_WORDS = "falsify falsification simplest non-pattern explanation shuffled shuffle control reproduce replicate fail failure alternative".split()
+CONTENT_TERMS = ["momentum", "reversion", "earnings", "revenue", "profit", "volatility", "sentiment", "macro", "inflation", "rates", "yield", "sector", "industry", "size", "value", "growth", "quality", "liquidity", "news", "filing"]
+TOOL_WORDS = ["compute", "run", "inspect", "show", "distribution", "window", "different", "same", "stratified", "partition", "that", "this", "again", "sample"]
+RED_TEAM_WORDS = ["falsify", "falsification", "simplest", "non-pattern", "explanation", "shuffled", "shuffle", "control", "reproduce", "replicate", "fail", "failure", "alternative"]
 # Terms that make a prompt template open-ended.
 OPEN_ENDED = ["discover", "find", "suggest", "explore", "hypothesis", "what about"]
 # Tools of a cycle and the phases that may call them.
@@ -76,7 +76,7 @@ def test_assertions(drafts: DataFrame, series: DataFrame, bucket: int = DAY) ->
 
 def submission_gate(submissions: DataFrame, tests: DataFrame) -> DataFrame:
     """Submissions with accepted, and the steps of the successful tests in the same cycle of the same
-    fingerprint (spec, assertion and window)."""
+    fingerprint (spec, assertion and window), one value as long as they are many."""
     good = tests.where("passed").groupBy("cycle_id", "fingerprint").agg(F.sort_array(F.collect_list("step")).alias("sources"))
     both = submissions.join(good, ["cycle_id", "fingerprint"], "left")
     return both.withColumn("accepted", F.col("sources").isNotNull())

@@ -111,7 +111,7 @@ def undeclared(reads: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def lineage(reads: DataFrame) -> DataFrame:
-    """Different hashes read by each run, in order."""
+    """Different hashes read by each run, in order, one value as long as they are many."""
     return reads.groupBy("run_id").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
 
 

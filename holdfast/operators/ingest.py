@@ -64,12 +64,13 @@ def link_corrections(new: DataFrame, existing: DataFrame | None = None) -> DataF
 
 
 def provenance_listing(provenance: DataFrame) -> DataFrame:
-    """Each hash with its triples in order of fetch time, source and vendor time."""
+    """Each hash with its triples in order of fetch time, source and vendor time, one value as long as they are many."""
     triple = F.struct("fetch_time", "source_id", "vendor_timestamp")
     return provenance.groupBy("hash").agg(F.count("*").alias("multiplicity"), F.sort_array(F.collect_list(triple)).alias("triples"))
 
 
 def corrections_listing(corrections: DataFrame) -> DataFrame:
+    """Each original with its different corrections in order, one value as long as they are many."""
     return corrections.groupBy("original_hash").agg(F.sort_array(F.collect_set("correction_hash")).alias("corrections"))
 
 

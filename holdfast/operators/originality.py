@@ -127,7 +127,7 @@ def clear_entries(entries: DataFrame) -> DataFrame:
 
 
 def list_version(entries: DataFrame) -> DataFrame:
-    """One row: digest of the ordered list."""
+    """One row: digest of the ordered list, of at most MOST_ENTRIES entries."""
     rows = F.sort_array(F.collect_list(F.struct("position", "anti_pattern_id", "projection_hash")))
     text = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["position"].cast("string"), r["anti_pattern_id"], r["projection_hash"])), ",")
     return entries.agg(F.sha2(text, 256).alias("version"))

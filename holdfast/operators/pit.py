@@ -50,7 +50,8 @@ def visible_provenance(requests: DataFrame, provenance: DataFrame, key: str = "s
 
 
 def visible_corrections(requests: DataFrame, corrections: DataFrame, provenance: DataFrame, key: str = "seq") -> DataFrame:
-    """Per request, corrections whose own earliest vendor time is not after the query, and those suppressed."""
+    """Per request, corrections whose own earliest vendor time is not after the query, in one text as long as they are many,
+    and the number of those suppressed."""
     dated = corrections.join(earliest_vendor_time(provenance).withColumnRenamed("hash", "correction_hash"), "correction_hash", "left")
     both = requests.join(dated.withColumnRenamed("original_hash", "hash"), "hash", "left")
     seen = F.coalesce(F.col("earliest") <= F.col("query_time"), F.lit(False))

@@ -226,22 +226,23 @@ def numbered(values: DataFrame, group_rows: int = KEY_ROWS) -> DataFrame:
     return keyed_ranks(values, keys, ["t", "value"], "i", group_rows).join(sizes, keys)
 
 
-def time_shuffled(values: DataFrame, group_rows: int = KEY_ROWS) -> DataFrame:
+def time_shuffled(values: DataFrame, group_rows: int = KEY_ROWS, placed: DataFrame | None = None) -> DataFrame:
     """Each window's values dealt to its times in a hash-drawn order: the value whose draw has the same rank in the
-    window as the time. Both ranks are by ranges where windows are large."""
+    window as the time. Both ranks are by ranges where windows are large. ``placed``: ``numbered`` values, if at hand."""
     keys = ["pattern_id", "window_id"]
-    placed = keyed_ranks(values.select(*keys, "t", "value"), keys, ["t", "value"], "i", group_rows)
+    placed = numbered(values.select(*keys, "t", "value"), group_rows) if placed is None else placed
     drawn = keyed_ranks(placed.withColumn("draw", _draw("time_shuffled")), keys, ["draw"], "place", group_rows)
     times = placed.select(*keys, F.col("i").alias("place"), "t")
     return times.join(drawn.select(*keys, "place", "value"), [*keys, "place"]).select(*keys, "t", "value")
 
 
-def scope_resampled(values: DataFrame, group_rows: int = KEY_ROWS) -> DataFrame:
+def scope_resampled(values: DataFrame, group_rows: int = KEY_ROWS, placed: DataFrame | None = None) -> DataFrame:
     """As many values of each window, drawn with replacement by hashes."""
-    placed = numbered(values.select("pattern_id", "window_id", "t", "value"), group_rows)
+    keys = ["pattern_id", "window_id"]
+    placed = numbered(values.select(*keys, "t", "value"), group_rows) if placed is None else placed
     pick = F.pmod(F.conv(F.substring(_draw("scope_randomized"), 1, 8), 16, 10).cast("long"), F.col("n"))
-    asked = placed.select("pattern_id", "window_id", "t", pick.alias("i"))
-    return asked.join(placed.select("pattern_id", "window_id", "i", "value"), ["pattern_id", "window_id", "i"]).select("pattern_id", "window_id", "t", "value")
+    asked = placed.select(*keys, "t", pick.alias("i"))
+    return asked.join(placed.select(*keys, "i", "value"), [*keys, "i"]).select(*keys, "t", "value")
 
 
 def tightened(patterns: DataFrame) -> DataFrame:
@@ -261,7 +262,8 @@ def control_results(values: DataFrame, windows: DataFrame, patterns: DataFrame,
     """
     keys = ["pattern_id", "window_id"]
     plain = values.select(*keys, "t", "value")
-    made = time_shuffled(plain).withColumn("control", F.lit("time_shuffled")).union(scope_resampled(plain).withColumn("control", F.lit("scope_randomized")))
+    placed = written(numbered(plain))
+    made = time_shuffled(plain, placed=placed).withColumn("control", F.lit("time_shuffled")).union(scope_resampled(plain, placed=placed).withColumn("control", F.lit("scope_randomized")))
     if control_values is not None:
         own = control_values.where(F.col("control").isin("time_shuffled", "scope_randomized")).select(*keys, F.lit(0).cast("long").alias("t"), "value", "control")
         made = made.join(own.select(*keys, "control").distinct(), [*keys, "control"], "left_anti").unionByName(own)

@@ -45,7 +45,7 @@ VIEWS = {
     "votes": """select cast(floor(vec_id / 5) as bigint) as pattern_id, 'm' || cast(vec_id % 5 as string) as member, case when label % 2 = 0 then 'approve' else 'reject' end as vote,
         embedding, 'g' || cast(vec_id % 5 % 3 as string) as independence_group from {embeddings}""",
     "phrases": """select conv_id * 1000 + turn as seq, text from {conversations} where role = 'user'
-        union all select 900000000 + e.event_id * 100 + p.k as seq, p.text from {events} e cross join (values
+        union all select -p.k as seq, p.text from (values
           (1, 'What about momentum?'), (2, 'Compute that on a different window.'), (3, '  '), (4, 'Try to break this claim'), (5, 'focus on value stocks'),
           (6, 'Please compute the summary'), (7, 'hello there'), (8, 'look at   earnings reports')) as p(k, text)""",
 }

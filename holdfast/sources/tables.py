@@ -42,9 +42,10 @@ def write_reservations(rows: DataFrame, path: str) -> DataFrame:
 
 
 def write_audit(lines: DataFrame, path: str) -> None:
-    """One folder of text lines per UTC day, in order of ``seq``; lines are (ts, seq, line)."""
+    """One folder of text lines per UTC day, in order of ``seq``; lines are (ts, seq, line). Days are cut into ranges, so one
+    day with very many lines is several files, in order of their names."""
     out = lines.withColumn("day", F.date_from_unix_date(F.floor(F.col("ts") / 86400).cast("int")))
-    out.repartition("day").sortWithinPartitions("day", "seq").select("day", F.col("line").alias("value")).write.mode("append").partitionBy("day").text(path)
+    out.repartitionByRange("day", "seq").sortWithinPartitions("day", "seq").select("day", F.col("line").alias("value")).write.mode("append").partitionBy("day").text(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
