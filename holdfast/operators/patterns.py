@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.functions.quantiles import at_each, group_quantiles
+from holdfast.functions.ranges import KEY_ROWS
+
 ARGS = ["kind", "lo", "hi", "p", "threshold", "expected_sign"]
 SIGNS = {"negative": -1, "zero": 0, "positive": 1}
 
@@ -33,10 +36,19 @@ def sign(value: Column, expected: Column) -> Column:
 
 
 def quantile_ge(value: Column, p: float, threshold: Column) -> Column:
-    """The quantile at ``p``, linear between neighbours, reaches the threshold."""
+    """The quantile at ``p``, linear between neighbours, reaches the threshold; of groups whose different values fit into a
+    task (``quantiles_reach`` takes any)."""
     return F.coalesce(F.percentile(value, F.lit(p)) >= threshold, F.lit(False))
 
 
+def quantiles_reach(values: DataFrame, keys: list[str], p: float, threshold: float, group_rows: int = KEY_ROWS) -> DataFrame:
+    """(keys, holds): whether each group's exact quantile at ``p`` reaches the threshold; false where a value is not finite.
+    Groups of any size, none of them gathered (``group_quantiles``)."""
+    groups = values.groupBy(*keys).agg(usable(F.col("value")).alias("usable"))
+    found = group_quantiles(values.select(*keys, "value"), keys, at_each(groups.select(*keys), (p,)), group_rows)
+    return groups.join(found, keys, "left").select(*keys, (F.col("usable") & F.coalesce(F.col("quantile") >= threshold, F.lit(False))).alias("holds"))
+
+
 #: kind -> builder of an aggregate from the value and the distinct p in use. Arguments are columns that are
 #: constant in a group.
 ASSERTIONS: dict[str, Callable[[Column, list[float]], Column]] = {

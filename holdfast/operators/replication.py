@@ -115,14 +115,15 @@ def window_verdicts(values: DataFrame, windows: DataFrame, patterns: DataFrame,
     (``group_quantiles``); ``values`` is read several times."""
     own, each = list(keys), [*keys, "window_id"]
     args = broadcast_if_small(patterns.select(*own, *ARGS))
-    found = values.select(*each, "value").join(args, own).groupBy(*each).agg(F.count("*").alias("n"), usable(F.col("value")).alias("usable"), verdict(F.col("value"), []).alias("plain"))
-    asked = patterns.where("kind = 'quantile_ge' and p between 0 and 1").select(*own, "p", "threshold")
-    of_kind = values.select(*each, "value").join(broadcast_if_small(asked.select(*own)), own, "left_semi")
-    quantiles = group_quantiles(of_kind, each, windows.select(*each).join(asked.select(*own, "p"), own), group_rows)
+    both = values.select(*each, "value").join(args, own)
+    found = both.groupBy(*each).agg(F.count("*").alias("n"), usable(F.col("value")).alias("usable"), verdict(F.col("value"), []).alias("plain"))
+    ranked = "kind = 'quantile_ge' and p between 0 and 1"
+    asked = patterns.where(ranked).select(*own, "p", "threshold")
+    quantiles = group_quantiles(both.where(ranked).select(*each, "value"), each, windows.select(*each).join(asked.select(*own, "p"), own), group_rows)
     reached = quantiles.join(asked, [*own, "p"]).select(*each, (F.col("quantile") >= F.col("threshold")).alias("reached"))
-    both = windows.select(*each).join(found, each, "left").join(reached, each, "left")
+    out = windows.select(*each).join(found, each, "left").join(reached, each, "left")
     passed = F.col("plain") | (F.col("usable") & F.coalesce("reached", F.lit(False)))
-    return both.select(*each, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    return out.select(*each, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def rounded(value: Column) -> Column:

@@ -36,8 +36,7 @@ def _(spark, d):
 
 @query("assert_quantile_ge", f"select spec_ref, day, bool_and(not isnan(value)) and quantile_cont(value, 0.4) >= 40 as holds from ({_GROUPS}) group by 1, 2")
 def _(spark, d):
-    g = sql(spark, d, _GROUPS)
-    return g.groupBy("spec_ref", "day").agg((pat.usable(F.col("value")) & pat.quantile_ge(F.col("value"), 0.4, F.lit(40))).alias("holds"))
+    return pat.quantiles_reach(sql(spark, d, _GROUPS), ["spec_ref", "day"], 0.4, 40)
 
 
 @query("assert_sign", f"select spec_ref, day, bool_and(not isnan(value)) and bool_and(sign(value) = 1) as holds from ({_GROUPS}) group by 1, 2")

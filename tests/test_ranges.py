@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import intervals, quantiles, ranges
-from holdfast.operators import discovery, incremental, partitions, pit, replication
+from holdfast.operators import discovery, incremental, partitions, patterns, pit, replication
 
 ROWS = 3000
 
@@ -106,6 +106,15 @@ def test_quantiles_of_one_group(spark, group_rows):
     assert all(math.isclose(got["all", p], float(np.quantile(groups["all"], p)), abs_tol=1e-9) for p in ps)
 
 
+def test_quantiles_reach(spark):
+    rows = [("a", float(i)) for i in range(101)] + [("b", 1.0), ("b", float("nan")), ("c", 5.0), ("d", None)]
+    values = spark.createDataFrame(rows, "g string, value double")
+    for group_rows in (10, 1000):
+        got = {r["g"]: r["holds"] for r in patterns.quantiles_reach(values, ["g"], 0.4, 40.0, group_rows).collect()}
+        assert got == {"a": True, "b": False, "c": False, "d": False}
+        assert patterns.quantiles_reach(values, ["g"], 0.4, 40.1, group_rows).where("holds").count() == 0
+
+
 WINDOWS = [(0, 3599), (1, 0), (5, 5), (-7200, 3600), (-3600 * 9 - 1, -1), (0, 315_360_000), (86_400, 86_400 + 7 * 86_400), (3600, 7199), (-315_360_000, 315_360_000), (None, 5), (9, None)]
 
 
