@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.ann import takes_part
@@ -121,6 +121,16 @@ def links(distinct: DataFrame, params: Cells = Cells()) -> DataFrame:
     return home.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(compare, "id long, links long, root long")
 
 
+def _unit(vector: Column) -> Column:
+    """The unit vector of a vector that is not zero. It is divided by its largest component first, so that no square
+    overflows or vanishes. ``bound`` evaluates a value once for all components."""
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    divided = lambda v, by: F.transform(v, lambda x: x / by)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    largest = F.array_max(F.transform(vector, F.abs))
+    return bound(bound(largest, lambda m: divided(vector, m)), lambda v: bound(norm(v), lambda n: divided(v, n)))
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", params: Cells = Cells()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
@@ -134,10 +144,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     links_at_all = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & takes_part("embedding")
     good = rows.where(links_at_all)
     groups = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id()))
-    largest = F.array_max(F.transform("embedding", F.abs))
-    scaled = groups.select("id", "label", "w", F.transform("embedding", lambda x: x / largest).alias("scaled"))
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x * x))
-    unit = scaled.select("id", "label", "w", F.transform("scaled", lambda x: x / norm).alias("unit"))
+    unit = groups.select("id", "label", "w", _unit(F.col("embedding")).alias("unit"))
     found = materialize(links(unit, params))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
