@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.arrow import mapped
@@ -135,6 +135,28 @@ def _pivots(place: np.ndarray, cost: np.ndarray, word: np.ndarray, q: int, n_wor
     return chosen
 
 
+def _keys(shorter: list[Column], other_size: Column) -> Column:
+    """Hashes of what words share that hold a gram, here at ``place`` of a word of ``size`` code points, and are one edit
+    apart: the size of the probed word, the gram's place from the unchanged end, and what stands unchanged before the gram
+    if the edit is behind it, or behind it if the edit is before. One sign there, or none, says little; then one half of
+    the other part is unchanged too, halves being those of the word in ``shorter``: of the two words' sizes, those that can
+    be the lesser."""
+
+    def side(name: str, at: Column, same: str, other: str) -> list[Column]:
+        key = lambda when, half, *rest: F.when(when, F.xxhash64(F.lit(name), at, other_size, half, F.expr(same), *rest))
+        many = F.char_length(F.expr(same))
+        out = [key(many > 1, F.lit(0))]
+        for size in shorter:
+            first = F.floor((size - 2 - many) / 2).cast("int")
+            out.append(key(many <= 1, 2 * size, F.substring(F.expr(other), F.lit(1), first)))
+            out.append(key(many <= 1, 2 * size + 1, F.right(F.expr(other), size - 2 - many - first)))
+        return out
+
+    before = side("before", F.col("place"), "substring(word, 1, place)", "substring(word, place + 3)")
+    behind = side("behind", F.col("size") - F.col("place"), "substring(word, place + 3)", "substring(word, 1, place)")
+    return F.array_compact(F.array(*before, *behind))
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(a, b, b_n) for each ordered pair of different ``words`` (word of four code points or more, each once; n) that
     differ by exactly one inserted, deleted or replaced code point.
@@ -144,7 +166,7 @@ def near_words(words: DataFrame) -> DataFrame:
     frequency, are its pivots; one edit leaves at least one of them whole. Of two near words, the one whose prefix ends
     no later in the rank has a pivot that the other's prefix holds. That pivot stands at the same place from the start
     or from the end of both, and what stands there is unchanged: gram, place, lengths and that part of the word are the
-    key, and candidates are then verified whole. So a gram that very many words share is no key by itself.
+    keys (``_keys``), and candidates are then verified whole. So a gram that very many words share is no key by itself.
     """
     # a row per different bigram: of the 90 letters of ``vocabulary``, 8100 at most
     pairs = F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring("word", i, 2))
@@ -159,15 +181,11 @@ def near_words(words: DataFrame) -> DataFrame:
                 yield _placed(batch.slice(a, 16384), known, costs)
 
     placed = materialize(mapped(words.select("word", "n"), run, "word string, n long, size int, last int, gram int, place int, pivot boolean"))
-    part = lambda side, at, text: F.struct(F.lit(side).alias("side"), at.alias("at"), F.xxhash64(text).alias("rest"))
-    before = part("before", F.col("place"), F.expr("substring(word, 1, place)"))
-    behind = part("behind", F.col("size") - F.col("place"), F.expr("substring(word, place + 3)"))
-    keyed = lambda df: df.select("*", F.explode(F.array(before, behind)).alias("k")).select("word", "n", "size", "last", "gram", "k.*")
-    key = ["gram", "side", "at", "rest", "other_size"]
-    pivots = keyed(placed.where("pivot")).select("gram", "side", "at", "rest", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)).alias("other_size"), F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"))
-    others = keyed(placed).select("gram", "side", "at", "rest", F.col("size").alias("other_size"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"))
-    # behind the gram, the place from the end is the same for both; before it, the place from the start
-    both = pivots.join(others, key).where("a_last <= b_last and a <> b and levenshtein(a, b, 1) = 1")
+    pivots = placed.where("pivot").withColumn("other_size", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)))
+    lesser = F.least("size", "other_size")
+    pivots = pivots.select("gram", F.explode(_keys([lesser], F.col("other_size"))).alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"))
+    others = placed.select("gram", F.explode(_keys([F.col("size"), F.col("size") - 1], F.col("size"))).alias("key"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"))
+    both = pivots.join(others, ["gram", "key"]).where("a_last <= b_last and a <> b and levenshtein(a, b, 1) = 1")
     turned = F.col("a") > F.col("b")
     pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
     found = materialize(both.select(pick("a", "b", "a"), pick("a_n", "b_n", "a_n"), pick("b", "a", "b"), pick("b_n", "a_n", "b_n")).distinct())
