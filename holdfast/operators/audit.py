@@ -35,12 +35,17 @@ def check_digests(lines: DataFrame) -> DataFrame:
 
 
 def append_chain(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
-    """(log_id, seq, ts, prev_hash, record_hash, line, rejected) of records (log_id, seq, ts, payload JSON).
+    """(log_id, seq, prev_hash, record_hash, line, rejected) of records (log_id, seq, ts, payload JSON).
 
     Each log is a chain, so sequential; logs run in parallel, each sorted by Spark and read in one pass.
     ``tails`` (log_id, tail_hash, tail_ts) continue earlier chains. A record older than the last one before
     it is rejected and leaves the chain as it is.
     """
+    return chained(records, tails).drop("ts")
+
+
+def chained(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
+    """``append_chain`` with the records' ts."""
     spark = records.sparkSession
     if tails is None:
         tails = spark.createDataFrame([], "log_id string, tail_hash string, tail_ts long")
@@ -100,7 +105,7 @@ def append_stored(records: DataFrame, path: str, append: int) -> None:
     """
     spark = records.sparkSession
     tails = stored_tails(spark, path, append)
-    made = written(append_chain(records, tails))
+    made = written(chained(records, tails))
     rows = made.withColumns({"day": F.floor(F.col("ts") / 86400).cast("long"), "append": F.lit(append).cast("long")})
     by_day = rows.repartitionByRange("day", "log_id", "seq").sortWithinPartitions("day", "log_id", "seq")
     by_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "append").parquet(f"{path}/lines")

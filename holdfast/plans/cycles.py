@@ -283,7 +283,7 @@ def _to_append(spark, d):
 def _lines(spark, d):
     """A log of chained records by user group, in order of time, with some lines tampered with."""
     rows = _to_append(spark, d).withColumn("seq", F.col("ts") * 1000000 + F.col("seq"))
-    made = audit.append_chain(rows).where("not rejected")
+    made = audit.chained(rows).where("not rejected")
     day = F.floor(F.col("ts") / 86400).cast("long")
     line = F.when(F.col("seq") % 997 == 0, F.regexp_replace("line", "category", "kategory")).otherwise(F.col("line"))
     return audit.check_digests(made.select("log_id", "ts", day.alias("day"), F.col("seq").alias("line_no"), "prev_hash", "record_hash", line.alias("line")))
