@@ -25,10 +25,10 @@ def split_large(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, D
     return df.join(few, keys, "left_anti"), df.join(few, keys, "left_semi")
 
 
-def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``df`` written in ranges of (keys, order), as many as there are shuffle partitions, each sorted: ``__part``
+def ranged(df: DataFrame, keys: list[str], order: list[str], n: int | None = None) -> DataFrame:
+    """``df`` written in ``n`` ranges of (keys, order), else as many as there are shuffle partitions, each sorted: ``__part``
     numbers the ranges and ``__place`` orders all rows. A key with very many rows lies in many ranges."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn(PLACE, F.monotonically_increasing_id())
     return written(dealt.withColumn(PART, F.shiftright(PLACE, 33)))
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.canonical import canonical_text, streamed_digest
+from holdfast.functions.quantiles import between
 from holdfast.functions.ranges import KEY_ROWS, running_sums
+from holdfast.functions.spans import BLOCK_ROWS, window_orders
 from holdfast.functions.tables import broadcast_if_small, written
 from holdfast.operators.patterns import finite
 
@@ -57,21 +59,26 @@ def compute_summary(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.withColumn("turn", turn).groupBy(*keys).agg(F.count("*").alias("size"), F.count(v).alias("finite"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), head.alias("sample"), F.count_distinct("source_hash").alias("sources"))
 
 
-def test_assertions(drafts: DataFrame, series: DataFrame, bucket: int = DAY) -> DataFrame:
+def test_assertions(drafts: DataFrame, series: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(cycle_id, step, fingerprint, n) of the drafts whose assertion holds on the values of their window.
 
     ``drafts``: cycle_id, step, spec_ref, the arguments of an assertion and its JSON (``assertion``), and the window t0
-    to t1, closed. Values come by a range join in buckets of time; a window without values does not pass. The
-    fingerprint is the digest of spec, assertion and window, which a submission must name again.
+    to t1, closed. A window without values, or with any that is not a finite number, does not pass. Each draft has a
+    window of its own, so windows are answered from blocks of the series (``window_orders``) and values are never
+    paired with drafts: extremes decide ranges and signs; a quantile reaches its threshold by the number of values
+    below it, and by the two values next to it where it lies between the quantile's two ranks. The fingerprint is the
+    digest of spec, assertion and window, which a submission must name again.
     """
-    from holdfast.operators.replication import window_values, window_verdicts
-
-    key = F.concat(F.col("cycle_id").cast("string"), F.lit("/"), F.col("step").cast("string"))
-    named = written(drafts.withColumns({"pattern_id": key, "window_id": F.lit("draft")}))
-    windows = named.select("pattern_id", "window_id", "t0", "t1")
-    held = window_verdicts(window_values(series, windows, named, bucket), windows, named).where("passed")
+    named = written(drafts.withColumn("id", F.monotonically_increasing_id()))
+    found = window_orders(series, named.select("id", "spec_ref", "t0", "t1", F.col("threshold").alias("bound")), "spec_ref", block_rows)
+    at = F.col("p") * (F.col("n") - 1)
+    reached = F.when(F.col("less") <= F.floor(at), True).when(F.col("less") > F.ceil(at), False).otherwise(between(at, F.col("below"), F.col("above")) >= F.col("threshold"))
+    kind = F.col("kind")
+    held = F.when(kind == "in_range", (F.col("low") >= F.col("lo")) & (F.col("high") <= F.col("hi"))).when(kind == "quantile_ge", F.col("p").between(0, 1) & reached)
+    held = held.when(kind == "sign", (F.signum("low") == F.col("expected_sign")) & (F.signum("high") == F.col("expected_sign")))
     body = F.concat(F.lit('{"assertion":'), "assertion", F.lit(',"spec_ref":"'), "spec_ref", F.lit('","window":{"t0":'), F.col("t0").cast("string"), F.lit(',"t1":'), F.col("t1").cast("string"), F.lit("}}"))
-    return named.select("pattern_id", "cycle_id", "step", F.sha2(body, 256).alias("fingerprint")).join(held.select("pattern_id", "n"), "pattern_id").drop("pattern_id")
+    passed = named.join(found, "id").where((F.col("unusable") == 0) & held)
+    return passed.select("cycle_id", "step", F.sha2(body, 256).alias("fingerprint"), "n")
 
 
 def submission_gate(submissions: DataFrame, tests: DataFrame) -> DataFrame:

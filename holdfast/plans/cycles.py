@@ -174,7 +174,7 @@ def _(spark, d):
     whole = lambda c: F.col(c).cast("long").cast("string")
     args = F.when(F.col("kind") == "in_range", F.concat(F.lit('"lo":0,"hi":'), whole("hi"))).when(F.col("kind") == "sign", F.lit('"expected_sign":1')).otherwise(F.concat(F.lit('"p":5,"threshold":'), whole("threshold")))
     drafts = sql(spark, d, f"select * from {_TRIED}").withColumn("assertion", F.concat(F.lit('{"kind":"'), "kind", F.lit('",'), args, F.lit("}")))
-    return discovery.test_assertions(drafts, view(spark, d, "series"), bucket=3600)
+    return discovery.test_assertions(drafts, view(spark, d, "series"))
 
 
 @query("submission_gate", f"select s.cycle_id, s.fingerprint, t.sources is not null as accepted, t.sources from {_SUBS} s left join (select cycle_id, fingerprint, string_agg(cast(step as string), ',' order by step) as sources from {_DRAFTS} where passed group by 1, 2) t on t.cycle_id = s.cycle_id and t.fingerprint = s.fingerprint")
