@@ -13,11 +13,12 @@ from holdfast.operators import pit
 NODE_USD = 1e-6
 
 
-def raw_get(requests: DataFrame, blobs: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Requests with outcome and, where admissible, the text; bytes are joined last and once per hash."""
-    checked = pit.admissible(requests, provenance)
+def raw_get(requests: DataFrame, blobs: DataFrame, provenance: DataFrame, row: Column | None = None) -> DataFrame:
+    """Requests with outcome and, where admissible, the text; bytes are joined last and once per hash. ``row``, which tells
+    requests apart, deals those without a hash."""
+    checked = pit.admissible(requests, provenance, row)
     held = blobs.select("hash", F.col("text").alias("content")).dropDuplicates(["hash"])
-    both = checked.join(held, "hash", "left")
+    both = pit.looked_up(checked, held, ["hash"], row)
     return both.withColumn("content", F.when(F.col("outcome") == "ok", F.col("content")))
 
 
@@ -64,7 +65,7 @@ def run_graph(runs: DataFrame, graph: dict, sources: dict[str, Column], blobs: D
         asked = F.when(error.isNull(), inputs[0] if inputs else F.lit(args["hash"]))
         declared = F.coalesce(F.array_contains("deps", asked), F.lit(False))
         packed = state.select(F.struct("*").alias("row"), "query_time", F.when(declared, asked).alias("hash"), declared.alias("declared"))
-        found = raw_get(packed, blobs, provenance)
+        found = raw_get(packed, blobs, provenance, F.col(f"row.{key}"))
         ok = F.col("outcome") == "ok"
         problem = F.when(~F.col("declared"), "undeclared").when(~ok, F.col("outcome")).when(F.col("content").isNull(), "no content")
         keep(found, name, F.col("content"), problem, F.when(ok, F.col("hash")), F.col("declared").cast("int"))
@@ -79,7 +80,7 @@ def run_graph(runs: DataFrame, graph: dict, sources: dict[str, Column], blobs: D
         params = can.params_hash(F.lit(args["model"]), F.lit(can.canonical(args.get("params", {}))))
         packed = state.select(F.struct("*").alias("row"), "query_time", F.lit(args["model"]).alias("model_id"), can.prompt_hash(prompt).alias("prompt_hash"), params.alias("params_hash"))
         held = bodies.select("hash", "body").dropDuplicates(["hash"])
-        found = pit.cache_lookup(packed, cache, provenance).join(held, "hash", "left")
+        found = pit.cache_lookup(packed, cache, provenance, F.col(f"row.{key}"), held)
         found = found.withColumn("r", F.from_json("body", "model string, prompt_hash string, params_hash string, response struct<text: string, input_tokens: bigint, output_tokens: bigint>"))
         same = F.col("r.model").eqNullSafe(F.col("model_id"))
         for c in ("prompt_hash", "params_hash"):

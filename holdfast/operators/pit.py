@@ -22,10 +22,27 @@ def earliest_vendor_time(provenance: DataFrame) -> DataFrame:
     return provenance.groupBy("hash").agg(F.min("vendor_timestamp").alias("earliest"))
 
 
-def admissible(requests: DataFrame, provenance: DataFrame) -> DataFrame:
-    """``requests`` (hash, query_time, ...) with outcome: unknown, future_denied or ok."""
+#: Values that the rows without a key are dealt by.
+SPREAD = 4096
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], row: Column | None = None) -> DataFrame:
+    """``left`` with the columns of ``right``, a row per ``keys``; null where there is none. Rows without a key find nothing;
+    with ``row``, which tells rows of ``left`` apart, they are dealt by it and do not all go to one task."""
+    if row is None:
+        return left.join(right, keys, "left")
+    absent = F.lit(False)
+    for k in keys:
+        absent = absent | F.col(k).isNull()
+    dealt = left.withColumn("__spread", F.when(absent, F.pmod(F.xxhash64(row), F.lit(SPREAD)) + 1).otherwise(0).cast("long"))
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("long")  # no literal, which would be taken out of the keys of the join
+    return dealt.join(right.withColumn("__spread", zero), [*keys, "__spread"], "left").drop("__spread")
+
+
+def admissible(requests: DataFrame, provenance: DataFrame, row: Column | None = None) -> DataFrame:
+    """``requests`` (hash, query_time, ...) with outcome: unknown, future_denied or ok. ``row``: see ``looked_up``."""
     outcome = F.when(F.col("earliest").isNull(), "unknown").when(F.col("earliest") > F.col("query_time"), "future_denied").otherwise("ok")
-    return requests.join(earliest_vendor_time(provenance), "hash", "left").withColumn("outcome", outcome).drop("earliest")
+    return looked_up(requests, earliest_vendor_time(provenance), ["hash"], row).withColumn("outcome", outcome).drop("earliest")
 
 
 def visible_provenance(requests: DataFrame, provenance: DataFrame, key: str = "seq", bucket: int = 86400) -> DataFrame:
@@ -80,12 +97,17 @@ def read_budget(attempts: DataFrame, cap: int, key_rows: int = KEY_ROWS) -> Data
     return access_log(attempts, cap, key_rows).select(*attempts.columns)
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Hits and misses by model, prompt and parameters; the bytes of a hit stay under the point-in-time rule."""
+def cache_lookup(requests: DataFrame, cache: DataFrame, provenance: DataFrame, row: Column | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    """Hits and misses by model, prompt and parameters; the bytes of a hit stay under the point-in-time rule.
+
+    Cached bytes get their earliest time, and the body of ``bodies`` (hash, body; a row per hash), before requests meet
+    them: so requests are joined once, and misses, which have no hash, not by it. ``row``: see ``looked_up``."""
     keys = ["model_id", "prompt_hash", "params_hash"]
-    found = requests.join(first_of_each(cache, keys, "first_written", "bytes_hash").select(*keys, F.col("bytes_hash").alias("hash")), keys, "left")
-    checked = admissible(found, provenance)
-    return checked.withColumn("outcome", F.when(F.col("hash").isNull(), "miss").when(F.col("outcome") == "ok", "hit").otherwise(F.col("outcome")))
+    first = first_of_each(cache, keys, "first_written", "bytes_hash").select(*keys, F.col("bytes_hash").alias("hash"))
+    dated = looked_up(first, earliest_vendor_time(provenance), ["hash"])
+    found = looked_up(requests, dated if bodies is None else looked_up(dated, bodies, ["hash"]), keys, row)
+    outcome = F.when(F.col("hash").isNull(), "miss").when(F.col("earliest").isNull(), "unknown").when(F.col("earliest") > F.col("query_time"), "future_denied").otherwise("hit")
+    return found.withColumn("outcome", outcome).drop("earliest")
 
 
 def put_responses(responses: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
