@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,8 @@ BANDS, ROWS = 40, 7
 #: Differing bits of the fingerprints of near copies, at most, and the segments of the pigeonring.
 MOST, RING = 26, 8
 #: Members of a group that are compared with each other; larger groups are cut into blocks, and each pair of blocks
-#: is a group of its own. Bands with more than LARGEST members get the keys of two bands instead.
+#: is a group of its own. Members of bands with more than LARGEST are grouped by their rarest shingles instead, which
+#: loses no pair.
 BLOCK, LARGEST = 512, 8192
 _SEEDS = np.random.default_rng(20240307).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | U64(1)
 _STEP = U64(0xC2B2AE3D27D4EB4F)
@@ -189,6 +190,23 @@ def _blocks(members: DataFrame, rows: int) -> DataFrame:
     return other.withColumn("part", part).drop("many", "other", "n")
 
 
+def _rarest(members: DataFrame) -> DataFrame:
+    """``members`` (node, component, set) in groups (grp, node, component, n) of those that share one of their rarest shingles.
+
+    Near copies have SHARE of the larger set in common. So if each set is in one order, that of how many members hold a
+    shingle, both hold a shingle that is among the first size - ceil(size * SHARE) + 1 of each: no pair is lost, and
+    shingles that most members hold are rarely among these.
+    """
+    rows = materialize(members.select("node", "component", F.size("set").alias("size"), F.explode("set").alias("shingle")))
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held"))
+    turn = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
+    most = F.expr(f"size - int(ceil(size * {SHARE[0]}L / {SHARE[1]}L)) + 1")
+    first = rows.join(held, "shingle").withColumn("turn", turn).where((F.col("turn") <= most) & (F.col("held") > 1))
+    named = materialize(first.select(F.xxhash64("shingle", F.lit("rarest")).alias("grp"), "node", "component"))
+    split = named.groupBy("grp").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return named.join(split.select("grp", "n"), "grp").select("grp", "node", "component", "n")
+
+
 def _linked(nodes: DataFrame, texts: DataFrame, words: int, block: int = BLOCK, largest: int = LARGEST) -> DataFrame:
     """(node, component) of the near copies among ``nodes`` (key, size, fp, bands), whose sets all differ.
 
@@ -219,11 +237,10 @@ def _linked(nodes: DataFrame, texts: DataFrame, words: int, block: int = BLOCK,
     split = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     open_ = materialize(now.join(split, "band", "left_semi"))
     small = open_.where(F.col("n") <= largest).select(F.col("band").alias("grp"), "node", "component", "n")
-    hot = open_.where(F.col("n") > largest).select("node", "component", "band", "at")
-    again = nodes.select(F.col("key").alias("node"), F.posexplode("bands").alias("with", "second"))
-    longer = hot.join(again, "node").where("with > at").select(F.xxhash64("band", "second").alias("grp"), "node", "component")
-    longer = longer.join(longer.groupBy("grp").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("grp", "n"), "grp").select("grp", "node", "component", "n")
-    rest = _blocks(small.union(longer), block).join(sets, "node").select("grp", "part", "node", "component", "fp", "block", "set")
+    hot = open_.where(F.col("n") > largest).select("node", "component").distinct()
+    if not hot.isEmpty():
+        small = small.union(_rarest(hot.join(sets.select("node", "set"), "node")))
+    rest = _blocks(small, block).join(sets, "node").select("grp", "part", "node", "component", "fp", "block", "set")
     return components(found.union(_checked(rest)))
 
 
