@@ -43,14 +43,21 @@ def _earlier(placed: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFr
     return carried.where("not __first").drop("__first")
 
 
-def running(placed: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+def _upto(keys: list[str], order: list[str], peers: bool) -> WindowSpec:
+    """The rows of the key up to and with the own one, or with all that are alike in the order."""
+    rows = Window.partitionBy(*keys).orderBy(*order)
+    return rows.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else rows.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def running(placed: DataFrame, keys: list[str], sums: dict[str, str], peers: list[str] | None = None) -> DataFrame:
     """``placed`` (from ``ranged`` by ``keys``) with running sums: for each name in ``sums`` the total of its SQL
-    expression over the rows of the key up to and with the own one, 0 or null values counting as nothing.
+    expression over the rows of the key up to and with the own one, 0 or null values counting as nothing. With ``peers``,
+    the order of ``placed``, rows alike in it count together; they lie in one range.
 
     A window runs inside a range, and the totals of a key's earlier ranges come as one row per range, broadcast. So no
     task gets more than a range, even if one key has all rows. Null keys are a key.
     """
-    inside = Window.partitionBy(PART, *keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _upto([PART, *keys], peers or [PLACE], peers is not None)
     own = placed.withColumns({name: F.coalesce(F.sum(F.expr(c)).over(inside), F.lit(0)) for name, c in sums.items()})
     carried = _earlier(placed, keys, sums).withColumnsRenamed({c: f"__of_{c}" for c in [*keys, PART]} | {name: f"__before_{name}" for name in sums})
     same = F.col(PART) == F.col(f"__of_{PART}")
@@ -61,15 +68,16 @@ def running(placed: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFra
     return both.withColumns(added).drop(*carried.columns)
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], key_rows: int = KEY_ROWS) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], key_rows: int = KEY_ROWS, peers: bool = False) -> DataFrame:
     """``df`` with ``running`` sums in the order of ``order``. Keys of up to ``key_rows`` rows take one window each; larger
-    ones are dealt by ranges. Both give the same sums of integers, and of doubles but for the last digits."""
+    ones are dealt by ranges. Both give the same sums of integers, and of doubles but for the last digits. With ``peers``
+    rows of a key that are alike in ``order`` count together, so the sums do not depend on how such ties fall."""
     small, large = split_large(df, keys, key_rows)
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = _upto(keys, order, peers)
     out = small.withColumns({name: F.coalesce(F.sum(F.expr(c)).over(upto), F.lit(0)) for name, c in sums.items()})
     if large is None:
         return out
-    return out.unionByName(running(ranged(large, keys, order), keys, sums).drop(PART, PLACE))
+    return out.unionByName(running(ranged(large, keys, order), keys, sums, order if peers else None).drop(PART, PLACE))
 
 
 def keyed_ranks(df: DataFrame, keys: list[str], order: list[str], name: str = "i", key_rows: int = KEY_ROWS) -> DataFrame:

@@ -365,7 +365,7 @@ _OVER = f"(select *, case when c > case stage_name when 'st0' then 1 when 'st1'
 
 @query("cost_ceilings", f"select a.invocation_id, f.failed_at, f.ceiling from (select distinct invocation_id from {_CHARGES}) a left join (select invocation_id, min(seq) as failed_at, min_by(over_, seq) as ceiling from {_OVER} where over_ is not null group by 1) f on f.invocation_id = a.invocation_id")
 def _(spark, d):
-    ceilings = spark.sql("select * from values ('st0', 1D, 1.5D, 60L), ('st1', 2D, 1.5D, 60L), ('st2', 100D, 1.5D, 60L) as c(stage_name, max_compute_usd, max_llm_usd, max_data_reads)")
+    ceilings = spark.sql("select * from values ('st0', 1D, 1.5D, 60L), ('st1', 2D, 1.5D, 60L), ('st2', 100D, 1.5D, 60L), ('st-1', 100D, 1.5D, 60L), ('st-2', 100D, 1.5D, 60L) as c(stage_name, max_compute_usd, max_llm_usd, max_data_reads)")
     return incremental.cost_ceilings(sql(spark, d, f"select * from {_CHARGES}"), ceilings)
 
 
